@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import simhash
+from lodestone.llm import simhash, tokencount
 
-QUERIES = {"op7_simhash": simhash.op7_simhash}
+QUERIES = {"op7_simhash": simhash.op7_simhash, "op9_token_counts": tokencount.op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
