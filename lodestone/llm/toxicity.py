@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models of words' letters.
 
-Two models, of toxic and of ordinary documents, spell a word letter by letter. Long
-contexts are counted for each class and discounted; below ``SHARED`` letters both
-classes back off to one set of continuation counts, so an expression that is rare in
-either is judged by what its parts are known for. A word's or passage's evidence is
-the difference of its two log-likelihoods over its length; a logistic regression on
-labelled documents that the counts have not seen turns it into a score.
+Two models, of toxic and of ordinary documents, spell a word letter by letter. Both
+discount their own counts and back off to one shared model of both classes, so an
+expression that is rare in either is judged by what its parts are known for. The
+difference of a word's two log-likelihoods is its evidence, a text's and a passage's
+are normalised by length, and a logistic regression on labelled documents that the
+counts have not seen turns them into a score.
 
 Fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each
 class, those whose hashed doc_id is smallest.
@@ -24,10 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 6000
-#: Letters of the longest n-gram, and below how many of them counts are shared.
-ORDER = 6
-SHARED = 4
-DISCOUNT = 0.75
+#: Letters of the longest n-gram, and below how many of them classes do not differ.
+ORDER = 9
+SHARED = 3
+DISCOUNT = 0.9
+#: Counts that the shared model weighs in each context of a class.
+STRENGTH = 200.0
+START, END = "\x02", "\x03"
+FEATURES = 7
+NAMES = [f"f{i}" for i in range(FEATURES)]
+#: Words of a passage.
+PASSAGE = 24
 #: The most n-grams that are kept, the most frequent first.
 GRAMS = 400_000
 THRESHOLD = 0.3
@@ -38,7 +45,7 @@ WORDS = re.compile(r"\w+")
 
 def grams(word: str, order: int = ORDER) -> Iterator[str]:
     """Every n-gram of a word between its marks, up to ``order`` letters."""
-    w = f"\x02{word}\x03"
+    w = f"{START}{word}{END}"
     for i in range(2, len(w) + 1):
         for n in range(1, min(order, i) + 1):
             if i - n > 0 or n > 1:
@@ -46,58 +53,66 @@ def grams(word: str, order: int = ORDER) -> Iterator[str]:
 
 
 class Model:
-    """Differences of log-likelihoods, as a back-off table: seen n-grams, and contexts' weights for the others."""
+    """Differences of log-likelihoods, as a back-off table: seen n-grams, and contexts' weights for the others.
+
+    ``counts`` has each n-gram's number in ordinary and in toxic documents. The shared
+    model is Kneser-Ney over both: discounted counts in a context, interpolated with how
+    many letters the shorter n-grams were seen after. A class discounts its own
+    counts in a context and shares what is left, with ``strength`` more, as the shared
+    model does there and as the class differs from it in the context one letter
+    shorter. So each class has, for every n-gram, a ratio to the shared probability.
+    """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT):
+    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, strength: float = STRENGTH):
         self.order, self.shared = order, shared
-        # Shared continuation counts: how many letters a shorter n-gram was seen after.
-        after: Counter[str] = Counter()
-        for g in counts:
-            if len(g) > 1:
-                after[g[1:]] += 1
-            if g[0] == "\x02":
-                after[g] += sum(counts[g])  # nothing stands before a word's start
-        low_sum, low_kinds = Counter(), Counter()
-        for g, n in after.items():
-            if len(g) < shared:
-                low_sum[g[:-1]] += n
-                low_kinds[g[:-1]] += 1
-        letters = max(1, low_kinds[""])
+        raw = {g: n for g, v in counts.items() if (n := sum(v))}
+        after = Counter(g[1:] for g in raw if len(g) > 1)
+        lower = {g: n if g[0] == START else max(1, after[g]) for g, n in raw.items() if len(g) < order}
+        own_total, own_kinds = (Counter(), Counter()), (Counter(), Counter())
+        for g in raw:
+            for c in (0, 1):
+                if counts[g][c]:
+                    own_total[c][g[:-1]] += counts[g][c]
+                    own_kinds[c][g[:-1]] += 1
+        sums = []
+        for table in (raw, lower):
+            total, kinds = Counter(), Counter()
+            for g, n in table.items():
+                total[g[:-1]] += n
+                kinds[g[:-1]] += 1
+            sums.append((table, total, kinds))
+        least = 1 / (sums[1][2][""] + 1)
         memo: dict[str, float] = {}
+        ratios: dict[str, tuple[float, float]] = {}
+
+        def spread(k: int, g: str) -> float:
+            """The last letter's probability by raw (0) or continuation (1) counts, interpolated with shorter contexts' continuation counts."""
+            table, total, kinds = sums[k]
+            h, up = g[:-1], continued(g[1:])
+            return (max(table.get(g, 0) - discount, 0) + discount * kinds[h] * up) / total[h] if h in total else up
 
-        def low(g: str) -> float:
-            """The shared probability of the last letter after the others."""
+        def continued(g: str) -> float:
             if not g:
-                return 1 / letters
+                return least
             if g not in memo:
-                h, up = g[:-1], (low(g[1:]) if len(g) > 1 else 1 / (letters + 1))
-                n = low_sum[h]
-                memo[g] = (max(after.get(g, 0) - discount, 0) + discount * low_kinds[h] * up) / n if n else up
+                memo[g] = spread(1, g)
             return memo[g]
 
-        total, kinds = [Counter(), Counter()], [Counter(), Counter()]
-        for g, both in counts.items():
-            if len(g) >= shared:
-                for c in (0, 1):
-                    if both[c]:
-                        total[c][g[:-1]] += both[c]
-                        kinds[c][g[:-1]] += 1
-        probs: dict[str, tuple[float, float]] = {}
-
-        def high(g: str) -> tuple[float, float]:
+        def ratio(g: str) -> tuple[float, float]:
             if len(g) < shared:
-                return (p := low(g)), p
-            if g not in probs:
-                up, h, both = high(g[1:]), g[:-1], counts.get(g, (0, 0))
-                probs[g] = tuple((max(both[c] - discount, 0) + discount * kinds[c][h] * up[c]) / total[c][h] if total[c][h] else up[c] for c in (0, 1))
-            return probs[g]
+                return 1.0, 1.0
+            if g not in ratios:
+                h, up, v, p = g[:-1], ratio(g[1:]), counts.get(g, (0, 0)), spread(0, g)
+                ratios[g] = tuple((max(v[c] - discount, 0) / p + (strength + discount * own_kinds[c][h]) * up[c]) / (strength + own_total[c][h]) for c in (0, 1))
+            return ratios[g]
 
-        self.seen = {g: math.log(p[1] / p[0]) for g in counts if len(g) >= shared and (p := high(g))}
-        self.weights = {h: math.log((discount * kinds[1][h] / total[1][h] if total[1][h] else 1) / (discount * kinds[0][h] / total[0][h] if total[0][h] else 1)) for h in {*total[0], *total[1]}}
+        self.seen = {g: math.log(r[1] / r[0]) for g in raw if len(g) >= shared and (r := ratio(g))}
+        left = lambda c, h: (strength + discount * own_kinds[c][h]) / (strength + own_total[c][h])
+        self.weights = {h: math.log(left(1, h) / left(0, h)) for h in sums[0][1] if len(h) >= shared - 1}
 
     def word(self, word: str) -> float:
         """Toxic less ordinary log-likelihood of a word."""
-        w, out, seen, weights = f"\x02{word}\x03", 0.0, self.seen, self.weights
+        w, out, seen, weights = f"{START}{word}{END}", 0.0, self.seen, self.weights
         for i in range(self.shared, len(w) + 1):
             for k in range(max(0, i - self.order), i - self.shared + 1):
                 found = seen.get(w[k:i])
@@ -122,19 +137,26 @@ class Evidence(dict):
 
 
 def features(evidence: Evidence, text: str) -> list[float]:
-    """Length-normalised evidence of the most toxic word, of the most toxic three in a row and of the whole text, and the text's length."""
+    """What a text's words give away.
+
+    The evidence of its most toxic word, three words and eight words; the words that
+    are clearly toxic, over the root of the length; the length-normalised difference
+    of the whole text's log-likelihoods and that of its most toxic passage; its length.
+    """
     words = WORDS.findall(text.lower())
     n = len(words)
     if not n:
-        return [0.0, 0.0, 0.0, 0.0]
+        return [0.0] * FEATURES
     ratio = np.fromiter(map(evidence.__getitem__, words), np.float64, n)
-    size = np.fromiter(map(len, words), np.float64, n) + 1
-    run = min(3, n)
-    sums, sizes = (np.concatenate(([0.0], np.cumsum(x))) for x in (ratio, size))
-    return [float((ratio / size).max()), float(((sums[run:] - sums[:-run]) / (sizes[run:] - sizes[:-run])).max()), float(sums[-1] / sizes[-1]), math.log1p(n)]
+    letters = sum(map(len, words)) + n
+    kinds = np.sort(np.fromiter(map(evidence.__getitem__, set(words)), np.float64))[::-1]
+    run = min(n, PASSAGE)
+    sums = np.concatenate(([0.0], np.cumsum(np.maximum(ratio, -1))))
+    passage = (sums[run:] - sums[:-run]).max() / PASSAGE
+    return [float(x) for x in (kinds[0], kinds[:3].sum(), kinds[:8].sum(), np.maximum(ratio - 1, 0).sum() / math.sqrt(n), ratio.sum() / letters, passage, math.log1p(n))]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4) -> np.ndarray:
     """Coefficients (the constant last) by Newton's method, on standardised features."""
     mean, scale = np.average(x, 0, weight), np.sqrt(np.average((x - np.average(x, 0, weight)) ** 2, 0, weight)) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
@@ -183,7 +205,7 @@ def _features(model):
         own = _evidence(model)
         for b in batches:
             rows = [features(own, t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(4))], ["toxic", "f0", "f1", "f2", "f3"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(FEATURES))], ["toxic", *NAMES])
 
     return compute
 
@@ -192,7 +214,7 @@ def _scores(model):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (_, slope, share) = _evidence(model), model.value
         for b in batches:
-            at = np.array([features(own, t or "") for t in b.column("__text").to_pylist()]).reshape(-1, 4)
+            at = np.array([features(own, t or "") for t in b.column("__text").to_pylist()]).reshape(-1, FEATURES)
             score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at @ slope[:-1] + slope[-1], -500, 500)))
             names = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "__score"])
@@ -220,15 +242,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         kept = counted.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(GRAMS).toPandas()
         model = Model(dict(zip(kept.gram, zip(kept.ordinary.tolist(), kept.toxic.tolist(), strict=True), strict=True)))
         shared = docs.sparkSession.sparkContext.broadcast((model, None, share))
-        # Rows: those of the sample, four numbers each.
-        held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_features(shared), "toxic int, f0 double, f1 double, f2 double, f3 double").toPandas().sort_values(["toxic", "f0", "f1", "f2", "f3"])
+        # Rows: those of the sample, a few numbers each.
+        held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_features(shared), "toxic int, " + ", ".join(f"{c} double" for c in NAMES)).toPandas().sort_values(["toxic", *NAMES])
     finally:
         chosen.unpersist()
     y = held.toxic.to_numpy(float)
     if len(set(y)) < 2:
         return model, None, share
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
-    return model, logistic(held[["f0", "f1", "f2", "f3"]].to_numpy(), y, weight / weight.mean()), share
+    return model, logistic(held[NAMES].to_numpy(), y, weight / weight.mean()), share
 
 
 def held_out(doc_id: Column) -> Column:
