@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, simhash, tokencount
+from lodestone.llm import mixing, packing, simhash, tokencount, toxicity
 
-QUERIES = {"op5_mixing": mixing.op5_mixing, "op6_packing": packing.op6_packing, "op7_simhash": simhash.op7_simhash, "op9_token_counts": tokencount.op9_token_counts}
+QUERIES = {"op3_toxicity": toxicity.op3_toxicity, "op5_mixing": mixing.op5_mixing, "op6_packing": packing.op6_packing, "op7_simhash": simhash.op7_simhash, "op9_token_counts": tokencount.op9_token_counts}
 ORACLE_SQL: dict[str, str] = {}
