@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, secrets, simhash, tokencount, toxicity
+from lodestone.llm import mixing, packing, secrets, simhash, tokencount, toxicity, urlfilter
 
-QUERIES = {"op3_toxicity": toxicity.op3_toxicity, "op5_mixing": mixing.op5_mixing, "op6_packing": packing.op6_packing, "op7_simhash": simhash.op7_simhash, "op9_token_counts": tokencount.op9_token_counts, "op10_secrets": secrets.op10_secrets}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_url_filters": urlfilter.op2_url_filters, "op3_toxicity": toxicity.op3_toxicity, "op5_mixing": mixing.op5_mixing, "op6_packing": packing.op6_packing, "op7_simhash": simhash.op7_simhash, "op9_token_counts": tokencount.op9_token_counts, "op10_secrets": secrets.op10_secrets}
+ORACLE_SQL: dict[str, str] = {"op2_url_filters": urlfilter.OP2_SQL}
