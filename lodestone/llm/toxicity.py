@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.staging import staged
+
 SAMPLE = 6000
 #: Letters of the longest n-gram, and below how many of them classes do not differ.
-ORDER = 9
+ORDER = 6
 SHARED = 3
 DISCOUNT = 0.9
 #: Counts that the shared model weighs in each context of a class.
@@ -35,8 +37,8 @@ FEATURES = 7
 NAMES = [f"f{i}" for i in range(FEATURES)]
 #: Words of a passage.
 PASSAGE = 24
-#: The most n-grams that are kept, the most frequent first.
-GRAMS = 400_000
+#: The most n-grams that are kept, by a least number of documents that is as low as that allows.
+GRAMS = 260_000
 THRESHOLD = 0.3
 #: Words whose evidence a worker keeps; a full cache is dropped.
 CACHE = 300_000
@@ -222,6 +224,18 @@ def _scores(model):
     return compute
 
 
+def frequent(counted: DataFrame, most: int = GRAMS) -> DataFrame:
+    """The n-grams of at least so many documents that there are no more than ``most``."""
+    n = F.col("ordinary") + F.col("toxic")
+    left, least = 0, 1
+    for r in counted.groupBy(F.least(n, F.lit(most)).alias("n")).agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
+        left += r.grams
+        if left > most:
+            least = r.n + 1
+            break
+    return counted.where(n >= least)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The model (evidence, coefficients, share of toxic labels) from the labelled rows of docs.
 
@@ -239,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     try:
         counted = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        kept = counted.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(GRAMS).toPandas()
+        kept = frequent(staged(counted, "grams")).toPandas()
         model = Model(dict(zip(kept.gram, zip(kept.ordinary.tolist(), kept.toxic.tolist(), strict=True), strict=True)))
         shared = docs.sparkSession.sparkContext.broadcast((model, None, share))
         # Rows: those of the sample, a few numbers each.

@@ -8,7 +8,7 @@ import pytest
 from lodestone.llm import toxicity
 
 
-def naive(counts, g, c, order=9, d=0.9, strength=200.0):
+def naive(counts, g, c, order=6, d=0.9, strength=200.0):
     """A class's ratio to the shared probability of the last letter of g after the others, and that probability, by their definitions."""
     raw = {k: sum(v) for k, v in counts.items()}
     lower = {k: n if k[0] == "\x02" else max(1, sum(1 for x in counts if x[1:] == k)) for k, n in raw.items() if len(k) < order}
@@ -39,7 +39,7 @@ def test_word_is_the_models_definition():
     model = toxicity.Model(counts)
     for w in ("abc", "a", "cabba", "zzzz", "abcabcabab", "bzcaab"):
         text = f"\x02{w}\x03"
-        want = sum(math.log(naive(counts, g, 1) / naive(counts, g, 0)) for g in (text[max(0, i - 9) : i] for i in range(2, len(text) + 1)))
+        want = sum(math.log(naive(counts, g, 1) / naive(counts, g, 0)) for g in (text[max(0, i - 6) : i] for i in range(2, len(text) + 1)))
         assert model.word(w) == pytest.approx(want, abs=1e-9)
 
 
