@@ -1,19 +1,309 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL.
+
+The tables hold no image facts, so each operator runs on a stand-in: line items as
+instances of parts as patterns, orders as candidates, documents as files, events as
+a log.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
+from lodestone.operators import align, edges, graph, ledgers, rank, select
+from lodestone.sources import textfiles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+SINKS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'cmd' WHEN '2-HIGH' THEN 'fmt_string' WHEN '3-MEDIUM' THEN 'copy' WHEN '4-NOT SPECIFIED' THEN 'format' ELSE 'other' END"
+TIERS = "CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 1 ELSE 0 END"
+
+
+@query("""SELECT p_partkey, coalesce(spread, 0) AS spread, coalesce(breadth, 0) AS breadth, coalesce(instances, 0) AS instances FROM part LEFT JOIN
+(SELECT l_partkey, count(DISTINCT l_suppkey) AS spread, count(DISTINCT CASE WHEN l_returnflag <> 'R' OR l_returnflag IS NULL THEN l_orderkey END) AS breadth, count(*) AS instances FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+def recurrence_ledger(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_orderkey", "l_returnflag")
+    own = F.coalesce(F.col("l_returnflag") != "R", F.lit(True))
+    return ledgers.recurrence(table(spark, sf_dir, "part", "p_partkey"), lines, "p_partkey", "l_suppkey", "l_orderkey", own).select("p_partkey", "spread", "breadth", "instances")
+
+
+@query("SELECT l_suppkey AS run, p_brand AS sink_class, count(*) AS candidates FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def density(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_partkey", F.col("l_suppkey").alias("run"))
+    return ledgers.density(lines.join(table(spark, sf_dir, "part", F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sink_class")), "l_partkey"), ["run", "sink_class"])
+
+
+@query(f"""SELECT o_orderkey, {TIERS} AS impact, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS safe FROM orders
+ORDER BY safe, impact DESC, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100""")
+def lens_sorted_page(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", F.expr(SINKS).alias("sink"))
+    graded = orders.select("o_orderkey", "o_totalprice", rank.impact(F.col("sink")).alias("impact"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("safe"))
+    return rank.page(graded, [F.col("safe"), F.desc("impact"), F.desc("o_totalprice"), F.col("o_orderkey")], 100, 50).select("o_orderkey", "impact", "safe")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 0 ELSE 1 END AS band FROM orders""")
+def float_bands(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return select.float_bands(orders, {"o_orderpriority": "1-URGENT", "o_orderstatus": "O"}, F.col("o_orderstatus") == "F").select("o_orderkey", "band")
+
+
+@query("SELECT bool_and(o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('unknown', '5-LOW')) AS o_orderpriority, bool_and(o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('unknown', '5-LOW')) AS o_orderstatus FROM orders")
+def only_reducible_guard(spark, sf_dir):
+    return select.resolved_for_all(table(spark, sf_dir, "orders", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"], ("unknown", "5-LOW"))
+
+
+@query("""WITH t AS (SELECT s_suppkey, s_name, CASE WHEN s_name = 'Supplier' THEN 0 WHEN starts_with(s_name, 'Supplier#00000000') THEN 1 WHEN contains(s_name, '1') THEN 2 END AS tier FROM supplier)
+SELECT s_suppkey, s_name, tier, (SELECT count(*) > 1 FROM t WHERE tier = (SELECT min(tier) FROM t)) AS ambiguous FROM t WHERE tier = (SELECT min(tier) FROM t)""")
+def tiered_selector(spark, sf_dir):
+    name = F.col("s_name")
+    return select.tiered(table(spark, sf_dir, "supplier", "s_suppkey", "s_name"), [name == "Supplier", name.startswith("Supplier#00000000"), name.contains("1")])
+
+
+@query("SELECT event_id, user_id FROM events JOIN (SELECT user_id, max(CAST(ts AS DATE)) AS day FROM events GROUP BY 1) USING (user_id) WHERE CAST(ts AS DATE) = day")
+def current_generation(spark, sf_dir):
+    events = table(spark, sf_dir, "events", "event_id", "user_id", F.to_date("ts").alias("day"))
+    return select.current_generation(events, "day", ["user_id"]).select("event_id", "user_id")
+
+
+def _calls(spark, sf_dir):
+    """Line items as calls and exports: a supplier imports parts at some lines and exports them at others."""
+    lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey").alias("name"), "l_linenumber", "l_orderkey")
+    return lines.where("l_orderkey % 2 = 0").select("binary", "name"), lines.where("l_orderkey % 2 = 1").select("binary", "name")
+
+
+CALLS = """calls AS (SELECT l_suppkey AS binary_, l_partkey AS name FROM lineitem WHERE l_orderkey % 2 = 0), exports AS (SELECT l_suppkey AS binary_, l_partkey AS name FROM lineitem WHERE l_orderkey % 2 = 1),
+plan AS (SELECT name, exporters, callers, exporters >= 16 AND callers * exporters > 250 AS folded FROM (SELECT name, count(*) AS exporters FROM exports GROUP BY 1) JOIN (SELECT name, count(*) AS callers FROM calls GROUP BY 1) USING (name))"""
+
+
+@query(f"WITH {CALLS} SELECT DISTINCT c.binary_ AS caller, e.binary_ AS callee, name FROM calls c JOIN exports e USING (name) JOIN plan USING (name) WHERE NOT folded AND c.binary_ <> e.binary_")
+def call_edges_folded(spark, sf_dir):
+    return edges.call_edges(*_calls(spark, sf_dir), edges=250)[0]
+
+
+@query(f"WITH {CALLS} SELECT name, exporters, callers, CAST(sum(exporters - CASE WHEN (SELECT count(*) FROM exports e WHERE e.name = c.name AND e.binary_ = c.binary_) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS edges FROM calls c JOIN plan USING (name) WHERE folded GROUP BY 1, 2, 3")
+def fold_ledger(spark, sf_dir):
+    return edges.call_edges(*_calls(spark, sf_dir), edges=250)[1]
+
+
+def _names(spark, sf_dir):
+    """Parts as binaries: names become sonames with versions."""
+    part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand")
+    stem = F.concat(F.lit("lib"), F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), F.lit("-"), F.col("p_size").cast("string"), F.lit(".so"))
+    version = F.concat(F.lit("."), (F.col("p_partkey") % 7).cast("string"))
+    wanted = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("binary"), F.concat(stem, version).alias("soname"))
+    known = part.where("p_partkey % 3 <> 0 OR p_partkey % 9 = 0").select(F.col("p_partkey").alias("binary"), F.concat(stem, F.when(F.col("p_partkey") % 2 == 0, version).otherwise("")).alias("name"))
+    return wanted, known
+
+
+NAMES = r"""base AS (SELECT p_partkey AS b, 'lib' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '-' || p_size || '.so' AS stem, '.' || (p_partkey % 7) AS version FROM part),
+asked AS (SELECT b, stem || version AS soname, unnest([{'tier': 0, 'key': stem || version}, {'tier': 1, 'key': stem}, {'tier': 2, 'key': regexp_replace(stem, '\.so.*$', '')}]) AS t FROM base WHERE b % 3 = 0),
+held AS (SELECT DISTINCT b AS hit, unnest([{'tier': 0, 'key': CASE WHEN b % 2 = 0 THEN stem || version ELSE stem END}, {'tier': 1, 'key': stem}, {'tier': 2, 'key': regexp_replace(stem, '\.so.*$', '')}]) AS t FROM base WHERE b % 3 <> 0 OR b % 9 = 0),
+hits AS (SELECT a.b, soname, a.t.tier AS tier, hit FROM asked a JOIN held h ON a.t = h.t),
+best AS (SELECT b, soname, tier, list_sort(list(DISTINCT hit)) AS candidates FROM hits JOIN (SELECT b, soname, min(tier) AS tier FROM hits GROUP BY 1, 2) USING (b, soname, tier) WHERE hit <> b GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {NAMES} SELECT b AS binary, soname, candidates[1] AS target, tier FROM best WHERE len(candidates) = 1")
+def name_tiers(spark, sf_dir):
+    return edges.resolve_names(*_names(spark, sf_dir))[0]
+
+
+@query(f"WITH {NAMES} SELECT b AS binary, soname, array_to_string(candidates, ',') AS candidates, tier FROM best WHERE len(candidates) > 1")
+def ambiguous_names(spark, sf_dir):
+    return edges.resolve_names(*_names(spark, sf_dir))[1].withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+
+
+@query("""WITH v AS (SELECT DISTINCT l_suppkey AS b, '/var/run/part-' || l_partkey || '.sock' AS value FROM lineitem WHERE l_partkey % 50 = 0)
+SELECT x.b AS a, y.b AS b, count(*) AS shared FROM v x JOIN v y ON x.value = y.value AND x.b < y.b GROUP BY 1, 2""")
+def shared_value_pairs(spark, sf_dir):
+    strings = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey")).where("l_partkey % 50 = 0").select("binary", F.concat(F.lit("/var/run/part-"), F.col("l_partkey").cast("string"), F.lit(".sock")).alias("value"))
+    return edges.shared_string_pairs(strings)
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)\b(AES|RSA|SHA[-_]?\d*|MD5|3DES|DES|HMAC|ECDSA|ECDH|EVP_|SSL_|TLS_|openssl|mbedtls|wolfssl|libcrypto)') THEN 'crypto_hint'
+WHEN regexp_matches(url, '(?i)(\.sock$|\.socket$|/var/run/\S+|\.pipe$|/tmp/\S+\.(sock|pipe|fifo)|PIPE_|\.fifo$)') THEN 'ipc_sock' WHEN regexp_matches(url, '(?i)(https?://|ftp://|mqtt://|coap://|ws://)') THEN 'url'
+WHEN regexp_matches(url, '^/[a-zA-Z][a-zA-Z0-9_./\-]{3,}$') THEN 'path' WHEN regexp_matches(url, '^[A-Z][A-Z0-9_]{2,30}$') THEN 'nvram_key' WHEN regexp_matches(url, '%[0-9]*[sdifxXpuloO]') THEN 'format_str' ELSE 'misc' END AS class FROM
+(SELECT page_id * 3 AS page_id, url FROM pages UNION ALL SELECT page_id * 3 + 1, regexp_replace(url, '^[a-z]+:/', '') FROM pages UNION ALL SELECT page_id * 3 + 2, upper(regexp_replace(url, '[^a-z]', '', 'g')) FROM pages)""")
+def string_classes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    forms = F.posexplode(F.array("url", F.regexp_replace("url", "^[a-z]+:/", ""), F.upper(F.regexp_replace("url", "[^a-z]", ""))))
+    return pages.select("page_id", forms.alias("form", "value")).select((F.col("page_id") * 3 + F.col("form")).alias("page_id"), text.string_class(F.col("value")).alias("class"))
+
+
+@query(r"""WITH hits AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)url\s*:\s*[''"]([^''"]+)[''"]', 1)) AS endpoint, 3 AS rank FROM pages
+UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '(/cgi-bin/[A-Za-z0-9_.\-]+)', 1)), 5 FROM pages
+UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '[''"](/(?:api|rest|goform|cgi-bin)/[^''"\s]*)[''"]', 1)), 6 FROM pages
+UNION ALL SELECT page_id, unnest(regexp_extract_all(replace(html, 'href=', 'fetch('), '(?i)fetch\(\s*[''"]([^''"]+)[''"]', 1)), 0 FROM pages)
+SELECT page_id, endpoint, CAST(NULL AS VARCHAR) AS method, CASE min(rank) WHEN 0 THEN 'fetch' WHEN 3 THEN 'ajax' WHEN 5 THEN 'cgi_ref' ELSE 'literal' END AS source FROM hits WHERE endpoint <> '' GROUP BY 1, 2""")
+def web_endpoints(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages", F.col("page_id").alias("path"), F.replace(F.col("html"), F.lit("href="), F.lit("fetch(")).alias("text"))
+    return textfiles.web_endpoints(pages).withColumnRenamed("path", "page_id")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), e AS (SELECT doc_id, trim(raw, ' ' || chr(9) || chr(13)) AS raw FROM l)
+SELECT doc_id, count(*) AS entries FROM e WHERE raw <> '' AND NOT regexp_matches(raw, '^[#;]') AND NOT regexp_matches(raw, '^\[[^\]]+\]')
+AND regexp_matches(CASE WHEN regexp_matches(raw, '^([^=\s][^=]*?)\s*=\s*(.*)') THEN trim(regexp_extract(raw, '^([^=\s][^=]*?)\s*=\s*(.*)', 1)) || '=' || trim(regexp_extract(raw, '^([^=\s][^=]*?)\s*=\s*(.*)', 2))
+WHEN regexp_matches(raw, '^(\S+)\s+(\S.*)') THEN regexp_extract(raw, '^(\S+)\s+(\S.*)', 1) || '=' || regexp_extract(raw, '^(\S+)\s+(\S.*)', 2) END,
+'(?i)(^|[^a-zA-Z0-9])(pass(word|wd)?|secret|api[_-]?key|token|priv(ate)?_?key)(?:[_-]\w*)?\s*[=:]\s*\S') GROUP BY 1""")
+def config_rule_hits(spark, sf_dir):
+    files = table(spark, sf_dir, "documents", F.col("doc_id").alias("path"), "text")
+    return textfiles.config_entries(files).where("rule = 'hardcoded_credential'").groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("entries"))
+
+
+@query("""SELECT sha256(text) AS digest, count(*) FILTER (lang = 'en') AS n_a, count(*) FILTER (lang <> 'en') AS n_b FROM documents GROUP BY 1 HAVING n_a <> n_b""")
+def multiset_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", F.sha2("text", 256).alias("digest"), "lang")
+    return align.multiset_difference(docs.where("lang = 'en'"), docs.where("lang <> 'en'"), ["digest"])
+
+
+@query("""WITH a AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -doc_id - 1 END AS path, sha256(text) AS sha FROM documents WHERE doc_id % 2 = 0), b AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id - 3 ELSE doc_id END AS path, sha256(text) AS sha FROM documents WHERE doc_id % 2 = 1),
+both_ AS (SELECT a.path AS path_a, b.path AS path_b, a.sha AS sha_a, b.sha AS sha_b FROM a FULL JOIN b ON a.path = b.path), left_ AS (SELECT *, coalesce(sha_a, sha_b) AS sha FROM both_ WHERE path_a IS NULL OR path_b IS NULL),
+h AS (SELECT sha, count(path_a) AS in_a, count(path_b) AS in_b, min(path_a) AS one_a, min(path_b) AS one_b FROM left_ GROUP BY 1)
+SELECT path_a, path_b, 'path' AS basis, CASE WHEN sha_a = sha_b THEN 'same' ELSE 'content_differs' END AS status FROM both_ WHERE path_a IS NOT NULL AND path_b IS NOT NULL
+UNION ALL SELECT one_a, one_b, 'sha256', 'renamed' FROM h WHERE in_a = 1 AND in_b = 1
+UNION ALL SELECT path_a, path_b, CASE WHEN in_a > 0 AND in_b > 0 THEN 'sha_ambiguous' ELSE 'alone' END, CASE WHEN path_a IS NOT NULL THEN 'a_only' ELSE 'b_only' END FROM left_ JOIN h USING (sha) WHERE NOT (in_a = 1 AND in_b = 1)""")
+def file_pairing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", F.sha2("text", 256).alias("sha256"))
+    a = docs.where("doc_id % 2 = 0").select(F.expr("CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -doc_id - 1 END").alias("path"), "sha256")
+    b = docs.where("doc_id % 2 = 1").select(F.expr("CASE WHEN doc_id % 3 = 0 THEN doc_id - 3 ELSE doc_id END").alias("path"), "sha256")
+    return align.pair_files(a, b)
+
+
+@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 20 < 2), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 20 > 17)
+SELECT l_partkey, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_partkey, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def one_sided(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey")
+    return align.one_sided(lines.where("l_orderkey % 20 < 2"), lines.where("l_orderkey % 20 > 17"), ["l_partkey"])
+
+
+@query("""WITH r AS (SELECT user_id, ts, max(event_id) AS anchor FROM events WHERE event_id % 7 = 0 GROUP BY 1, 2)
+SELECT e.event_id, r.anchor FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts >= r.ts""")
+def asof_probe(spark, sf_dir):
+    events = table(spark, sf_dir, "events", "event_id", "user_id", "ts")
+    return align.as_of(events, events.where("event_id % 7 = 0").select("user_id", "ts", F.col("event_id").alias("anchor")), ["user_id"], "ts", ["anchor"]).select("event_id", F.col("asof_anchor").alias("anchor"))
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey AS lo, o_orderkey + 5 AS hi FROM orders WHERE o_orderkey % 40 = 0), p AS (SELECT o_custkey % 40 AS g, o_orderkey FROM orders)
+SELECT g, o_orderkey, lo AS owner FROM p LEFT JOIN (SELECT DISTINCT lo, hi FROM s) ON o_orderkey BETWEEN lo AND hi""")
+def interval_owner(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", F.col("o_custkey"), "o_orderkey")
+    points = orders.select((F.col("o_custkey") % 40).alias("g"), "o_orderkey", F.floor(F.col("o_orderkey") / 40).alias("region"))
+    spans = orders.where("o_orderkey % 40 = 0").select(F.floor(F.col("o_orderkey") / 40).alias("region"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + 5).alias("hi"), F.col("o_orderkey").alias("owner")).distinct()
+    return align.owners(points, spans, ["region"], "o_orderkey").select("g", "o_orderkey", "owner")
+
+
+@query("""SELECT state, count(*) AS documents FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'unseen' WHEN quality = 1 AND toxic = 1 THEN 'needs_relabel' WHEN n_chars % 2 = 1 THEN 'needs_recheck' WHEN quality = 0 THEN 'open' ELSE 'concluded' END AS state
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1""")
+def coverage_states(spark, sf_dir):
+    verdict = F.expr("CASE WHEN quality = 1 AND toxic = 1 THEN 'retired' WHEN quality = 0 THEN 'inconclusive' WHEN quality = 1 THEN 'safe' END")
+    labels = table(spark, sf_dir, "labels", "doc_id", verdict.alias("verdict"))
+    docs = table(spark, sf_dir, "documents", "doc_id", F.when(F.col("n_chars") % 2 == 1, "changed").otherwise("unchanged").alias("basis"))
+    state = ledgers.coverage_state(F.col("verdict"), F.col("basis"), ("safe", "inconclusive"))
+    return docs.join(labels, "doc_id", "left").groupBy(state.alias("state")).agg(F.count("*").alias("documents"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) = 1")
+def latest_annotation(spark, sf_dir):
+    return select.latest(table(spark, sf_dir, "conversations", "conv_id", "turn", "role"), ["conv_id"], ["turn", "role"])
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders")
+def round_robin(spark, sf_dir):
+    return rank.round_robin(table(spark, sf_dir, "orders", "o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 3")
+def first_k_of_each(spark, sf_dir):
+    return rank.first_of_each(table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", ["o_totalprice", "o_orderkey"], 3).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT source, doc_id FROM (SELECT source, doc_id, sum(n_chars) OVER w AS s, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE s <= 48000 OR n = 1""")
+def byte_budget_page(spark, sf_dir):
+    return rank.byte_budget(table(spark, sf_dir, "documents", "source", "doc_id", "n_chars"), "n_chars", ["source"], ["doc_id"]).select("source", "doc_id")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, epoch(ts)::BIGINT // 86400 AS day FROM events) SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS length FROM (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d) GROUP BY user_id, g""")
+def gaps_islands(spark, sf_dir):
+    return rank.islands(table(spark, sf_dir, "events", "user_id", F.floor(F.unix_timestamp("ts") / 86400).alias("day")), ["user_id"], "day")
+
+
+@query(r"""SELECT key, count(*) AS bodies FROM (SELECT sha256(regexp_replace(regexp_replace(html, '_[0-9a-fA-F]{6,}\b', '_@', 'g'), '0x[0-9a-fA-F]{6,}\b', '0x#', 'g')) AS key FROM pages) GROUP BY 1""")
+def skeleton_groups(spark, sf_dir):
+    return table(spark, sf_dir, "pages", text.skeleton_key(F.col("html")).alias("key")).groupBy("key").agg(F.count("*").alias("bodies"))
+
+
+CHAINS = "SELECT DISTINCT conv_id % 60 AS src, (conv_id * 7 + turn) % 60 AS dst FROM conversations WHERE conv_id % 3 = 0 AND turn < 2"
+
+
+@query(f"WITH RECURSIVE e AS ({CHAINS}), r AS (SELECT src AS seed, dst AS node FROM e WHERE src < 10 UNION SELECT r.seed, e.dst FROM r JOIN e ON r.node = e.src) SELECT seed, node FROM r")
+def closure(spark, sf_dir):
+    chains = table(spark, sf_dir, "conversations", "conv_id", "turn").where("conv_id % 3 = 0 AND turn < 2").select((F.col("conv_id") % 60).alias("src"), ((F.col("conv_id") * 7 + F.col("turn")) % 60).alias("dst")).distinct()
+    return graph.closure(chains, chains.where("src < 10").select(F.col("src").alias("node")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 900 AS src, l_partkey % 900 AS dst FROM lineitem WHERE l_orderkey % 61 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.reach = b.src)
+SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def linked_components(spark, sf_dir):
+    pairs = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").where("l_orderkey % 61 = 0").select((F.col("l_orderkey") % 900).alias("src"), (F.col("l_partkey") % 900).alias("dst"))
+    return graph.components(pairs)
+
+
+@query("SELECT user_id, count(*) AS calls, count(DISTINCT event_type) AS tools, CASE WHEN count(*) = count(value) THEN round(sum(value), 2) END AS bytes FROM events GROUP BY 1")
+def session_tally(spark, sf_dir):
+    return ledgers.session_tally(table(spark, sf_dir, "events", "user_id", "event_type", "value"), "user_id", "event_type", F.col("value")).withColumn("bytes", F.round("bytes", 2))
+
+
+@query("SELECT o_orderkey, CAST(concat('0x', substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) % 4 AS worker FROM orders")
+def unit_shards(spark, sf_dir):
+    return table(spark, sf_dir, "orders", "o_orderkey", text.shard(F.col("o_orderkey").cast("string"), 4).alias("worker"))
+
+
+@query("""WITH a AS (SELECT l_partkey, count(*) AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1), b AS (SELECT l_partkey, count(*) AS v FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1)
+SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, a.v AS value_a, b.v AS value_b, CASE WHEN a.v IS NULL THEN CASE WHEN b.l_partkey % 5 > 0 THEN 'added' ELSE 'undetermined' END WHEN b.v IS NULL THEN CASE WHEN a.l_partkey % 7 > 0 THEN 'removed' ELSE 'undetermined' END WHEN a.v = b.v THEN 'unchanged' ELSE 'changed' END AS state
+FROM a FULL JOIN b ON a.l_partkey = b.l_partkey""")
+def tri_state_delta(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey")
+    side = lambda k: lines.where(f"l_suppkey % 2 = {k}").groupBy("l_partkey").agg(F.count("*").alias("v"))
+    return align.delta(side(0), side(1), ["l_partkey"], "v", F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 7 > 0)
+
+
+@query("""SELECT d.doc_id, CASE WHEN v = 'exploitable' THEN -1 WHEN v = 'suspicious' OR (v = 'safe' AND n_chars % 2 = 1) THEN 0 WHEN v = 'safe' THEN 2 ELSE 1 END AS band
+FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'exploitable' WHEN quality = 1 THEN 'safe' ELSE 'suspicious' END AS v FROM labels) USING (doc_id)""")
+def annotation_bands(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels", "doc_id", F.expr("CASE WHEN toxic = 1 THEN 'exploitable' WHEN quality = 1 THEN 'safe' ELSE 'suspicious' END").alias("verdict"))
+    docs = table(spark, sf_dir, "documents", "doc_id", F.when(F.col("n_chars") % 2 == 1, "changed").otherwise("unchanged").alias("basis"))
+    return docs.join(labels, "doc_id", "left").select("doc_id", rank.annotation_band(F.col("verdict"), F.col("basis")).alias("band"))
+
+
+@query("SELECT substr(sha256(p_type || '|' || p_brand || '||' || coalesce(CAST(p_size AS VARCHAR), '')), 1, 16) AS fingerprint, count(*) AS instances FROM part GROUP BY 1")
+def same_shape_groups(spark, sf_dir):
+    key = text.fingerprint(F.col("p_type"), F.col("p_brand"), F.lit(None).cast("string"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part", key.alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("instances"))
+
 
-def recurrence_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_orderkey")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    return lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("p_brand").agg(F.countDistinct("l_suppkey").alias("runs"), F.countDistinct("l_orderkey").alias("hashes"), F.count("*").alias("instances"))
+@query("SELECT l_suppkey AS binary, l_partkey AS name, count(*) AS occurrences FROM lineitem GROUP BY 1, 2")
+def folded_occurrences(spark, sf_dir):
+    return edges.fold_occurrences(table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey").alias("name")), ["binary", "name"])
 
 
-QUERIES = {"recurrence_ledger": recurrence_ledger}
-ORACLE_SQL = {
-    "recurrence_ledger": """SELECT p_brand, count(DISTINCT l_suppkey) AS runs, count(DISTINCT l_orderkey) AS hashes, count(*) AS instances
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
-}
+@query("""SELECT l_suppkey AS binary, l_partkey AS name, EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 2 = 1 AND x.l_suppkey = c.l_suppkey AND x.l_partkey = c.l_partkey) AS resolved FROM lineitem c WHERE l_orderkey % 2 = 0""")
+def callees_resolved(spark, sf_dir):
+    return edges.callees_resolved(*_calls(spark, sf_dir))
