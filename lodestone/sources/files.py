@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes up to which a file's text is read.
@@ -10,7 +10,7 @@ MAX_TEXT = 5 << 20
 
 
 def read_image(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, sha256 and content of every file under a root; the files are split among tasks by size."""
+    """path, size, sha256 and content of every file under a root, empty files excepted, which Spark's reader leaves out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("size"), F.lower(F.sha2("content", 256)).alias("sha256"), "content")
 
@@ -30,13 +30,8 @@ def unique_binaries(image: DataFrame) -> DataFrame:
 def inventory(image: DataFrame) -> DataFrame:
     """Every file with how it was taken in or why it was not; exactly one of the two is set."""
     kind = file_type(F.col("content"), F.col("size"))
-    first = F.min("path").over(_by_hash())
+    first = F.min("path").over(Window.partitionBy("sha256"))
     taken = F.when((kind == "elf") & (F.col("path") == first), "binary").when(kind.isin("text", "script") & (F.col("size") <= MAX_TEXT), "text")
     why = F.when(taken.isNull(), F.when(kind == "elf", "same_content_as_another").when(F.col("size") > MAX_TEXT, "too_large").otherwise(F.concat(F.lit("type_"), kind)))
     return image.select("path", "sha256", "size", kind.alias("file_type"), taken.alias("inventoried_as"), why.alias("not_inventoried_reason"))
 
-
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("sha256")
