@@ -212,13 +212,12 @@ def _features(model):
     return compute
 
 
-def _scores(model):
+def _scores(model, names: list[str]):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (_, slope, share) = _evidence(model), model.value
         for b in batches:
-            at = np.array([features(own, t or "") for t in b.column("__text").to_pylist()]).reshape(-1, FEATURES)
+            at = np.array([features(own, t or "") for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
             score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at @ slope[:-1] + slope[-1], -500, 500)))
-            names = [c for c in b.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "__score"])
 
     return compute
@@ -272,21 +271,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int = SAMPLE) -> DataFrame:
-    """The given columns of docs with held_out, score and predicted, learnt from labels of rows that are not held out.
+def _with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int) -> DataFrame:
+    """The given columns of docs and __score, learnt from labels of rows that are not held out."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out(F.col("doc_id"))), sample))
+    return docs.mapInArrow(_scores(model, columns), docs.select(*columns).schema.add("__score", "double"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs (doc_id, text).
 
-    A null or empty text has the evidence of no words. Repeated rows score alike.
+    Other columns are ignored. A null or empty text has the evidence of no words.
+    Repeated rows score alike.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out(F.col("doc_id"))), sample))
-    given = docs.select(*columns, F.col("text").alias("__text"))
-    schema = given.drop("__text").schema.add("__score", "double")
-    out = given.mapInArrow(_scores(model), schema)
-    if "doc_id" in columns:
-        out = out.withColumn("held_out", held_out(F.col("doc_id")))
-    return out.withColumn("score", F.col("__score")).withColumn("predicted", (F.col("__score") >= THRESHOLD).cast("int")).drop("__score")
+    score = F.col("__score")
+    return _with_scores(docs.select("doc_id", "text"), labels, ["doc_id"], sample).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_ordinary(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with their columns, that are not predicted toxic."""
+    return _with_scores(docs, labels, docs.columns, sample).where(F.col("__score") < THRESHOLD).drop("__score")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return scored(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), ["doc_id"])
+    return scored(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))

@@ -57,7 +57,7 @@ def test_held_out_documents_and_odd_rows(spark):
     odd = [(None, None), (5000, ""), (5001, None), (0, rows[0][1]), (5002, "x" * 100_000), (5003, "grublik " * 3)]
     docs = spark.createDataFrame([(*r, "k") for r in rows + odd], "doc_id long, text string, score string")
     known = spark.createDataFrame([*labels, (None, 1), (7, None), (5001, 0)], "doc_id long, toxic int")
-    got = toxicity.scored(docs, known, ["doc_id"]).collect()
+    got = toxicity.scored(docs, known).collect()
     assert len(got) == len(rows) + len(odd)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     truth = dict(labels)
@@ -65,7 +65,9 @@ def test_held_out_documents_and_odd_rows(spark):
     away = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in away) / len(away) > 0.95
     assert next(r for r in got if r.doc_id == 5003).predicted == 1
-    again = toxicity.scored(docs.repartition(3), known, ["doc_id"]).collect()
+    again = toxicity.scored(docs.repartition(3), known).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    assert toxicity.scored(docs.limit(0), known, ["doc_id"]).count() == 0
-    assert {r.score for r in toxicity.scored(docs, known.limit(0), ["doc_id"]).collect()} == {0.0}
+    assert toxicity.scored(docs.limit(0), known).count() == 0
+    assert {r.score for r in toxicity.scored(docs, known.limit(0)).collect()} == {0.0}
+    kept = toxicity.keep_ordinary(docs, known)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
