@@ -1,0 +1,91 @@
+"""Functions over code bodies that need more than expressions: Arrow-batched, a whole body at a time."""
+
+from __future__ import annotations
+
+import difflib
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Token pairs of two bodies above which a difference is not worked out.
+MOST_PAIRS = 5_000_000
+TOKEN = re.compile(r"\w+|[^\w\s]")
+ASSIGN = re.compile(r"^\s*(?:[\w\s*]+\s)?\*?([A-Za-z_]\w*)\s*=\s*(?!=)(.+?);?\s*$")
+CALL = re.compile(r"^\s*(?:[A-Za-z_]\w*\s*=\s*)?([A-Za-z_]\w*)\s*\((.*)\)\s*;?\s*$")
+WORD = re.compile(r"[A-Za-z_]\w*")
+#: Calls whose first argument is what they write.
+BUILDERS = ("strcpy", "strncpy", "strcat", "strncat", "sprintf", "snprintf", "memcpy", "memmove")
+DELTA = T.StructType([T.StructField("state", T.StringType()), T.StructField("removed", T.IntegerType()), T.StructField("added", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("hunks", T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))])
+
+
+def text_delta(a: str | None, b: str | None) -> dict | None:
+    """identical, substitution (as many tokens, some others), structural, or too_large; null without both bodies."""
+    if a is None or b is None:
+        return None
+    if a == b:
+        return {"state": "identical", "removed": 0, "added": 0, "ratio": 1.0, "hunks": []}
+    la, lb = a.splitlines(), b.splitlines()
+    if len(la) * len(lb) > MOST_PAIRS:
+        return {"state": "too_large", "removed": None, "added": None, "ratio": None, "hunks": []}
+    match = difflib.SequenceMatcher(None, la, lb, autojunk=False)
+    hunks = [("\n".join(la[i:j]), "\n".join(lb[k:m])) for op, i, j, k, m in match.get_opcodes() if op != "equal"]
+    swapped = all(len(TOKEN.findall(x)) == len(TOKEN.findall(y)) and x and y for x, y in hunks)
+    return {"state": "substitution" if swapped else "structural", "removed": sum(len(x.splitlines()) for x, _ in hunks), "added": sum(len(y.splitlines()) for _, y in hunks), "ratio": match.ratio(), "hunks": [{"a": x, "b": y} for x, y in hunks]}
+
+
+@F.pandas_udf(DELTA)
+def body_delta(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    empty = {"state": None, "removed": None, "added": None, "ratio": None, "hunks": None}
+    return pd.DataFrame([text_delta(x, y) or empty for x, y in zip(a, b, strict=True)], columns=list(empty))
+
+
+def flows_into(body: str | None, variable: str | None) -> list[str] | None:
+    """Names that a variable is made from in a body, by assignments and builder calls, through cycles too.
+
+    The variable itself is among them only when it is reached again.
+    """
+    if body is None or variable is None:
+        return None
+    made: dict[str, set[str]] = {}
+    for line in re.split(r"[\n;{}]", body):
+        if m := ASSIGN.match(line):
+            called = set(re.findall(r"([A-Za-z_]\w*)\s*\(", m[2]))
+            made.setdefault(m[1], set()).update(w for w in WORD.findall(re.sub(r'"[^"]*"', "", m[2])) if w not in called)
+        if (m := CALL.match(line)) and m[1] in BUILDERS:
+            names = [WORD.findall(re.sub(r'"[^"]*"', "", x)) for x in arguments(m[2])]
+            if names and names[0]:
+                made.setdefault(names[0][0], set()).update(w for x in names[1:] for w in x)
+    found: set[str] = set()
+    todo = [variable]
+    while todo:
+        for w in made.get(todo.pop(), ()):
+            if w not in found:
+                found.add(w)
+                todo.append(w)
+    return sorted(found)
+
+
+def arguments(text: str) -> list[str]:
+    """Arguments of a call, split at commas outside brackets and quotes."""
+    out, depth, quote, at = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and text[i - 1] != "\\" else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(text[at:i].strip())
+            at = i + 1
+    last = text[at:].strip()
+    return [*out, last] if last or out else []
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def body_sources(body: pd.Series, variable: pd.Series) -> pd.Series:
+    return pd.Series([flows_into(x, y) for x, y in zip(body, variable, strict=True)])
