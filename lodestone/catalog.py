@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import align, edges, graph, ledgers, rank, select
+from lodestone.operators import align, calls, edges, graph, ledgers, rank, select
 from lodestone.sources import textfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,3 +307,27 @@ def folded_occurrences(spark, sf_dir):
 @query("""SELECT l_suppkey AS binary, l_partkey AS name, EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 2 = 1 AND x.l_suppkey = c.l_suppkey AND x.l_partkey = c.l_partkey) AS resolved FROM lineitem c WHERE l_orderkey % 2 = 0""")
 def callees_resolved(spark, sf_dir):
     return edges.callees_resolved(*_calls(spark, sf_dir))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand || '-' || p_size AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_brand || '-' || p_size AS name FROM part WHERE p_partkey % 2 = 1)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'b_only' WHEN b.name IS NULL THEN 'undetermined' ELSE 'both' END AS state FROM a FULL JOIN b ON a.name = b.name""")
+def stub_ledger(spark, sf_dir):
+    part = table(spark, sf_dir, "part", "p_partkey", F.concat_ws("-", "p_brand", "p_size").alias("name"))
+    return calls.stub_ledger(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), True, False)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS subject, o_orderstatus AS was FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS subject, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS now FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(o.subject, n.subject) AS subject, 'status' AS field, was, now, CASE WHEN o.subject IS NULL THEN 'added' WHEN n.subject IS NULL THEN 'dropped' ELSE 'changed' END AS kind FROM o FULL JOIN n ON o.subject = n.subject WHERE o.subject IS NULL OR n.subject IS NULL OR was IS DISTINCT FROM now""")
+def facts_delta(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", F.col("o_orderkey").alias("subject"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"))
+    new = orders.where("subject % 5 <> 0").withColumn("value", F.when(F.col("subject") % 7 == 0, "X").otherwise(F.col("value")))
+    return calls.facts_delta(orders.where("subject % 3 <> 0"), new)
+
+
+@query("""WITH f AS (SELECT l_suppkey AS binary, l_orderkey AS caller, list(l_partkey ORDER BY l_partkey) AS callees FROM lineitem GROUP BY 1, 2), w AS (SELECT DISTINCT l_suppkey AS binary, l_partkey AS name FROM lineitem WHERE l_partkey % 10 = 0)
+SELECT f.binary, caller, c AS callee, count(*) AS calls FROM (SELECT binary, caller, unnest(callees) AS c FROM f) f JOIN w ON f.binary = w.binary AND c = w.name WHERE caller <> c GROUP BY 1, 2, 3""")
+def wrapper_calls(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_orderkey").alias("name"), "l_partkey")
+    functions = lines.groupBy("binary", "name").agg(F.array_sort(F.collect_list("l_partkey")).alias("callees"))
+    wrappers = lines.where("l_partkey % 10 = 0").select("binary", F.col("l_partkey").alias("name"), F.lit("cmd").alias("sink")).distinct()
+    return calls.wrapper_calls(functions, wrappers).groupBy("binary", "caller", "callee").agg(F.count("*").alias("calls"))
