@@ -324,8 +324,8 @@ def facts_delta(spark, sf_dir):
     return calls.facts_delta(orders.where("subject % 3 <> 0"), new)
 
 
-@query("""WITH f AS (SELECT l_suppkey AS binary, l_orderkey AS caller, list(l_partkey ORDER BY l_partkey) AS callees FROM lineitem GROUP BY 1, 2), w AS (SELECT DISTINCT l_suppkey AS binary, l_partkey AS name FROM lineitem WHERE l_partkey % 10 = 0)
-SELECT f.binary, caller, c AS callee, count(*) AS calls FROM (SELECT binary, caller, unnest(callees) AS c FROM f) f JOIN w ON f.binary = w.binary AND c = w.name WHERE caller <> c GROUP BY 1, 2, 3""")
+@query("""WITH f AS (SELECT l_suppkey AS b, l_orderkey AS caller, list(l_partkey ORDER BY l_partkey) AS callees FROM lineitem GROUP BY 1, 2), w AS (SELECT DISTINCT l_suppkey AS b, l_partkey AS name FROM lineitem WHERE l_partkey % 10 = 0)
+SELECT f.b AS binary, caller, c AS callee, count(*) AS calls FROM (SELECT b, caller, unnest(callees) AS c FROM f) f JOIN w ON f.b = w.b AND c = w.name WHERE caller <> c GROUP BY 1, 2, 3""")
 def wrapper_calls(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_orderkey").alias("name"), "l_partkey")
     functions = lines.groupBy("binary", "name").agg(F.array_sort(F.collect_list("l_partkey")).alias("callees"))
