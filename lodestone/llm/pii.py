@@ -91,16 +91,21 @@ def base_spans(kind: str, text: Column) -> Column:
 
 
 def written(kinds: list[tuple[str, Column]]) -> Column:
-    each = [F.transform(spans, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k, spans in kinds]
-    return F.array_join(F.concat(*each), ",")
+    def each(kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*(each(*k) for k in kinds)), ",")
 
 
 def found_entities(docs: DataFrame) -> DataFrame:
     """doc_id, a digest of the text, the base spans of each kind and, of every entity, the terms near it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("digest"), "text", *(base_spans(k, F.col("text")).alias(k) for k in KINDS))
-    entities = F.concat(*(F.transform(k, lambda s, k=k: F.struct(F.lit(k).alias("kind"), F.lower(s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
-    listed = read.withColumn("entities", entities)
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+
+    listed = read.withColumn("entities", F.concat(*map(named, KINDS)))
 
     def terms(start: Column, end: Column) -> Column:
         """Whole terms between two places, with one character more on either side to see whether they are whole."""
@@ -155,7 +160,11 @@ def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = G
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
     """docs with its columns, personal data in text replaced by its class, removed terms cut and generalised ones named."""
     marks = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
-    spans = F.array_sort(F.concat(*(F.transform(k, lambda s, m=m: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(m).alias("mark"))) for k, m in marks.items())))
+
+    def marked(kind: str, mark: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")))
+
+    spans = F.array_sort(F.concat(*(marked(*k) for k in marks.items())))
     found = find_personal(docs, **limits).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), spans.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"])
     text = F.col("text")
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"]).alias("out")))
@@ -171,3 +180,30 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [(k, F.col(k)) for k in KINDS]
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written([*base, ("remove", F.col("removed")), ("generalise", F.col("generalised"))]).alias("spans"))
+
+
+OP1_SQL = r"""
+WITH m AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT rid, 0 AS k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS v, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM m
+UNION ALL SELECT rid, 1, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), string_split_regex(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') FROM m
+UNION ALL SELECT rid, 2, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') FROM m
+UNION ALL SELECT rid, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM m),
+each_ AS (SELECT rid, k, i, v[i] AS value, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM found)),
+placed AS (SELECT rid, k, value, CAST(sum(gap + length(value)) OVER (PARTITION BY rid, k ORDER BY i) AS BIGINT) AS e, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM each_),
+base AS (SELECT rid, k, lower(value) AS entity, e - length(value) AS s, e FROM placed WHERE k = 0
+OR k = 1 AND len(list_filter(string_split(value, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0
+OR k = 2 AND length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(reverse(digits), j + 1, 1) AS INT) WHEN CAST(substr(reverse(digits), j + 1, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(digits), j + 1, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(digits), j + 1, 1) AS INT) END)) % 10 = 0
+OR k = 3 AND length(digits) BETWEEN 8 AND 15),
+words AS (SELECT rid, t, regexp_extract_all(lower(t), '\pL{3,}') AS v, string_split_regex(lower(t), '\pL{3,}') AS g FROM m WHERE rid IN (SELECT rid FROM base)),
+terms AS (SELECT rid, t, term, CAST(sum(gap + length(term)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e FROM (SELECT rid, t, i, v[i] AS term, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM words))),
+near AS (SELECT w.rid, sha256(w.t) AS digest, b.k, b.entity, w.term, w.e - length(w.term) AS s, w.e FROM terms w JOIN base b ON w.rid = b.rid AND ((w.e - length(w.term) >= b.s - 60 AND w.e <= b.s) OR (w.e - length(w.term) >= b.e AND w.e <= b.e + 60))
+WHERE NOT EXISTS (SELECT 1 FROM base o WHERE o.rid = w.rid AND o.s < w.e AND w.e - length(w.term) < o.e)),
+both_ AS (SELECT k, entity, term, count(DISTINCT rid) AS n FROM near GROUP BY ALL HAVING count(DISTINCT digest) >= 2),
+frequency AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT rid, unnest(regexp_extract_all(lower(t), '\pL{3,}')) AS term FROM m) GROUP BY 1),
+told AS (SELECT k, entity, term, log2(f.n) - log2(b.n) AS hidden FROM both_ b JOIN frequency f USING (term)),
+added AS (SELECT rid, s, e, CASE WHEN min(hidden) <= 0.5 THEN 4 ELSE 5 END AS k FROM near JOIN told USING (k, entity, term) WHERE hidden <= 1.5 GROUP BY rid, s, e),
+spans AS (SELECT rid, k, s, e FROM base UNION ALL SELECT rid, k, s, e FROM added),
+lists AS (SELECT rid, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base_spans, string_agg(['email', 'ip', 'card', 'phone', 'remove', 'generalise'][k + 1] || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM m LEFT JOIN lists USING (rid)
+"""

@@ -91,7 +91,18 @@ def test_disclosing_terms_by_brute_force(spark):
         want.append((str(d), hashlib.sha256((t or "").encode()).hexdigest(), sorted(x for x, w in best.items() if w), sorted(x for x, w in best.items() if not w)))
     assert sorted((str(r.doc_id), r.digest, [(s.start, s.end) for s in r.removed], [(s.start, s.end) for s in r.generalised]) for r in got) == sorted(want)
     assert any(w[2] for w in want) and any(w[3] for w in want)
+    assert {e.kind for r in pii.found_entities(df).collect() for e in r.near or []} == {"email"}
     clean = pii.sanitised(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
-    assert clean.where(F.col("text").contains("@")).count() == 0
+    assert clean.where(F.col("text").contains("@")).count() == 0 and clean.where(F.col("text").contains("[EMAIL]")).count() == 22
     assert pii.find_personal(df.limit(0)).count() == 0
+
+
+def test_the_query_writes_kinds_and_digests(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op1_pii(spark, str(tmp_path)).collect():
+        want = [f"{k}:{a}:{b}" for k, v in brute(rows[r.doc_id][1] or "").items() for a, b in v]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.spans.split(",") if r.spans else [])[: len(want)] == want
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k + ":") for x in want) for k in pii.KINDS]
