@@ -30,7 +30,7 @@ SEQUENCE = 2048
 #: Parts in which the ranks of one length are counted, so that a hot length is shared by many tasks.
 RANK_PARTS = 256
 #: Word ids that a worker keeps; a full cache is dropped.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 
 def byte_ranks(model: Tokenizer) -> dict[bytes, int] | None:

@@ -41,7 +41,7 @@ PASSAGE = 24
 GRAMS = 260_000
 THRESHOLD = 0.3
 #: Words whose evidence a worker keeps; a full cache is dropped.
-CACHE = 300_000
+CACHE = 100_000
 WORDS = re.compile(r"\w+")
 
 
@@ -195,16 +195,16 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _evidence(shared) -> Evidence:
     """This worker's cache for a broadcast model."""
-    model = shared.value[0]
+    model = shared.value
     held = getattr(_evidence, "held", None)
     if held is None or held.model is not model:
         _evidence.held = held = Evidence(model)
     return held
 
 
-def _features(model):
+def _features(shared):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _evidence(model)
+        own = _evidence(shared)
         for b in batches:
             rows = [features(own, t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(FEATURES))], ["toxic", *NAMES])
@@ -212,9 +212,9 @@ def _features(model):
     return compute
 
 
-def _scores(model, names: list[str]):
+def _scores(shared, slope: np.ndarray | None, share: float, names: list[str]):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (_, slope, share) = _evidence(model), model.value
+        own = _evidence(shared)
         for b in batches:
             at = np.array([features(own, t or "") for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
             score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at @ slope[:-1] + slope[-1], -500, 500)))
@@ -236,7 +236,7 @@ def frequent(counted: DataFrame, most: int = GRAMS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """The model (evidence, coefficients, share of toxic labels) from the labelled rows of docs.
+    """The model, sent to the executors once, its coefficients and the share of toxic labels, from the labelled rows of docs.
 
     ``labels`` has doc_id and toxic; null ones are ignored, and a doc_id with any
     label 1 is toxic. Of documents of one doc_id the smallest text is learnt from.
@@ -254,16 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         counted = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
         kept = frequent(staged(counted, "grams")).toPandas()
         model = Model(dict(zip(kept.gram, zip(kept.ordinary.tolist(), kept.toxic.tolist(), strict=True), strict=True)))
-        shared = docs.sparkSession.sparkContext.broadcast((model, None, share))
+        shared = docs.sparkSession.sparkContext.broadcast(model)
         # Rows: those of the sample, a few numbers each.
         held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_features(shared), "toxic int, " + ", ".join(f"{c} double" for c in NAMES)).toPandas().sort_values(["toxic", *NAMES])
     finally:
         chosen.unpersist()
     y = held.toxic.to_numpy(float)
     if len(set(y)) < 2:
-        return model, None, share
+        return shared, None, share
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
-    return model, logistic(held[NAMES].to_numpy(), y, weight / weight.mean()), share
+    return shared, logistic(held[NAMES].to_numpy(), y, weight / weight.mean()), share
 
 
 def held_out(doc_id: Column) -> Column:
@@ -273,8 +273,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _with_scores(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int) -> DataFrame:
     """The given columns of docs and __score, learnt from labels of rows that are not held out."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held_out(F.col("doc_id"))), sample))
-    return docs.mapInArrow(_scores(model, columns), docs.select(*columns).schema.add("__score", "double"))
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))), sample)
+    return docs.mapInArrow(_scores(*model, columns), docs.select(*columns).schema.add("__score", "double"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
