@@ -66,7 +66,7 @@ class Model:
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, strength: float = STRENGTH):
-        self.order, self.shared = order, shared
+        self.order, self.shared, self.evidence = order, shared, None
         raw = {g: n for g, v in counts.items() if (n := sum(v))}
         after = Counter(g[1:] for g in raw if len(g) > 1)
         lower = {g: n if g[0] == START else max(1, after[g]) for g, n in raw.items() if len(g) < order}
@@ -194,12 +194,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _evidence(shared) -> Evidence:
-    """This worker's cache for a broadcast model."""
+    """This worker's cache for a broadcast model; it goes when the worker drops the model."""
     model = shared.value
-    held = getattr(_evidence, "held", None)
-    if held is None or held.model is not model:
-        _evidence.held = held = Evidence(model)
-    return held
+    if model.evidence is None:
+        model.evidence = Evidence(model)
+    return model.evidence
 
 
 def _features(shared):
