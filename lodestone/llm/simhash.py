@@ -225,6 +225,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _rooted(docs: DataFrame, radius: int) -> DataFrame:
+    """simhash_groups with each component's root fingerprint, which no other component has."""
+    marked = staged(docs.select(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, digest string, fp long"), "fingerprints")
+    fps = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(links(fps, radius))
+    homed = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
+    named = homed.join(homed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "root")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Every row's doc_id, text digest, fingerprint and component.
 
@@ -233,12 +243,7 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     A null doc_id is never a component's smallest, unless it has no other.
     Returns doc_id, digest (of the text), fp (signed), component_id.
     """
-    marked = staged(docs.select(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, digest string, fp long"), "fingerprints")
-    fps = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(fps, radius))
-    homed = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
-    named = homed.join(homed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
+    return _rooted(docs, radius).drop("root")
 
 
 def hex_digits(fp):
@@ -247,8 +252,8 @@ def hex_digits(fp):
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents with one row for each component: its smallest doc_id (a null last), then the smallest digest of its text."""
-    groups = simhash_groups(docs, radius)
-    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
+    groups = _rooted(docs, radius)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
     marked = docs.withColumn("__digest", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     one = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__digest") == F.col("kept_digest")), "left_semi")
     return one.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

@@ -79,3 +79,9 @@ def test_documents_with_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(d or -1 for d in {1, 3, 6, 7, 9, None})
     assert simhash.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_components_without_ids_stay_apart(spark):
+    rows = [(None, "alone here it is"), (None, "something else stands over there"), (None, "something else stands over there"), (3, "one two")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == ["alone here it is", "one two", "something else stands over there"]
