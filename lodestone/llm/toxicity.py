@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from lodestone.plans.staging import staged
 
 SAMPLE = 6000
-#: Letters of the longest n-gram, and below how many of them classes do not differ.
+#: Letters of the longest n-gram that is counted, of a model whose caller names none, and below how many of them classes do not differ.
+LONGEST = 9
 ORDER = 6
 SHARED = 3
 DISCOUNT = 0.9
@@ -37,12 +38,17 @@ FEATURES = 7
 NAMES = [f"f{i}" for i in range(FEATURES)]
 #: Words of a passage.
 PASSAGE = 24
-#: The most n-grams that are kept, by a least number of documents that is as low as that allows.
-GRAMS = 260_000
 THRESHOLD = 0.3
 #: Words whose evidence a worker keeps; a full cache is dropped.
 CACHE = 100_000
 WORDS = re.compile(r"\w+")
+#: Texts whose unseen words are read together, and distinct words that are counted together.
+TEXTS, KINDS = 64, 50_000
+#: Slices, a power of two, in which the driver fetches the n-grams.
+SLICES = 16
+#: An n-gram is known by a 64-bit polynomial of its letters' hashes; the factor is odd, so an end can be taken off.
+FACTOR = 0x9E3779B97F4A7C13
+COLUMNS = ["gram", "prefix", "suffix", "letters", "ordinary", "toxic"]
 
 
 def grams(word: str, order: int = ORDER) -> Iterator[str]:
@@ -54,75 +60,150 @@ def grams(word: str, order: int = ORDER) -> Iterator[str]:
                 yield w[i - n : i]
 
 
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A hash of each code point."""
+    x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
+
+
+class Spelt:
+    """Words between their marks, one after another, and the hashes of their n-grams by the place they end at."""
+
+    def __init__(self, words: list[str]):
+        marked = [f"{START}{w}{END}" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(words))
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        #: How many letters of its word there are up to each place.
+        self.upto = np.arange(len(self.word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        self.code = _codes(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32))
+
+    def hashes(self, order: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For n from 1 to ``order``, the hash of the n letters up to each place; it means nothing where a word has fewer."""
+        found, power = np.zeros(len(self.code), np.uint64), np.uint64(1)
+        for n in range(1, order + 1):
+            if n <= len(self.code):
+                found = found.copy()
+                found[n - 1 :] += self.code[: len(self.code) - n + 1] * power
+            yield n, found
+            power = np.uint64(int(power) * FACTOR % 2**64)
+
+
+def counted(words: dict[str, tuple[int, int]], order: int) -> list[np.ndarray]:
+    """Columns of all n-grams of words with their numbers in both classes: hash, hash without the last and without the first letter, letters (negative from a word's start on) and both numbers.
+
+    Those of ``grams``; one row for each n-gram.
+    """
+    spelt, parts = Spelt(list(words)), []
+    numbers = np.array(list(words.values()), np.int64).reshape(-1, 2)
+    before = np.zeros(len(spelt.code), np.uint64)
+    for n, own in spelt.hashes(order):
+        at = np.flatnonzero((spelt.upto >= n) & (spelt.upto > 1))
+        _, first, group = np.unique(own[at], return_index=True, return_inverse=True)
+        one = at[first]
+        prefix = before[one - 1] if n > 1 else np.zeros(len(one), np.uint64)
+        both = [np.bincount(group, numbers[spelt.word[at], c], len(one)).astype(np.int64) for c in (0, 1)]
+        parts.append((own[one], prefix, before[one], np.where(spelt.upto[one] == n, -n, n), *both))
+        before = own
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _listed(counts: dict[str, tuple[int, int]]) -> list[np.ndarray]:
+    """The columns of ``counted`` of n-grams that are given by their letters."""
+
+    def hashed(g: str) -> int:
+        out = 0
+        for x in _codes(np.array([ord(c) for c in g], np.uint32)).tolist():
+            out = (out * FACTOR + x) % 2**64
+        return out
+
+    held = {g: v for g, v in counts.items() if sum(v)}
+    keys = [np.array([hashed(f(g)) for g in held], np.uint64) for f in (lambda g: g, lambda g: g[:-1], lambda g: g[1:])]
+    return [*keys, np.array([-len(g) if g[0] == START else len(g) for g in held], np.int64), *(np.array([v[c] for v in held.values()], np.int64) for c in (0, 1))]
+
+
 class Model:
     """Differences of log-likelihoods, as a back-off table: seen n-grams, and contexts' weights for the others.
 
-    ``counts`` has each n-gram's number in ordinary and in toxic documents. The shared
+    ``counts`` has each n-gram's number in ordinary and in toxic documents, or is the
+    columns of ``counted``; the n-grams inside of one are there too. The shared
     model is Kneser-Ney over both: discounted counts in a context, interpolated with how
     many letters the shorter n-grams were seen after. A class discounts its own
     counts in a context and shares what is left, with ``strength`` more, as the shared
     model does there and as the class differs from it in the context one letter
     shorter. So each class has, for every n-gram, a ratio to the shared probability.
+    The table is sorted hashes, with each one's logarithm and its weight as a context.
     """
 
-    def __init__(self, counts: dict[str, tuple[int, int]], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, strength: float = STRENGTH):
+    def __init__(self, counts: dict[str, tuple[int, int]] | list[np.ndarray], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, strength: float = STRENGTH):
         self.order, self.shared, self.evidence = order, shared, None
-        raw = {g: n for g, v in counts.items() if (n := sum(v))}
-        after = Counter(g[1:] for g in raw if len(g) > 1)
-        lower = {g: n if g[0] == START else max(1, after[g]) for g, n in raw.items() if len(g) < order}
-        own_total, own_kinds = (Counter(), Counter()), (Counter(), Counter())
-        for g in raw:
-            for c in (0, 1):
-                if counts[g][c]:
-                    own_total[c][g[:-1]] += counts[g][c]
-                    own_kinds[c][g[:-1]] += 1
-        sums = []
-        for table in (raw, lower):
-            total, kinds = Counter(), Counter()
-            for g, n in table.items():
-                total[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            sums.append((table, total, kinds))
-        least = 1 / (sums[1][2][""] + 1)
-        memo: dict[str, float] = {}
-        ratios: dict[str, tuple[float, float]] = {}
-
-        def spread(k: int, g: str) -> float:
-            """The last letter's probability by raw (0) or continuation (1) counts, interpolated with shorter contexts' continuation counts."""
-            table, total, kinds = sums[k]
-            h, up = g[:-1], continued(g[1:])
-            return (max(table.get(g, 0) - discount, 0) + discount * kinds[h] * up) / total[h] if h in total else up
-
-        def continued(g: str) -> float:
-            if not g:
-                return least
-            if g not in memo:
-                memo[g] = spread(1, g)
-            return memo[g]
-
-        def ratio(g: str) -> tuple[float, float]:
-            if len(g) < shared:
-                return 1.0, 1.0
-            if g not in ratios:
-                h, up, v, p = g[:-1], ratio(g[1:]), counts.get(g, (0, 0)), spread(0, g)
-                ratios[g] = tuple((max(v[c] - discount, 0) / p + (strength + discount * own_kinds[c][h]) * up[c]) / (strength + own_total[c][h]) for c in (0, 1))
-            return ratios[g]
-
-        self.seen = {g: math.log(r[1] / r[0]) for g in raw if len(g) >= shared and (r := ratio(g))}
-        left = lambda c, h: (strength + discount * own_kinds[c][h]) / (strength + own_total[c][h])
-        self.weights = {h: math.log(left(1, h) / left(0, h)) for h in sums[0][1] if len(h) >= shared - 1}
+        columns = _listed(counts) if isinstance(counts, dict) else counts
+        if len(columns[0]) > 1 and (columns[0][1:] <= columns[0][:-1]).any():
+            by = np.argsort(columns[0])
+            columns = [c[by] for c in columns]
+        self.gram, prefix, suffix, letters, *own = columns
+        if len(self.gram) > 1 and (self.gram[1:] == self.gram[:-1]).any():
+            raise ValueError("two n-grams have one hash")
+        size, starts, rows = np.abs(letters).astype(np.int8), letters < 0, len(self.gram)
+        tail = np.searchsorted(self.gram, suffix).astype(np.int32)  # means nothing for one letter
+        heads, context = np.unique(prefix, return_inverse=True)
+        context = context.astype(np.int32)
+        counts = columns = prefix = suffix = letters = None
+        raw = own[0] + own[1]
+        lower = np.where(starts, raw, np.maximum(1, np.bincount(tail[size > 1], minlength=rows)[:rows])).astype(np.int32)
+        row = lambda x, where=slice(None): np.bincount(context[where], x, len(heads))
+        short = size < order
+        sums = [(raw, row(raw), np.bincount(context, minlength=len(heads))), (lower, row(lower[short], short), np.bincount(context[short], minlength=len(heads)))]
+        spread = lambda k, at, up: (np.maximum(sums[k][0][at] - discount, 0) + discount * sums[k][2][context[at]] * up) / sums[k][1][context[at]]
+        total = [strength + row(own[c]) for c in (0, 1)]
+        left = [strength + discount * row(own[c] > 0) for c in (0, 1)]
+        self.seen, self.weight = np.zeros(rows), np.zeros(rows)
+        # A context of two letters and more is an n-gram itself.
+        held = np.unique(context[size >= max(shared, 3)])
+        self.weight[np.searchsorted(self.gram, heads[held])] = np.log(left[1][held] / total[1][held]) - np.log(left[0][held] / total[0][held])
+        heads = held = None
+        continued, ratios = np.zeros(rows), [np.ones(rows), np.ones(rows)]
+        for n in range(1, order + 1):
+            at = np.flatnonzero(size == n)
+            up = continued[tail[at]] if n > 1 else 1 / (len(at) + 1)
+            if n < order:
+                continued[at] = spread(1, at, up)
+            if n >= shared:
+                p, h = spread(0, at, up), context[at]
+                for c in (0, 1):
+                    ratios[c][at] = (np.maximum(own[c][at] - discount, 0) / p + left[c][h] * ratios[c][tail[at]]) / total[c][h]
+                self.seen[at] = np.log(ratios[1][at] / ratios[0][at])
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word."""
+        spelt = Spelt(words)
+        size, rows = len(spelt.code), len(self.gram)
+        if not size or not rows:
+            return np.zeros(len(words))
+        out, last = np.zeros(size), np.zeros(size)
+        before = np.full(size, -1)
+        for n, own in spelt.hashes(self.order):
+            if n < self.shared - 1:
+                continue
+            # All inside of a seen n-gram is seen, so one is looked for only where its shorter one was found.
+            open_ = np.flatnonzero((spelt.upto >= n) & (spelt.upto > 1) & ((before >= 0) | (n <= self.shared)))
+            at = np.minimum(np.searchsorted(self.gram, own[open_]), rows - 1)
+            hit = self.gram[at] == own[open_]
+            now = np.full(size, -1)
+            now[open_[hit]] = at[hit]
+            if n >= self.shared:
+                ends = np.flatnonzero(spelt.upto >= n)
+                seen = now[ends] >= 0
+                last[ends[seen]] = self.seen[now[ends[seen]]]
+                miss = ends[~seen]
+                head = before[miss - 1]
+                out[miss] += np.where(head >= 0, self.weight[head], 0.0)
+            before = now
+        return np.bincount(spelt.word, out + last, len(words))
 
     def word(self, word: str) -> float:
-        """Toxic less ordinary log-likelihood of a word."""
-        w, out, seen, weights = f"{START}{word}{END}", 0.0, self.seen, self.weights
-        for i in range(self.shared, len(w) + 1):
-            for k in range(max(0, i - self.order), i - self.shared + 1):
-                found = seen.get(w[k:i])
-                if found is not None:
-                    out += found
-                    break
-                out += weights.get(w[k : i - 1], 0.0)
-        return out
+        return float(self.words([word])[0])
 
 
 class Evidence(dict):
@@ -131,21 +212,31 @@ class Evidence(dict):
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def learn(self, words: Iterable[str]) -> None:
+        """Read the words that are not here yet, together."""
         if len(self) >= CACHE:
             self.clear()
-        self[word] = found = self.model.word(word)
-        return found
+        new = [w for w in words if w not in self]
+        self.update(zip(new, self.model.words(new).tolist(), strict=True))
+
 
+def listed_features(evidence: Evidence, texts: list[str | None]) -> list[list[float]]:
+    """``features`` of each text; unseen words of some texts are read together."""
+    out = []
+    for i in range(0, len(texts), TEXTS):
+        part = [WORDS.findall((t or "").lower()) for t in texts[i : i + TEXTS]]
+        evidence.learn(set().union(*part))
+        out += [features(evidence, words) for words in part]
+    return out
 
-def features(evidence: Evidence, text: str) -> list[float]:
+
+def features(evidence: Evidence, words: list[str]) -> list[float]:
     """What a text's words give away.
 
     The evidence of its most toxic word, three words and eight words; the words that
     are clearly toxic, over the root of the length; the length-normalised difference
     of the whole text's log-likelihoods and that of its most toxic passage; its length.
     """
-    words = WORDS.findall(text.lower())
     n = len(words)
     if not n:
         return [0.0] * FEATURES
@@ -174,23 +265,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    found: dict[str, list[int]] = {}
 
-    def table() -> pa.RecordBatch:
-        kinds: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for c in (0, 1):
-            for word, n in found[c].items():
-                for g in grams(word):
-                    kinds[g][c] += n
-            found[c].clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(kinds), pa.string()), *(pa.array([v[c] for v in kinds.values()], pa.int64()) for c in (0, 1))], ["gram", "ordinary", "toxic"])
+    def tables() -> Iterator[pa.RecordBatch]:
+        names = list(found)
+        for i in range(0, len(names), KINDS):
+            columns = counted({w: found[w] for w in names[i : i + KINDS]}, LONGEST)
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], COLUMNS)
+        found.clear()
 
     for b in batches:
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            found[toxic].update(set(WORDS.findall((text or "").lower())))
-            if len(found[0]) + len(found[1]) > 500_000:
-                yield table()
-    yield table()
+            for word in set(WORDS.findall((text or "").lower())):
+                found.setdefault(word, [0, 0])[toxic] += 1
+            if len(found) > 200_000:
+                yield from tables()
+    yield from tables()
 
 
 def _evidence(shared) -> Evidence:
@@ -205,7 +295,7 @@ def _features(shared):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _evidence(shared)
         for b in batches:
-            rows = [features(own, t or "") for t in b.column("text").to_pylist()]
+            rows = listed_features(own, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(FEATURES))], ["toxic", *NAMES])
 
     return compute
@@ -215,23 +305,27 @@ def _scores(shared, slope: np.ndarray | None, share: float, names: list[str]):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _evidence(shared)
         for b in batches:
-            at = np.array([features(own, t or "") for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
+            at = np.array(listed_features(own, b.column("text").to_pylist())).reshape(-1, FEATURES)
             score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at @ slope[:-1] + slope[-1], -500, 500)))
             yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "__score"])
 
     return compute
 
 
-def frequent(counted: DataFrame, most: int = GRAMS) -> DataFrame:
-    """The n-grams of at least so many documents that there are no more than ``most``."""
-    n = F.col("ordinary") + F.col("toxic")
-    left, least = 0, 1
-    for r in counted.groupBy(F.least(n, F.lit(most)).alias("n")).agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
-        left += r.grams
-        if left > most:
-            least = r.n + 1
-            break
-    return counted.where(n >= least)
+def _collected(table: DataFrame) -> list[np.ndarray]:
+    """The columns of ``counted`` of a whole table by rising hash, fetched in slices of its first bits so that the driver never holds it twice."""
+    slices = []
+    for k in range(SLICES):
+        part = table.where(F.shiftrightunsigned("gram", 64 - SLICES.bit_length() + 1) == k).toArrow()
+        columns = [part.column(c).to_numpy() for c in COLUMNS]
+        by = np.argsort(columns[0].view(np.uint64))
+        slices.append([*(c.view(np.uint64)[by] for c in columns[:3]), columns[3][by].astype(np.int8), *(c[by].astype(np.int32) for c in columns[4:])])
+        del part, columns
+        pa.default_memory_pool().release_unused()
+    out = []
+    for _ in range(len(COLUMNS)):
+        out.append(np.concatenate([x.pop(0) for x in slices]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -250,9 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     try:
-        counted = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        kept = frequent(staged(counted, "grams")).toPandas()
-        model = Model(dict(zip(kept.gram, zip(kept.ordinary.tolist(), kept.toxic.tolist(), strict=True), strict=True)))
+        columns = [f"{c} long" for c in COLUMNS]
+        every = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, ", ".join(columns)).groupBy(*COLUMNS[:4]).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+        model = Model(_collected(staged(every, "grams")), LONGEST)
         shared = docs.sparkSession.sparkContext.broadcast(model)
         # Rows: those of the sample, a few numbers each.
         held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_features(shared), "toxic int, " + ", ".join(f"{c} double" for c in NAMES)).toPandas().sort_values(["toxic", *NAMES])

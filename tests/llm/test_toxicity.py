@@ -71,3 +71,20 @@ def test_held_out_documents_and_odd_rows(spark):
     assert {r.score for r in toxicity.scored(docs, known.limit(0)).collect()} == {0.0}
     kept = toxicity.keep_ordinary(docs, known)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
+
+
+def test_every_ngram_of_the_sample_is_counted(spark):
+    rng = random.Random(5)
+    draw = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12))
+    rows = [(i, " ".join([*(draw() for _ in range(60)), *(["common"] if i % 3 else ["grublik"] * (i % 2))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
+    counts = defaultdict(lambda: [0, 0])
+    for r in docs.where("pmod(xxhash64(doc_id, 7), 3) <> 0").collect():
+        for w in set(r.text.split()):
+            for g in toxicity.grams(w, 9):
+                counts[g][r.doc_id % 2] += 1
+    assert len(counts) > 500_000
+    want, got = toxicity.Model(dict(counts), 9), toxicity.fit(docs, labels)[0].value
+    for w in ("grublik", "grublikanism", "common", "zz", *rows[0][1].split()[:5], *rows[1][1].split()[:5]):
+        assert got.word(w) == pytest.approx(want.word(w), abs=1e-9)
