@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate.
 
 The patterns' findings are always reported. Every other run of 16 or more key
-characters with two digits and a letter in it is a candidate; the network reads its
-characters and those around it and decides. It is trained in numpy on labelled
+characters is a candidate; the network reads its characters and those around it and
+decides. It is trained in numpy on labelled
 findings that a seeded generator writes, its outputs are calibrated on findings set
 aside, and its threshold is the highest that keeps the recall asked for there.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -39,7 +39,6 @@ SEED = 11
 WIDTH, FILTERS, LETTER, ROLE, SEGMENT = 5, 24, 8, 4, 128
 HALO = WIDTH // 2
 IS_HEX = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-IS_DIGIT = bytes(48 if 48 <= b <= 57 else 32 for b in range(256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,20 +55,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that no base finding touches."""
-    if b"0" not in text.encode().translate(IS_DIGIT):
-        return []
+    """Runs of key characters that no base finding covers."""
     out = []
     starts = [s for s, _, _ in base]
     reach = list(accumulate((e for _, _, e in base), max))  # how far the findings up to each go
     for m in RUN.finditer(text):
-        s, e = m.span()
-        before = bisect_left(starts, e)
-        if before and reach[before - 1] > s:
-            continue
         run = m[0].rstrip(".=-") if not m[0].endswith("=") else m[0].rstrip(".-")
-        if len(run) >= 16 and sum(c.isdigit() for c in run) >= 2 and any(c.isalpha() for c in run):
-            out.append((s, s + len(run)))
+        s, e = m.start(), m.start() + len(run)
+        before = bisect_right(starts, s)
+        if len(run) >= 16 and not (before and reach[before - 1] >= e):
+            out.append((s, e))
     return out
 
 
@@ -162,7 +157,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     rng = np.random.default_rng(seed)
     pick = lambda seq, k: "".join(seq[i] for i in rng.integers(0, len(seq), k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve sch ein ung que ent ion ado ción".split()
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve sch ein ung que ent ion ado ción keit lich ver ge be zu tz pf chen schaft heit berg gen".split()
     word = lambda a=1, b=4: pick(syllables, int(rng.integers(a, b)))
     num = lambda a, b: str(rng.integers(a, b))
 
@@ -176,7 +171,9 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: pick(low, int(rng.integers(2, 5))) + rng.choice(["_", "-", "_live_", "-v1-"]) + pick(up + low + dig, k),
             lambda: pick(up, 4) + pick(up + dig, 16),
             lambda: ".".join(base64.urlsafe_b64encode(rng.bytes(j)).decode().rstrip("=") for j in (18, 40, 32)),
-        ][rng.integers(0, 7)]()
+            lambda: pick(up + low, k),
+            lambda: pick(low, k),
+        ][rng.integers(0, 9)]()
 
     def ordinary() -> str:
         return [
@@ -191,7 +188,15 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: f"{num(10**7, 10**9)}-{num(10**6, 10**8)}{rng.choice(['a', 'kB', 'x', 'EUR'])}",
             lambda: word(4, 9) + num(10, 2030),
             lambda: rng.choice(["a", "x1", "0f", "=-", "ab12"]) * int(rng.integers(9, 20)) + "10",
-        ][rng.integers(0, 11)]()
+            lambda: word(6, 12),
+            lambda: word(2, 4) + "".join(word(2, 4).capitalize() for _ in range(3)),
+            lambda: rng.choice(["-", "_", "/", "."]).join(word(1, 5) for _ in range(int(rng.integers(3, 8)))),
+            lambda: word(6, 12).upper(),
+            lambda: word(5, 8).capitalize(),
+            lambda: f"{word(1, 3)}{num(0, 30)}.{word(2, 5)}.{rng.choice(['com', 'org', 'net', 'de'])}",
+            lambda: rng.choice(list("_=/+a")) * int(rng.integers(16, 60)),
+            lambda: num(10**8, 10**9) + num(10**8, 10**9) + num(10, 9999),
+        ][rng.integers(0, 19)]()
 
     out = []
     while len(out) < n:

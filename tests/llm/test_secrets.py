@@ -83,3 +83,17 @@ def test_rows(spark):
     assert clean[3].text == rows[4][1] and clean[None].text is None
     assert secrets.redact_secrets(df).columns == df.columns
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_runs_without_digits_and_runs_that_a_finding_only_touches_are_read():
+    key = "QwErTyUiOpAsDfGhJkLz"
+    assert secrets.candidates(f"see {key}, then 1{key[:14]}x.", []) == [(4, 24), (31, 47)]
+    text = f"x {key}0123456789abcdef{key}"
+    base = secrets.base_spans(text)
+    assert base == [(22, 2, 38)] and secrets.candidates(text, base) == [(2, 58)]
+    assert secrets.candidates("0123456789abcdef", secrets.base_spans("0123456789abcdef")) == []
+    rng = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(letters[i] for i in rng.integers(0, 52, 24)) for _ in range(200)]
+    found = secrets.all_spans([f"the key is {k} here" for k in keys], secrets.trained())
+    assert sum(any(k == 3 for _, k, _, _ in f) for f in found) > 180
