@@ -1,18 +1,19 @@
 """Token counts by a compiled finite-state tokenizer.
 
-No piece of the vocabulary holds the word mark anywhere but at its start, so a
-text's segmentation never crosses from a character into a following mark: the
-tokenizer restarts at each. The transducer below reads bytes. Its states are the
-prefixes of words; the transition on a word's end emits the number of tokens of the
-word that its state spells. States are determinised when first needed and their
-emissions are compiled in batches by the library; when the table is full it is
-dropped and built anew, which changes no result.
-
-A text is cut into chunks of bytes that are all read at once, one lane to a chunk.
-A chunk that begins inside a word is a map: from the start state it leaves a head
-(bytes up to its first word's start), the tokens of its whole words and a tail.
-Maps compose by spelling one's tail and the next one's head, which is associative;
-a scan over a text's chunks does it.
+Byte-pair merging of a text is decided from left to right: of the tokens that end at a
+place, exactly one is such that merging it together with the token before it gives those
+two again. So a prefix's last token and number of tokens follow from those of shorter
+prefixes, as far back as a piece of the vocabulary may still be open. What is open (the
+place in a trie of all pieces, the token before it, tokens since) is a state of a
+deterministic transducer over characters; its transitions carry the change in the number
+of tokens, which may be negative where merges close up. States are compiled from the
+pieces and their scores when first met; the library is not asked for any text. When the
+tables are full, states that are not in use are dropped, which changes no result.
+
+A text is cut into chunks that are all read at once, one lane to a chunk. A chunk is a
+map of states to states with a number of tokens; it is worked out for the state that the
+characters before it suggest and for every state that another chunk's map leads to.
+Maps compose, and a parallel prefix scan over a text's chunks does it.
 """
 
 from __future__ import annotations
@@ -22,187 +23,207 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 MODEL = "piece_bpe_32k.model"
 OVER = 4096
-#: Bytes of a lane, bytes of texts in a group, and states after which the table is dropped.
+#: Characters of a lane, characters before it that suggest its first state, bytes of texts in a group, and transitions after which unused states are dropped.
 CHUNK = 512
-BATCH = 4 << 20
-STATES = 1 << 21
+AHEAD = 32
+BATCH = 2 << 20
+LIMIT = 1 << 21
+#: Pairs of tokens whose verdict is kept.
+PAIRS = 1 << 18
 MARK = "▁"
-SPACE = 0x20
+FREE = np.int64(-1)
 
 
 class Transducer:
-    """Lazily determinised word automaton of one sentencepiece model."""
-
-    def __init__(self, path: str, states: int = STATES):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
-        if any(MARK in p.lstrip(MARK) for p in pieces):
-            raise ValueError("a piece of this model goes on past a word's end")
-        self.limit = states
-        self.reset()
-
-    def reset(self) -> None:
-        """State 0 is the start of a word: its mark was read and nothing else."""
-        bits = max(10, (2 * self.limit).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slot_key = np.full(1 << bits, -1, np.int64)
-        self.slot_to = np.zeros(1 << bits, np.int32)
-        self.parent = np.zeros(self.limit + 1, np.int32)
-        self.byte = np.zeros(self.limit + 1, np.uint8)
-        self.emits = np.full(self.limit + 1, -1, np.int32)
-        self.size = 1
-
-    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The next states; unseen transitions get states of their own."""
-        key = (state.astype(np.int64) << 8) | byte
+    """Lazily determinised automaton of one sentencepiece BPE model with byte fallback."""
+
+    def __init__(self, path: str, limit: int = LIMIT):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        ids = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        self.score = {model.id_to_piece(i): model.get_score(i) for i in ids}
+        letters = sorted(set("".join(self.score)))
+        #: Symbols: 1 to 4 for a character of no piece with so many bytes, then the characters of pieces; a space is a mark.
+        self.symbol = np.ones(0x110000, np.int32)
+        self.symbol[0x80:], self.symbol[0x800:], self.symbol[0x10000:] = 2, 3, 4
+        self.letters = ["", "", "", "", "", *letters]
+        self.symbol[[ord(c) for c in letters]] = np.arange(5, len(self.letters))
+        self.symbol[ord(" ")] = self.symbol[ord(MARK)]
+        self.bits = len(self.letters).bit_length()
+        # A character that is no piece by itself is spelled in bytes unless it is merged.
+        self.cost = {c: 1 if c in self.score else len(c.encode()) for c in letters}
+        self.touching = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.children: list[dict[str, int]] = [{}]
+        self.token: list[str | None] = [None]
+        for p in [*self.score, *letters]:
+            at = 0
+            for c in p:
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.token.append(None)
+                at = self.children[at][c]
+            self.token[at] = p
+        self.limit, self.pairs = limit, {}
+        self.reset([((0, None, 0),)])
+
+    def reset(self, states: list[tuple]) -> None:
+        """No transitions, and these states; the first is a text's start."""
+        size = 1 << self.limit.bit_length()
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        self.key, self.to, self.emit = np.full(size, FREE), np.zeros(size, np.int32), np.zeros(size, np.int16)
+        self.states = list(states)
+        self.number = {s: i for i, s in enumerate(self.states)}
+        self.used = 0
+
+    def keep(self, states: np.ndarray) -> np.ndarray:
+        """Drops all but the first and these states where the table is half full; their new numbers."""
+        if self.used <= self.limit // 2:
+            return states
+        held, at = np.unique(np.concatenate(([0], states)), return_inverse=True)
+        self.reset([self.states[i] for i in held.tolist()])
+        return at[1:].astype(np.int32)
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether merging two tokens' characters gives these two tokens."""
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+        return known
+
+    def merged(self, text: str) -> list[str]:
+        """Pieces by merging the neighbours of the highest score, the leftmost first, until none is left."""
+        parts, score = list(text), self.score
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def transition(self, state: int, symbol: int) -> tuple[int, int]:
+        """The next state and the change in tokens."""
+        if symbol < 5:
+            return 0, symbol  # no piece goes on over it, so all is as at a text's start
+        c, last, change, open_ = self.letters[symbol], None, None, []
+        for node, before, since in self.states[state]:
+            if node == 0 and before is not None and before[-1] + c not in self.touching:
+                before = None  # no piece can go over this border
+            child = self.children[node].get(c)
+            if child is None:
+                continue
+            token = self.token[child]
+            if change is None and token is not None and (before is None or self.apart(before, token)) and (len(token) == 1 or self.merged(token) == [token]):
+                last, change = token, self.cost.get(token, 1) - since
+            if self.children[child]:
+                open_.append((child, before, since))
+        new = (*((n, b, s + change) for n, b, s in open_), (0, last, 0))
+        found = self.number.get(new)
+        if found is None:
+            found = self.number[new] = len(self.states)
+            self.states.append(new)
+        return found, change
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        """Each key's slot, or the free one where it would be."""
         at = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        found = self.slot_key[at]
-        out = self.slot_to[at]
-        rest = np.flatnonzero(found != key)
+        held = self.key[at]
+        rest = np.flatnonzero((held != key) & (held != FREE))
         while len(rest):
-            k, p = key[rest], at[rest]
-            free = self.slot_key[p] == -1
-            if free.any():
-                # Of the lanes that want one slot, one writes; the others look again.
-                want = np.flatnonzero(free)
-                self.slot_key[p[want]] = k[want]
-                new, first = np.unique(p[want], return_index=True)
-                won = self.slot_key[new]
-                ids = np.arange(self.size, self.size + len(new), dtype=np.int32)
-                self.slot_to[new] = ids
-                self.parent[ids], self.byte[ids] = won >> 8, won & 255
-                self.size += len(new)
-            hit = self.slot_key[p] == k
-            out[rest[hit]] = self.slot_to[p[hit]]
-            rest = rest[~hit]
             at[rest] = (at[rest] + 1) & self.mask
-        return out
-
-    def spell(self, state: int) -> bytes:
-        out = bytearray()
-        while state:
-            out.append(self.byte[state])
-            state = self.parent[state]
-        return bytes(out[::-1])
-
-    def compile(self, states: np.ndarray) -> np.ndarray:
-        """Tokens of the words that these states spell."""
-        need = np.unique(states)
-        need = need[self.emits[need] < 0]
-        if len(need):
-            self.emits[need] = self.count([self.spell(int(s)) for s in need])
-        return self.emits[states]
-
-    def count(self, words: list[bytes]) -> list[int]:
-        """Tokens of whole words, each with its mark in front, by the library; an empty one is a bare mark."""
-        # The library puts the mark in front of what is not empty.
-        return [len(x) if w else 1 for w, x in zip(words, self.model.encode([w.decode("utf-8", "surrogatepass") for w in words], num_threads=1), strict=True)]
-
-
-def lanes(machine: Transducer, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Reads all chunks at once: for each its first word's start, its whole words' tokens and the start of its tail.
-
-    A chunk without a word's start has head and tail at its end.
-    """
-    n = len(begins)
-    mark = data == SPACE
-    where = np.flatnonzero(mark)
-    at = np.searchsorted(where, begins)
-    first = np.where(at < len(where), where[np.minimum(at, max(len(where) - 1, 0))] if len(where) else ends, ends)
-    first = np.minimum(first, ends)
-    to = np.searchsorted(where, ends) - 1
-    tail = np.where(first < ends, where[np.maximum(to, 0)] if len(where) else ends, ends)
-    tokens = np.zeros(n, np.int64)
-    # Whole words lie between first and tail.
-    live = np.flatnonzero(first < tail)
-    order = live[np.argsort(first[live] - tail[live], kind="stable")]  # the longest first: lanes that end leave at the back
-    pos, stop = first[order] + 1, tail[order] + 1
-    state = np.zeros(len(order), np.int32)
-    told_state, told_lane = [], []
-    width = len(order)
-    lengths = (stop - pos).astype(np.int64)
-    for t in range(int(lengths[0]) if width else 0):
-        while width and lengths[width - 1] <= t:
-            width -= 1
-        byte = data[pos[:width] + t]
-        end = byte == SPACE
-        done = np.flatnonzero(end)
-        told_state.append(state[done])
-        told_lane.append(done)
-        go = np.flatnonzero(~end)
-        state[done] = 0
-        state[go] = machine.step(state[go], byte[go])
-    if told_state:
-        s, k = np.concatenate(told_state), np.concatenate(told_lane)
-        np.add.at(tokens, order[k], machine.compile(s))
-    return first, tokens, tail
-
-
-def count_texts(machine: Transducer, texts: list[bytes], chunk: int = CHUNK) -> list[int]:
+            held = self.key[at[rest]]
+            rest = rest[(held != key[rest]) & (held != FREE)]
+        return at
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the changes in tokens; transitions that are not in the table yet are compiled."""
+        key = (state.astype(np.int64) << self.bits) | symbol
+        at = self.slots(key)
+        new = np.flatnonzero(self.key[at] == FREE)
+        if len(new):
+            for k in np.unique(key[new]).tolist():
+                own = np.array([k])
+                slot = int(self.slots(own)[0])
+                self.to[slot], self.emit[slot] = self.transition(k >> self.bits, k & ((1 << self.bits) - 1))
+                self.key[slot] = k
+                self.used += 1
+            at[new] = self.slots(key[new])
+        return self.to[at], self.emit[at]
+
+    def read(self, symbols: np.ndarray, begins: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Reads lanes of symbols at once from a state each: their last states and tokens, and the states given as they are numbered now."""
+        slab = max(1, self.limit // (2 * CHUNK))  # each symbol may need a transition: half the table at most
+        ends, tokens = np.zeros(len(begins), np.int32), np.zeros(len(begins), np.int64)
+        for i in range(0, len(begins), slab):
+            both = self.keep(np.concatenate((states, ends[:i])))
+            states, ends[:i] = both[: len(states)], both[len(states) :]
+            part = np.arange(i, min(i + slab, len(begins)))
+            part = part[np.argsort(-sizes[part], kind="stable")]  # the longest first: lanes that end leave at the back
+            at, n, state, told = begins[part], sizes[part], states[part], np.zeros(len(part), np.int64)
+            width = len(part)
+            for t in range(int(n[0])):
+                while n[width - 1] <= t:
+                    width -= 1
+                state[:width], change = self.step(state[:width], symbols[at[:width] + t])
+                told[:width] += change
+            ends[part], tokens[part] = state, told
+        return ends, tokens, states
+
+
+def count_texts(machine: Transducer, texts: list[str], chunk: int = CHUNK, ahead: int = AHEAD) -> list[int]:
     """Tokens of each text, as the library counts them without begin, end or other special tokens."""
-    if not texts:
-        return []
-    mark = MARK.encode()
-    out = [0] * len(texts)
-    # Each text begins with the mark that the library puts in front, here a space; a written mark reads like a space.
-    plain, origin = [], []
-    for i, t in enumerate(texts):
-        if t:
-            plain.append(b" " + (t.replace(mark, b" ") if mark in t else t))
-            origin.append(i)
-    if not plain:
-        return out
-    data = np.frombuffer(b"".join(plain) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, plain), np.int64, len(plain))
-    starts = np.cumsum(sizes) - sizes
-    each = -(-sizes // chunk)
-    of = np.repeat(np.arange(len(plain)), each)
-    begins = starts[of] + (np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)) * chunk
-    ends = np.minimum(begins + chunk, (starts + sizes)[of])
-    slab = max(1, machine.limit // (2 * chunk))  # its bytes, each of which may need a state, fill half the table at most
-    parts = []
-    for i in range(0, len(of), slab):
-        if machine.size > machine.limit // 2:
-            machine.reset()
-        parts.append(lanes(machine, data, begins[i : i + slab], ends[i : i + slab]))
-    first, tokens, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
-    # The scan: a text's chunks leave words between a tail and the next chunk that starts one.
-    has = np.flatnonzero(first < ends)
-    text_of = of[has]
-    stop = np.where(np.concatenate((text_of[1:] == text_of[:-1], [False])), np.concatenate((first[has][1:], [0])), (starts + sizes)[text_of])
-    raw = data.tobytes()
-    words = [raw[a + 1 : b] for a, b in zip(tail[has].tolist(), stop.tolist(), strict=True)]
-    kinds = list(set(words))
-    known = dict(zip(kinds, machine.count(kinds), strict=True))
-    whole = np.bincount(of, tokens, len(plain)) + np.bincount(text_of, [known[w] for w in words], len(plain))
-    for k, (i, p) in enumerate(zip(origin, plain, strict=True)):
-        out[i] = int(whole[k])
-    return _runs(machine, plain, origin, out)
-
-
-def _runs(machine: Transducer, plain: list[bytes], origin: list[int], out: list[int]) -> list[int]:
-    """Runs of marks segment together with the word after them, so their words are counted anew."""
-    for p, i in zip(plain, origin, strict=True):
-        if b"  " in p:
-            found = []
-            at = p.find(b"  ")
-            while at >= 0:
-                end = at
-                while end < len(p) and p[end] == SPACE:
-                    end += 1
-                stop = p.find(b" ", end)
-                found.append((at, end, len(p) if stop < 0 else stop))
-                at = p.find(b"  ", end)
-            # Bare marks counted one each; then the word after the last of them.
-            apart = sum(b - a - 1 for a, b, _ in found) + sum(machine.count([p[b:c] for _, b, c in found]))
-            together = [len(x) for x in machine.model.encode([p[a + 1 : c].decode("utf-8", "surrogatepass") for a, _, c in found], num_threads=1)]
-            out[i] += sum(together) - apart
-    return out
+    out = np.zeros(len(texts), np.int64)
+    origin = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    if not len(origin):
+        return out.tolist()
+    # The library puts a mark in front of what is not empty.
+    symbols = machine.symbol[np.frombuffer("".join(" " + texts[i] for i in origin).encode("utf-32-le"), np.uint32)]
+    sizes = np.array([len(texts[i]) + 1 for i in origin], np.int64)
+    starts, each = np.cumsum(sizes) - sizes, -(-sizes // chunk)
+    of = np.repeat(np.arange(len(origin)), each)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+    begins = starts[of] + place * chunk
+    lengths = np.minimum(chunk, (starts + sizes)[of] - begins)
+    before = np.where(place > 0, min(ahead, chunk), 0)
+    machine.keep(np.zeros(0, np.int32))
+    first = machine.read(symbols, begins - before, before, np.zeros(len(of), np.int32))[0]
+    lane, state = np.arange(len(of)), first
+    end, tokens, state = machine.read(symbols, begins, lengths, state)
+    last = np.concatenate((of[1:] != of[:-1], [True]))
+    # Until every state that a map leads to is one of the next chunk's.
+    while True:
+        key = lane.astype(np.int64) << 32 | state
+        goes = ~last[lane]
+        need = np.unique((lane[goes] + 1).astype(np.int64) << 32 | end[goes])
+        need = need[~np.isin(need, key)]
+        if not len(need):
+            break
+        more = need >> 32
+        both = np.concatenate((need & 0xFFFFFFFF, state, end)).astype(np.int32)
+        got, told, both = machine.read(symbols, np.concatenate((begins[more], np.zeros(2 * len(lane), np.int64))), np.concatenate((lengths[more], np.zeros(2 * len(lane), np.int64))), both)
+        n, m = len(more), len(lane)
+        lane, state, end, tokens = np.concatenate((lane, more)), np.concatenate((both[n : n + m], both[:n])), np.concatenate((both[n + m :], got[:n])), np.concatenate((tokens, told[:n]))
+    order = np.argsort(key)
+    lane, end, tokens, key = lane[order], end[order], tokens[order], key[order]
+    # The scan: in each round a map is composed with that of as many chunks after it.
+    to = np.where(last[lane], len(lane), np.searchsorted(key, (lane + 1).astype(np.int64) << 32 | end))
+    to, tokens = np.append(to, len(lane)), np.append(tokens, 0)
+    for _ in range(int(each.max()).bit_length()):
+        tokens = tokens + tokens[to]
+        to = to[to]
+    heads = np.cumsum(each) - each
+    out[origin] = tokens[np.searchsorted(key, heads.astype(np.int64) << 32)]
+    return out.tolist()
 
 
 _machine: dict[str, Transducer] = {}
@@ -214,19 +235,24 @@ def machine_for(path: str) -> Transducer:
     return _machine[path]
 
 
+def groups(texts: pa.Array, most: int = BATCH) -> Iterator[list[str]]:
+    """Texts in order, in lists of about so many characters."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        held += len(group[-1])
+        if held >= most:
+            yield group
+            group, held = [], 0
+    yield group
+
+
 def _counted(path: str, over: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            tokens, group, held = [], [], 0
-            for t in texts:
-                group.append(t)
-                held += len(t)
-                if held >= BATCH:
-                    tokens += count_texts(machine_for(path), group)
-                    group, held = [], 0
-            tokens += count_texts(machine_for(path), group)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > over for n in tokens])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            tokens = [n for g in groups(b.column("text")) for n in count_texts(machine_for(path), g)]
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, pa.array(tokens, pa.int64()), pa.array([n > over for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return count
 
@@ -236,7 +262,7 @@ def token_counts(docs: DataFrame, model: str | None = None, over: int = OVER) ->
 
     Other columns are ignored; a null text counts as empty (no bytes, no tokens);
     repeated rows each get a row. ``model`` is the path of a sentencepiece BPE model
-    whose pieces hold the word mark at their start only.
+    with byte fallback that leaves its texts as they are.
     """
     return docs.select("doc_id", "text").mapInArrow(_counted(model or public_tokenizers.path(MODEL), over), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 

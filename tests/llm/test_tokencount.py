@@ -14,11 +14,28 @@ def test_equals_the_library():
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(["a", "the", " ", "  ", "er", "ü", "\n", "9", "▁", "日"]) for _ in range(rng.randint(0, 300))) for _ in range(400)]
     want = [len(x) for x in sp.encode(texts)]
-    raw = [t.encode() for t in texts]
     for chunk in (7, 64, 1024):
-        assert tokencount.count_texts(tokencount.Transducer(PATH, 1 << 14), raw, chunk) == want
-    small = tokencount.Transducer(PATH, 40_000)
-    assert [tokencount.count_texts(small, [t])[0] for t in raw] == want
+        assert tokencount.count_texts(tokencount.Transducer(PATH, 1 << 14), texts, chunk) == want
+    assert tokencount.count_texts(tokencount.Transducer(PATH), texts, 64, 0) == want
+    # Tables that are dropped again and again.
+    small = tokencount.Transducer(PATH, 3000)
+    assert [tokencount.count_texts(small, [t])[0] for t in texts] == want
+
+
+def test_no_text_is_given_to_the_library(monkeypatch):
+    machine = tokencount.Transducer(PATH)
+    monkeypatch.setattr(tokencount.sentencepiece, "SentencePieceProcessor", None)
+    assert tokencount.count_texts(machine, ["the cat", "中文" * 400]) == [2, 801]
+
+
+def test_transitions_close_up_tokens():
+    machine, total = tokencount.Transducer(PATH), 0
+    state, changes = 0, []
+    for c in " international":
+        state, change = machine.transition(state, int(machine.symbol[ord(c)]))
+        total += change
+        changes.append(change)
+    assert total == 1 and min(changes) < 0
 
 
 def test_rows(spark):
