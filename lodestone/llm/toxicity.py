@@ -2,10 +2,11 @@
 
 Two models, of toxic and of ordinary documents, spell a word letter by letter. Both
 discount their own counts and back off to one shared model of both classes, so an
-expression that is rare in either is judged by what its parts are known for. The
-difference of a word's two log-likelihoods is its evidence, a text's and a passage's
-are normalised by length, and a logistic regression on labelled documents that the
-counts have not seen turns them into a score.
+expression that is rare in either is judged by what its parts are known for. A word's
+evidence is the difference of its two log-likelihoods as far as it exceeds a margin;
+a text's is the sum of its words' over a power of their number, and a logistic curve of
+that one figure, fitted on labelled documents that the counts have not seen, is the
+score.
 
 Fitted on a bounded sample of labelled rows: at most ``SAMPLE`` documents of each
 class, those whose hashed doc_id is smallest.
@@ -13,9 +14,7 @@ class, those whose hashed doc_id is smallest.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,24 +25,24 @@ from pyspark.sql import functions as F
 from lodestone.plans.staging import staged
 
 SAMPLE = 6000
-#: Letters of the longest n-gram that is counted, of a model whose caller names none, and below how many of them classes do not differ.
-LONGEST = 9
+#: Letters of the longest n-gram that is counted, and below how many of them classes do not differ.
 ORDER = 6
 SHARED = 3
 DISCOUNT = 0.9
 #: Counts that the shared model weighs in each context of a class.
 STRENGTH = 200.0
 START, END = "\x02", "\x03"
-FEATURES = 7
-NAMES = [f"f{i}" for i in range(FEATURES)]
-#: Words of a passage.
-PASSAGE = 24
+#: Nats by which a word's toxic log-likelihood must exceed the ordinary one to count, and the power of the number of words that a text's sum is divided by.
+MARGIN = 1.0
+POWER = 0.75
 THRESHOLD = 0.3
-#: Words whose evidence a worker keeps; a full cache is dropped.
-CACHE = 100_000
+#: Letters of the words whose evidence a worker keeps (a full cache is dropped), and of the longest word that is kept.
+CACHE, LONG = 1_000_000, 100
 WORDS = re.compile(r"\w+")
 #: Texts whose unseen words are read together, and distinct words that are counted together.
 TEXTS, KINDS = 64, 50_000
+#: Rows that a worker reads at once.
+ROWS = 512
 #: Slices, a power of two, in which the driver fetches the n-grams.
 SLICES = 16
 #: An n-gram is known by a 64-bit polynomial of its letters' hashes; the factor is odd, so an end can be taken off.
@@ -127,13 +126,14 @@ class Model:
     """Differences of log-likelihoods, as a back-off table: seen n-grams, and contexts' weights for the others.
 
     ``counts`` has each n-gram's number in ordinary and in toxic documents, or is the
-    columns of ``counted``; the n-grams inside of one are there too. The shared
-    model is Kneser-Ney over both: discounted counts in a context, interpolated with how
-    many letters the shorter n-grams were seen after. A class discounts its own
-    counts in a context and shares what is left, with ``strength`` more, as the shared
-    model does there and as the class differs from it in the context one letter
-    shorter. So each class has, for every n-gram, a ratio to the shared probability.
-    The table is sorted hashes, with each one's logarithm and its weight as a context.
+    columns of ``counted`` (taken out of the list); the n-grams inside of one are there
+    too. The shared model is Kneser-Ney over both: discounted counts in a context,
+    interpolated with how many letters the shorter n-grams were seen after. A class
+    discounts its own counts in a context and shares what is left, with ``strength``
+    more, as the shared model does there and as the class differs from it in the
+    context one letter shorter. So each class has, for every n-gram, a ratio to the
+    shared probability. The table is sorted hashes, with each one's logarithm and its
+    weight as a context.
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]] | list[np.ndarray], order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, strength: float = STRENGTH):
@@ -141,20 +141,21 @@ class Model:
         columns = _listed(counts) if isinstance(counts, dict) else counts
         if len(columns[0]) > 1 and (columns[0][1:] <= columns[0][:-1]).any():
             by = np.argsort(columns[0])
-            columns = [c[by] for c in columns]
-        self.gram, prefix, suffix, letters, *own = columns
+            columns[:] = [c[by] for c in columns]
+        self.gram = columns.pop(0)
         if len(self.gram) > 1 and (self.gram[1:] == self.gram[:-1]).any():
             raise ValueError("two n-grams have one hash")
-        size, starts, rows = np.abs(letters).astype(np.int8), letters < 0, len(self.gram)
-        tail = np.searchsorted(self.gram, suffix).astype(np.int32)  # means nothing for one letter
-        heads, context = np.unique(prefix, return_inverse=True)
+        heads, context = np.unique(columns.pop(0), return_inverse=True)
         context = context.astype(np.int32)
-        counts = columns = prefix = suffix = letters = None
+        tail = np.searchsorted(self.gram, columns.pop(0)).astype(np.int32)  # means nothing for one letter
+        letters = columns.pop(0)
+        size, starts, rows = np.abs(letters).astype(np.int8), letters < 0, len(self.gram)
+        own = [columns.pop(0), columns.pop(0)]
         raw = own[0] + own[1]
         lower = np.where(starts, raw, np.maximum(1, np.bincount(tail[size > 1], minlength=rows)[:rows])).astype(np.int32)
         row = lambda x, where=slice(None): np.bincount(context[where], x, len(heads))
         short = size < order
-        sums = [(raw, row(raw), np.bincount(context, minlength=len(heads))), (lower, row(lower[short], short), np.bincount(context[short], minlength=len(heads)))]
+        sums = [(raw, row(raw), np.bincount(context, minlength=len(heads)).astype(np.int32)), (lower, row(lower[short], short), np.bincount(context[short], minlength=len(heads)).astype(np.int32))]
         spread = lambda k, at, up: (np.maximum(sums[k][0][at] - discount, 0) + discount * sums[k][2][context[at]] * up) / sums[k][1][context[at]]
         total = [strength + row(own[c]) for c in (0, 1)]
         left = [strength + discount * row(own[c] > 0) for c in (0, 1)]
@@ -207,46 +208,32 @@ class Model:
 
 
 class Evidence(dict):
-    """A cache of words' evidence."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Read the words that are not here yet, together."""
-        if len(self) >= CACHE:
+    """Words' evidence; what is kept is bounded by letters, so that no text fills a worker."""
+
+    def __init__(self, model: Model, most: int = CACHE):
+        self.model, self.most, self.letters = model, most, 0
+
+    def of(self, texts: list[list[str]]) -> list[float]:
+        """The length-normalised evidence of each list of words; unseen words of all are read together."""
+        new = [w for w in set().union(*texts) if w not in self]
+        told = np.maximum(self.model.words(new) - MARGIN, 0).tolist()
+        passing = {w: x for w, x in zip(new, told, strict=True) if len(w) > LONG}
+        self.update((w, x) for w, x in zip(new, told, strict=True) if len(w) <= LONG)
+        self.letters += sum(map(len, new))
+        get = (lambda w: passing[w] if len(w) > LONG else self[w]) if passing else self.__getitem__
+        out = [sum(map(get, words)) / max(1, len(words)) ** POWER for words in texts]
+        if self.letters > self.most:
             self.clear()
-        new = [w for w in words if w not in self]
-        self.update(zip(new, self.model.words(new).tolist(), strict=True))
+            self.letters = 0
+        return out
 
 
-def listed_features(evidence: Evidence, texts: list[str | None]) -> list[list[float]]:
-    """``features`` of each text; unseen words of some texts are read together."""
+def evidence(own: Evidence, texts: list[str | None]) -> np.ndarray:
+    """A figure for each text; one without words has none."""
     out = []
     for i in range(0, len(texts), TEXTS):
-        part = [WORDS.findall((t or "").lower()) for t in texts[i : i + TEXTS]]
-        evidence.learn(set().union(*part))
-        out += [features(evidence, words) for words in part]
-    return out
-
-
-def features(evidence: Evidence, words: list[str]) -> list[float]:
-    """What a text's words give away.
-
-    The evidence of its most toxic word, three words and eight words; the words that
-    are clearly toxic, over the root of the length; the length-normalised difference
-    of the whole text's log-likelihoods and that of its most toxic passage; its length.
-    """
-    n = len(words)
-    if not n:
-        return [0.0] * FEATURES
-    ratio = np.fromiter(map(evidence.__getitem__, words), np.float64, n)
-    letters = sum(map(len, words)) + n
-    kinds = np.sort(np.fromiter(map(evidence.__getitem__, set(words)), np.float64))[::-1]
-    run = min(n, PASSAGE)
-    sums = np.concatenate(([0.0], np.cumsum(np.maximum(ratio, -1))))
-    passage = (sums[run:] - sums[:-run]).max() / PASSAGE
-    return [float(x) for x in (kinds[0], kinds[:3].sum(), kinds[:8].sum(), np.maximum(ratio - 1, 0).sum() / math.sqrt(n), ratio.sum() / letters, passage, math.log1p(n))]
+        out += own.of([WORDS.findall((t or "").lower()) for t in texts[i : i + TEXTS]])
+    return np.array(out, float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3e-4) -> np.ndarray:
@@ -270,7 +257,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def tables() -> Iterator[pa.RecordBatch]:
         names = list(found)
         for i in range(0, len(names), KINDS):
-            columns = counted({w: found[w] for w in names[i : i + KINDS]}, LONGEST)
+            columns = counted({w: found[w] for w in names[i : i + KINDS]}, ORDER)
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], COLUMNS)
         found.clear()
 
@@ -291,12 +278,11 @@ def _evidence(shared) -> Evidence:
     return model.evidence
 
 
-def _features(shared):
+def _told(shared):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _evidence(shared)
         for b in batches:
-            rows = listed_features(own, b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(FEATURES))], ["toxic", *NAMES])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(evidence(own, b.column("text").to_pylist()))], ["toxic", "told"])
 
     return compute
 
@@ -304,10 +290,12 @@ def _features(shared):
 def _scores(shared, slope: np.ndarray | None, share: float, names: list[str]):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _evidence(shared)
-        for b in batches:
-            at = np.array(listed_features(own, b.column("text").to_pylist())).reshape(-1, FEATURES)
-            score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at @ slope[:-1] + slope[-1], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "__score"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                b = whole.slice(i, ROWS)
+                at = evidence(own, b.column("text").to_pylist())
+                score = np.full(len(at), share) if slope is None else 1 / (1 + np.exp(-np.clip(at * slope[0] + slope[1], -500, 500)))
+                yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(score)], [*names, "__score"])
 
     return compute
 
@@ -346,17 +334,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     try:
         columns = [f"{c} long" for c in COLUMNS]
         every = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, ", ".join(columns)).groupBy(*COLUMNS[:4]).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        model = Model(_collected(staged(every, "grams")), LONGEST)
+        model = Model(_collected(staged(every, "grams")))
         shared = docs.sparkSession.sparkContext.broadcast(model)
         # Rows: those of the sample, a few numbers each.
-        held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_features(shared), "toxic int, " + ", ".join(f"{c} double" for c in NAMES)).toPandas().sort_values(["toxic", *NAMES])
+        held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_told(shared), "toxic int, told double").toPandas().sort_values(["toxic", "told"])
     finally:
         chosen.unpersist()
     y = held.toxic.to_numpy(float)
     if len(set(y)) < 2:
         return shared, None, share
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (1 - y).sum())
-    return shared, logistic(held[NAMES].to_numpy(), y, weight / weight.mean()), share
+    return shared, logistic(held[["told"]].to_numpy(), y, weight / weight.mean()), share
 
 
 def held_out(doc_id: Column) -> Column:

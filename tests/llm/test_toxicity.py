@@ -82,9 +82,27 @@ def test_every_ngram_of_the_sample_is_counted(spark):
     counts = defaultdict(lambda: [0, 0])
     for r in docs.where("pmod(xxhash64(doc_id, 7), 3) <> 0").collect():
         for w in set(r.text.split()):
-            for g in toxicity.grams(w, 9):
+            for g in toxicity.grams(w):
                 counts[g][r.doc_id % 2] += 1
-    assert len(counts) > 500_000
-    want, got = toxicity.Model(dict(counts), 9), toxicity.fit(docs, labels)[0].value
+    assert len(counts) > 260_000
+    want, got = toxicity.Model(dict(counts)), toxicity.fit(docs, labels)[0].value
     for w in ("grublik", "grublikanism", "common", "zz", *rows[0][1].split()[:5], *rows[1][1].split()[:5]):
         assert got.word(w) == pytest.approx(want.word(w), abs=1e-9)
+
+
+def test_a_texts_figure_by_its_definition():
+    counts = defaultdict(lambda: [0, 0])
+    for c, words in ((1, ["grublik", "grubish", "snarf"]), (0, ["common", "usual", "grass", "plain"])):
+        for w in words * 30:
+            for g in toxicity.grams(w):
+                counts[g][c] += 1
+    model = toxicity.Model({g: tuple(v) for g, v in counts.items()}, strength=5.0)
+    texts = ["grublik", "common grublik snarf usual", "", "--", None, "Grubish " * 3 + "plain " * 40, "q" * 5000 + " snarf", "common"]
+    plain = []
+    for t in texts:
+        words = toxicity.WORDS.findall((t or "").lower())
+        plain.append(sum(max(model.word(w) - toxicity.MARGIN, 0) for w in words) / max(1, len(words)) ** toxicity.POWER)
+    assert plain[0] > 0 and plain[7] == 0
+    for most in (10**6, 3):
+        own = toxicity.Evidence(model, most)
+        assert toxicity.evidence(own, texts * 40).tolist() == pytest.approx(plain * 40) and own.letters <= most
