@@ -1,12 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
-Fixed patterns find the protected entities. A term that stands near an entity reveals
-it as far as the corpus says so: of the information of the entity, -log2 p(entity),
-the term discloses the pointwise mutual information, and -log2 p(entity | term) bits
-stay hidden. Terms that leave at most ``REMOVE`` bits are removed, those that leave
-at most ``GENERALISE`` are replaced by their class. Document frequencies of terms,
-entities and both together are counted over all documents. DataFrame and SQL
-functions only.
+Fixed patterns find the protected entities. Over all documents, a term that stands in
+a text with an entity discloses log2 p(entity | term) / p(entity) of the entity's
+-log2 p(entity) bits. Terms that disclose at least the share ``REMOVE`` of any entity's
+bits are removed. Those that disclose at least ``GENERALISE`` are replaced by a broader
+class, all terms of the same first letters, if that class discloses less; else they
+are removed too. DataFrame and SQL functions only.
+
+Terms that occur in the same documents disclose alike, and so do entities: both are
+joined as classes of equal sets of documents, so a long text does not give every pair
+of its terms and entities.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-#: Characters on either side of an entity whose terms are weighed, and the distinct texts that must show them together.
-NEAR = 60
-SUPPORT = 2
-#: Bits about an entity that may stay hidden for its terms to be removed or generalised.
-REMOVE, GENERALISE = 0.5, 1.5
+#: Shares of an entity's information that a term may disclose before it is removed or generalised, and letters of the broader class.
+REMOVE, GENERALISE = 0.97, 0.94
+STEM = 3
+#: Shares are compared with so much room for rounding.
+ROOM = 1e-9
 #: Matches whose places are summed one by one; longer lists in blocks.
 BLOCK = 256
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -97,79 +100,120 @@ def written(kinds: list[tuple[str, Column]]) -> Column:
     return F.array_join(F.concat(*(each(*k) for k in kinds)), ",")
 
 
+def _term_pattern(text: Column, read) -> Column:
+    """``read`` of a text by a pattern of terms; in texts with an @ the pattern matches e-mail addresses first, whose letters are no terms."""
+    return F.when(text.contains("@"), read(f"{PATTERNS['email']}|{TERM}")).otherwise(read(TERM))
+
+
+def terms(text: Column) -> Column:
+    """A text's different terms in lower case, and the classes of their first letters, marked by a star."""
+    found = _term_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    words = F.array_distinct(F.transform(F.filter(found, lambda v: ~v.contains("@")), F.lower))
+    return F.concat(words, F.array_distinct(F.transform(words, stem)))
+
+
+def stem(term: Column) -> Column:
+    return F.concat(F.left(term, F.lit(STEM)), F.lit("*"))
+
+
 def found_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the text, the base spans of each kind and, of every entity, the terms near it."""
+    """doc_id, a hash of the text, the base spans of each kind, the different entities and, where there are any, the terms of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("digest"), "text", *(base_spans(k, F.col("text")).alias(k) for k in KINDS))
+    read = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text", *(base_spans(k, F.col("text")).alias(k) for k in KINDS))
 
     def named(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value")))
 
-    listed = read.withColumn("entities", F.concat(*map(named, KINDS)))
+    listed = read.withColumn("entities", F.array_distinct(F.concat(*map(named, KINDS))))
+    return listed.select("doc_id", "digest", *KINDS, "entities", F.when(F.size("entities") > 0, terms(F.col("text"))).alias("terms"))
 
-    def terms(start: Column, end: Column) -> Column:
-        """Whole terms between two places, with one character more on either side to see whether they are whole."""
-        a, b = F.greatest(start - 1, F.lit(0)), F.least(end + 1, F.length("text"))
-        inside = match_spans(F.lower(F.substr(F.col("text"), a + 1, b - a)), TERM)
-        whole = F.filter(inside, lambda t: ((t["start"] > 0) | (a == 0)) & ((a + t["end"] < b) | (b == F.length("text"))))
-        return F.transform(whole, lambda t: F.struct((a + t["start"]).alias("start"), (a + t["end"]).alias("end"), t["value"].alias("value")))
 
-    near = F.transform(
-        "entities",
-        lambda e: F.struct(
-            e["kind"].alias("kind"),
-            e["value"].alias("value"),
-            F.filter(F.concat(terms(F.greatest(e["start"] - NEAR, F.lit(0)), e["start"]), terms(e["end"], F.least(e["end"] + NEAR, F.length("text")))), lambda t: ~F.exists("entities", lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))).alias("terms"),
-        ),
-    )
-    return listed.select("doc_id", "digest", *KINDS, F.when(F.size("entities") > 0, near).alias("near"))
+def _alike(digest: Column, weight: Column) -> list[Column]:
+    """Aggregates that are equal for equal multisets of documents: their number and sums of two 31-bit hashes."""
+    half = lambda shift: F.sum(F.shiftrightunsigned(digest, shift).bitwiseAND(0x7FFFFFFF) * weight)
+    return [F.sum(weight).alias("n"), half(0).alias("low"), half(32).alias("high")]
 
 
-def disclosures(found: DataFrame, docs: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """kind, value, term and the bits about the entity that the term leaves hidden.
+def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """term and share: the terms and classes that disclose at least ``generalise`` of an entity's information, with the largest share.
 
-    Together: documents in which the term stands near the entity, over those in which
-    it stands at all. Pairs that fewer distinct texts show than ``support`` are left out.
+    ``found`` is that of docs; it is read several times.
     """
-    pairs = F.array_distinct(F.flatten(F.transform("near", lambda e: F.transform(e["terms"], lambda t: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), t["value"].alias("term"))))))
-    # Copies of a text are counted together first, so that no pair is shuffled once for each copy.
-    copies = found.where("near IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n"), F.first(pairs).alias("pairs"))
-    seen = copies.select("n", F.explode("pairs").alias("p")).groupBy("p.kind", "p.value", "p.term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("n"))
-    return seen.join(frequency, "term").select("kind", "value", "term", (F.log2("n") - F.log2("both")).alias("hidden"))
+    alike = ["n", "low", "high"]
+    total = found.count()
+    # Copies of a text are counted together first.
+    texts = found.where("terms IS NOT NULL").groupBy("digest").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    named = texts.select("digest", "copies", F.explode("entities").alias("entity"))
+    entities = named.groupBy("entity").agg(*_alike(F.col("digest"), F.col("copies")))
+    most = entities.agg(F.max("n")).first()[0] or 0
+    # Of a term in n_t texts and an entity in n_e at most n_e share both, so no pair beyond this bound discloses enough.
+    bound = lambda n: F.pow(n.cast("double"), F.lit(float(generalise))) * float(max(total, 1)) ** (1 - generalise) * (1 + 1e-6)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select(F.xxhash64(text).alias("digest"), F.explode(terms(text)).alias("term"))
+    frequency = staged(words.groupBy("term").agg(*_alike(F.col("digest"), F.lit(1).cast("long"))).where(F.col("n") <= bound(F.lit(most))), "terms")
+    held = named.join(entities, "entity").select("digest", "copies", F.struct(*alike).alias("entity")).distinct()
+    shown = texts.select("digest", F.explode("terms").alias("term")).join(frequency, "term").select("digest", F.struct(*alike).alias("class")).distinct()
+    pairs = held.join(shown, "digest").where(F.col("class.n") <= bound(F.col("entity.n"))).groupBy("entity", "class").agg(F.sum("copies").alias("both"))
+    own = F.log2(F.lit(float(max(total, 1)))) - F.log2(F.col("entity.n"))
+    share = (own + F.log2("both") - F.log2(F.col("class.n"))) / own
+    told = pairs.where(own > 0).withColumn("share", share).where(F.col("share") >= generalise - ROOM).groupBy("class").agg(F.max("share").alias("share"))
+    return frequency.join(told.select("class.*", "share"), alike).select("term", "share")
 
 
-def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
+def decided(told: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """term and whether it is removed, of ``disclosures``; the others are generalised."""
+    told = staged(told, "told")
+    classes = told.where(F.col("term").endswith("*")).select(F.col("term").alias("stem"))
+    return told.where(~F.col("term").endswith("*")).withColumn("stem", stem(F.col("term"))).join(classes.withColumn("bad", F.lit(True)), "stem", "left").select("term", ((F.col("share") >= remove - ROOM) | F.coalesce("bad", F.lit(False))).alias("whole"))
+
+
+def _dealt(values: Column) -> Column:
+    """A set as lists of about the root of its size, by hash, so that a member is looked for in one short list."""
+    return F.transform(F.array(values), lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.sqrt(F.size(v))).cast("int")), lambda k: F.filter(v, lambda x: F.pmod(F.hash(x), F.ceil(F.sqrt(F.size(v))).cast("int") + 1) == k)))[0]
+
+
+def _has(dealt: Column, value: Column) -> Column:
+    return F.array_contains(F.get(dealt, F.pmod(F.hash(value), F.size(dealt))), value)
+
+
+def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """doc_id and the spans of each kind, base and added, of each row of docs (doc_id, text).
 
     Other columns are ignored. A null text is empty and has no findings; repeated rows
     each get a row. Columns: doc_id, digest, email, ip, card, phone, removed,
-    generalised; spans have start, end and value.
+    generalised; spans have start, end and value. Every occurrence of a term that
+    discloses too much is marked, in texts without the entity too. Terms are runs of
+    three letters and more outside of e-mail addresses, alike in both cases; an entity
+    that every document has has no information to disclose.
     """
+    docs = docs.select("doc_id", "text")
     found = staged(found_entities(docs), "personal")
-    told = disclosures(found, docs, support).where(F.col("hidden") <= generalise).select("kind", "value", "term", (F.col("hidden") <= remove).alias("whole"))
-    key = found.where("near IS NOT NULL").select("doc_id", "digest", "near").groupBy("doc_id", "digest").agg(F.first("near").alias("near"))
-    stands = key.select("doc_id", "digest", F.explode("near").alias("e")).select("doc_id", "digest", F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), F.explode("e.terms").alias("t"))
-    added = stands.withColumn("term", F.col("t.value")).join(told, ["kind", "value", "term"]).groupBy("doc_id", "digest", "t").agg(F.max("whole").alias("whole"))
-    lists = added.groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(*(F.sort_array(F.collect_list(F.when(F.col("whole") == w, F.col("t")))).alias(c) for c, w in (("removed", True), ("generalised", False))))
-    out = found.drop("near").join(lists, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest")), "left")
+    words = staged(decided(disclosures(found, docs, generalise), remove), "decided")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
+    sets = lambda c, w: _dealt(F.collect_set(F.when(F.col("whole") == w, F.col("term")))).alias(f"{c}_terms")
+    lists = keyed.select("doc_id", "digest", F.explode(terms(F.col("text"))).alias("term")).join(words, "term").groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(sets("removed", True), sets("generalised", False))
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest"))
+    spans = F.filter(_term_pattern(F.col("text"), lambda p: match_spans(F.col("text"), p)), lambda s: ~s["value"].contains("@"))
+    among = lambda c: F.filter(spans, lambda s: _has(F.col(f"{c}_terms"), F.lower(s["value"])))
+    placed = keyed.join(lists, same).select("at_id", "at_digest", *(among(c).alias(c) for c in ("removed", "generalised"))).dropDuplicates(["at_id", "at_digest"])
+    out = found.drop("entities", "terms").join(placed, same, "left")
     return out.select("doc_id", "digest", *KINDS, *(F.coalesce(F.col(c), F.array().cast(SPAN)).alias(c) for c in ("removed", "generalised")))
 
 
 def sanitised(docs: DataFrame, **limits) -> DataFrame:
-    """docs with its columns, personal data in text replaced by its class, removed terms cut and generalised ones named."""
-    marks = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "generalised": "[TERM]"}
+    """docs with its columns, personal data in text replaced by its class, removed terms cut and generalised ones replaced by the class of their first letters."""
+    marks = {"email": F.lit("[EMAIL]"), "ip": F.lit("[IP]"), "card": F.lit("[CARD]"), "phone": F.lit("[PHONE]"), "removed": F.lit("")}
 
-    def marked(kind: str, mark: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mark).alias("mark")))
+    def marked(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (marks[kind] if kind in marks else stem(F.lower(s["value"]))).alias("mark")))
 
-    spans = F.array_sort(F.concat(*(marked(*k) for k in marks.items())))
+    spans = F.array_sort(F.concat(*map(marked, (*marks, "generalised"))))
     found = find_personal(docs, **limits).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), spans.alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__digest"])
     text = F.col("text")
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"]).alias("out")))
     done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    keyed = docs.withColumn("__own", F.sha2(F.coalesce(text, F.lit("")), 256))
+    keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(text, F.lit(""))))
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(done)).select(*docs.columns)
 
@@ -194,14 +238,16 @@ base AS (SELECT rid, k, lower(value) AS entity, e - length(value) AS s, e FROM p
 OR k = 1 AND len(list_filter(string_split(value, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0
 OR k = 2 AND length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(reverse(digits), j + 1, 1) AS INT) WHEN CAST(substr(reverse(digits), j + 1, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse(digits), j + 1, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(digits), j + 1, 1) AS INT) END)) % 10 = 0
 OR k = 3 AND length(digits) BETWEEN 8 AND 15),
-words AS (SELECT rid, t, regexp_extract_all(lower(t), '\pL{3,}') AS v, string_split_regex(lower(t), '\pL{3,}') AS g FROM m WHERE rid IN (SELECT rid FROM base)),
-terms AS (SELECT rid, t, term, CAST(sum(gap + length(term)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e FROM (SELECT rid, t, i, v[i] AS term, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM words))),
-near AS (SELECT w.rid, sha256(w.t) AS digest, b.k, b.entity, w.term, w.e - length(w.term) AS s, w.e FROM terms w JOIN base b ON w.rid = b.rid AND ((w.e - length(w.term) >= b.s - 60 AND w.e <= b.s) OR (w.e - length(w.term) >= b.e AND w.e <= b.e + 60))
-WHERE NOT EXISTS (SELECT 1 FROM base o WHERE o.rid = w.rid AND o.s < w.e AND w.e - length(w.term) < o.e)),
-both_ AS (SELECT k, entity, term, count(DISTINCT rid) AS n FROM near GROUP BY ALL HAVING count(DISTINCT digest) >= 2),
-frequency AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT rid, unnest(regexp_extract_all(lower(t), '\pL{3,}')) AS term FROM m) GROUP BY 1),
-told AS (SELECT k, entity, term, log2(f.n) - log2(b.n) AS hidden FROM both_ b JOIN frequency f USING (term)),
-added AS (SELECT rid, s, e, CASE WHEN min(hidden) <= 0.5 THEN 4 ELSE 5 END AS k FROM near JOIN told USING (k, entity, term) WHERE hidden <= 1.5 GROUP BY rid, s, e),
+words AS (SELECT rid, t, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\pL{3,}') AS v, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\pL{3,}') AS g FROM m),
+terms AS (SELECT rid, lower(raw) AS term, CAST(sum(gap + length(raw)) OVER (PARTITION BY rid ORDER BY i) AS BIGINT) AS e, length(raw) AS long FROM (SELECT rid, i, v[i] AS raw, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM words))),
+places AS (SELECT rid, term, e - long AS s, e FROM terms WHERE NOT contains(term, '@')),
+holds AS (SELECT DISTINCT rid, term FROM places UNION SELECT DISTINCT rid, left(term, 3) || '*' FROM places),
+entities AS (SELECT DISTINCT rid, k, entity FROM base),
+total AS (SELECT count(*) AS n FROM m),
+share AS (SELECT h.term, (log2(any_value(total.n)) - log2(any_value(en.n)) + log2(count(*)) - log2(any_value(tn.n))) / nullif(log2(any_value(total.n)) - log2(any_value(en.n)), 0) AS share
+FROM entities e JOIN holds h USING (rid) JOIN (SELECT k, entity, count(*) AS n FROM entities GROUP BY ALL) en ON en.k = e.k AND en.entity = e.entity JOIN (SELECT term, count(*) AS n FROM holds GROUP BY 1) tn ON tn.term = h.term, total GROUP BY e.k, e.entity, h.term),
+told AS (SELECT term, max(share) AS share FROM share WHERE share >= 0.94 - 1e-9 GROUP BY 1),
+added AS (SELECT p.rid, p.s, p.e, CASE WHEN w.share >= 0.97 - 1e-9 OR c.term IS NOT NULL THEN 4 ELSE 5 END AS k FROM places p JOIN told w ON w.term = p.term LEFT JOIN told c ON c.term = left(p.term, 3) || '*'),
 spans AS (SELECT rid, k, s, e FROM base UNION ALL SELECT rid, k, s, e FROM added),
 lists AS (SELECT rid, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
 string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base_spans, string_agg(['email', 'ip', 'card', 'phone', 'remove', 'generalise'][k + 1] || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM spans GROUP BY 1)

@@ -2,7 +2,6 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -61,43 +60,81 @@ def corpus():
     return rows + [(None, rows[8][1]), (8, rows[8][1]), (500, None), (501, "")]
 
 
+def plain_terms(text):
+    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(rf"{mail}|[^\W\d_]{{3,}}", text) if "@" not in m[0]]
+
+
+def plain_levels(texts, remove=pii.REMOVE, generalise=pii.GENERALISE):
+    """term -> whether it is removed, by every pair of terms and entities."""
+    holds = [{w for w, _, _ in plain_terms(t)} for t in texts]
+    holds = [h | {w[:3] + "*" for w in h} for h in holds]
+    entities = [{(k, t[a:b].lower()) for k, v in brute(t).items() for a, b in v} for t in texts]
+    share = {}
+    for e in set().union(*entities):
+        n_e = sum(e in x for x in entities)
+        if n_e < len(texts):
+            for w in set().union(*(h for h, x in zip(holds, entities) if e in x)):
+                n_t, both = sum(w in h for h in holds), sum(w in h and e in x for h, x in zip(holds, entities))
+                told = math.log2(len(texts) * both / (n_e * n_t)) / math.log2(len(texts) / n_e)
+                share[w] = max(told, share.get(w, -9))
+    told = {w: s for w, s in share.items() if s >= generalise - 1e-9}
+    return {w: s >= remove - 1e-9 or w[:3] + "*" in told for w, s in told.items() if "*" not in w}
+
+
+def levels(df, generalise=pii.GENERALISE):
+    return {r.term: r.whole for r in pii.decided(pii.disclosures(pii.found_entities(df), df.select("doc_id", "text"), generalise)).collect()}
+
+
 def test_disclosing_terms_by_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
-    got = pii.find_personal(df).collect()
+    got = pii.find_personal(df, generalise=0.5).collect()
     assert len(got) == len(rows)
-    frequency, both, shown, near = Counter(), Counter(), defaultdict(set), []
-    for _, t in rows:
-        t = t or ""
-        frequency.update(set(re.findall(r"[^\W\d_]{3,}", t.lower())))
-        entities = [(k, t[a:b].lower(), a, b) for k, v in brute(t).items() for a, b in v]
-        mine = set()
-        for k, v, a, b in entities:
-            for m in re.finditer(r"[^\W\d_]{3,}", t.lower()):
-                inside = (a - 60 <= m.start() and m.end() <= a) or (b <= m.start() and m.end() <= b + 60)
-                if inside and not any(x < m.end() and m.start() < y for _, _, x, y in entities):
-                    mine.add((k, v, m[0], m.start(), m.end()))
-        both.update({p[:3] for p in mine})
-        for p in mine:
-            shown[p[:3]].add(t)
-        near.append(mine)
+    level = plain_levels([t or "" for _, t in rows], generalise=0.5)
+    assert levels(df, 0.5) == level and len(level) > 3
     want = []
-    for (d, t), mine in zip(rows, near):
-        best = {}
-        for k, v, w, a, b in mine:
-            hidden = math.log2(frequency[w] / both[k, v, w])
-            if len(shown[k, v, w]) >= 2 and hidden <= 1.5:
-                best[a, b] = best.get((a, b), False) or hidden <= 0.5
-        want.append((str(d), hashlib.sha256((t or "").encode()).hexdigest(), sorted(x for x, w in best.items() if w), sorted(x for x, w in best.items() if not w)))
-    assert sorted((str(r.doc_id), r.digest, [(s.start, s.end) for s in r.removed], [(s.start, s.end) for s in r.generalised]) for r in got) == sorted(want)
-    assert any(w[2] for w in want) and any(w[3] for w in want)
-    assert {e.kind for r in pii.found_entities(df).collect() for e in r.near or []} == {"email"}
+    for d, t in rows:
+        marked = [(level[w], a, b) for w, a, b in plain_terms(t or "") if w in level]
+        want.append((str(d), [(a, b) for x, a, b in marked if x], [(a, b) for x, a, b in marked if not x]))
+    assert sorted((str(r.doc_id), [(s.start, s.end) for s in r.removed], [(s.start, s.end) for s in r.generalised]) for r in got) == sorted(want)
+    assert all(rows[r.doc_id][1][s.start : s.end] == s.value for r in got if r.doc_id and r.doc_id < 160 for s in r.removed)
     clean = pii.sanitised(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
     assert clean.where(F.col("text").contains("@")).count() == 0 and clean.where(F.col("text").contains("[EMAIL]")).count() == 22
     assert pii.find_personal(df.limit(0)).count() == 0
 
 
+def test_what_discloses_nothing_stays_and_what_discloses_all_goes(spark):
+    everywhere = [(i, f"the word filler text a@b.cd {'one' if i % 2 else 'two'}") for i in range(20)]
+    assert levels(spark.createDataFrame(everywhere, "doc_id long, text string")) == {}
+    names = ["Abelard", "Brunhild", "Chlodwig", "Dietrich", "Ermelind", "Friedolin", "Gunther", "Hildegund", "Isolde", "Jutta"]
+    once = [(i, f"we met {n} there, write to user{i}@mail.org") for i, n in enumerate(names)]
+    df = spark.createDataFrame(once, "doc_id long, text string")
+    assert levels(df) == {n.lower(): True for n in names}
+    assert [r.text for r in pii.sanitised(df).orderBy("doc_id").collect()] == ["we met  there, write to [EMAIL]"] * 10
+
+
+def test_a_term_far_from_its_entity_and_in_other_texts(spark):
+    rows = [(100 + i, f"alpha filler{chr(97 + i % 26)}") for i in range(400)] + [(20 + i, "far away " + "pad " * 200 + "x@corp.com " + "pad " * 200 + "secretname") for i in range(9)] + [(40, "only secretname here, no address"), (41, "İİİİ secretname ßecretname x@corp.com")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_levels([t for _, t in rows])
+    assert levels(df) == want and "secretname" in want
+    got = {r.doc_id: r for r in pii.find_personal(df).collect()}
+    spans = lambda r: [(s.start, s.end) for s in [*r.removed, *r.generalised] if s.value == "secretname"]
+    assert spans(got[40]) == [(5, 15)] and spans(got[41]) == [(5, 15)] and len(spans(got[20])) == 1
+
+
+def test_a_term_is_generalised_only_to_a_class_that_discloses_less(spark):
+    # Both terms disclose alike; the class of the first is common, that of the second is not.
+    rows = [(i, "quendel zyxter p@q.rs") for i in range(40)] + [(100 + i, f"quest{chr(97 + i % 26)} common words") for i in range(900)] + [(2000 + i, f"{w} alone") for i, w in enumerate(["quendel", "zyxter"] * 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert levels(df) == plain_levels([t for _, t in rows])
+    assert levels(df) == {"quendel": False, "zyxter": True}
+    got = pii.sanitised(df).where("doc_id = 5").first().text
+    assert got == "que*  [EMAIL]"
+
+
 def test_the_query_writes_kinds_and_digests(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(texts())]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
