@@ -66,6 +66,27 @@ def test_mix_by_brute_force(spark):
     assert Counter(r.doc_id for r in full.collect())[910] >= 1
 
 
+def test_goals_of_many_sources_by_the_definition(spark):
+    rng = random.Random(4)
+    size = {f"s{i:05d}": rng.choice([0, 1, 2, 5, 40, 3000]) for i in range(3000)} | {None: 7, "a\uffff": 3, "a\U00010000": 3}
+    df = spark.createDataFrame([([s], n) for s, n in size.items()], "__pattern array<string>, words long")
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(names, mixing.targets([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])))
+    got = {r[0]: r for r in mixing.source_goals(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[s]["__target"] == float(want[s]) and abs(got[s]["__goal"] - want[s]) <= 0.5 and got[s]["__source_size"] == size[s] for s in want)
+
+
+def test_more_sources_than_any_bound_and_clashing_names(spark):
+    rows = [(i, "a b c", f"src{i % 700}", 1, 2, 3) for i in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, passes int, target int, cut int")
+    got = mixing.mix(df).collect()
+    assert len(got) == 2100 and abs(sum(r.taken for r in got) - 6300) <= 350 and all(r.taken <= 9 for r in got)
+    full = mixing.mixed_documents(df)
+    assert full.columns == df.columns
+    assert full.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == sum(r.taken for r in got)
+
+
 def test_overlapping_sources(spark):
     df = spark.createDataFrame([(i, "a b c d", ["x", "y"] if i % 2 else ["x"]) for i in range(40)] + [(99, "q", [])], "doc_id long, text string, sources array<string>")
     got = mixing.mix(df, F.col("sources"), weights=(1, 1)).collect()
