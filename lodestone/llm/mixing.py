@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import staged
+from lodestone.plans.staging import staged, unstaged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -153,15 +153,18 @@ def plan_mix(marked: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     passes = F.when(F.col("words") > 0, F.floor(takes / F.col("words"))).otherwise(0).cast("long")
     plan = staged(with_goal.select("__pattern", passes.alias("__passes"), F.when(F.col("words") > 0, takes - passes * F.col("words")).otherwise(0).alias("__rest"), F.coalesce("__source_size", F.lit(0)).alias("__source_size"), F.coalesce("__target", F.lit(0.0)).alias("__target")), "plan")
     # The cut, digit by digit: only the documents within the digits found so far are looked at again.
-    rests, rows = plan.select("__pattern", "__rest"), marked.select("__pattern", "__size", "__order")
+    rests, rows, done = plan.select("__pattern", "__rest"), marked.select("__pattern", "__size", "__order"), [sums, plan]
     for i in range(1, DIGITS + 1):
         digit = F.shiftrightunsigned("__order", 64 - DIGIT * i)
         near = staged(_crossing(rows.groupBy("__pattern", digit.alias("__at")).agg(F.sum("__size").alias("words")), rests), "near")
         rows = staged(rows.withColumn("__at", digit).join(near, ["__pattern", "__at"]).select("__pattern", "__size", "__order"), "inside")
+        done += [near, rows]
         rests = near.select("__pattern", "__rest")
     whole = rows.groupBy("__pattern", F.col("__order").bitwiseXOR(F.lit(-(1 << 63))).alias("__at")).agg(F.sum("__size").alias("words"), F.count("*").alias("__ties"))
     cuts = _crossing(whole, rests).select("__pattern", F.col("__at").alias("__cut"), F.col("__rest").alias("__cut_rest"), "__ties")
-    return staged(plan.drop("__rest").join(cuts, "__pattern", "left"), "cuts")
+    out = staged(plan.drop("__rest").join(cuts, "__pattern", "left"), "cuts")
+    unstaged(*done)
+    return out
 
 
 def _crossing(sums: DataFrame, rests: DataFrame) -> DataFrame:

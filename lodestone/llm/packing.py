@@ -27,10 +27,12 @@ from lodestone.plans.staging import staged
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
-#: Parts in which the ranks of one length are counted, so that a hot length is shared by many tasks.
-RANK_PARTS = 256
-#: Word ids that a worker keeps; a full cache is dropped.
-CACHE = 1 << 18
+#: Pieces for which there is a part in which the ranks of a length are counted, so that a hot length is shared by as many tasks as it needs.
+PART_ROWS = 20_000
+#: Characters of the cuts whose ids a worker keeps (a full cache is dropped), and of the longest that is kept.
+CACHE, LONG = 2_000_000, 64
+#: Rows that a worker reads at once.
+ROWS = 512
 
 
 def byte_ranks(model: Tokenizer) -> dict[bytes, int] | None:
@@ -64,7 +66,7 @@ class Encoder:
         # The same merges in a library that has less to do for each cut.
         self.quick = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
         self.cache: dict[str, bytes] = {}
-        self.most = cache
+        self.most, self.held = cache, 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,12 +81,20 @@ class Encoder:
         try:
             return b"".join(map(cache.__getitem__, cuts))
         except KeyError:
-            if len(cache) > self.most:
-                cache.clear()
-            for c in cuts:
-                if c not in cache:
-                    cache[c] = self.cut(c)
-            return b"".join(map(cache.__getitem__, cuts))
+            pass
+        if self.held > self.most:
+            cache.clear()
+            self.held = 0
+        out = []
+        for c in cuts:
+            ids = cache.get(c)
+            if ids is None:
+                ids = self.cut(c)
+                if len(c) <= LONG:
+                    cache[c] = ids
+                    self.held += len(c)
+            out.append(ids)
+        return b"".join(out)
 
 
 _encoder: dict[str, Encoder] = {}
@@ -107,12 +117,12 @@ def pieces(ids: bytes, sequence: int) -> list[tuple[int, int, int]]:
 def _cut(path: str, sequence: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_for(path)
-        for b in batches:
-            at, rows = [], []
+        for whole, k in ((x, k) for x in batches for k in range(0, x.num_rows, ROWS)):
+            b, at, rows = whole.slice(k, ROWS), [], []
             for i, text in enumerate(b.column("text")):
                 found = pieces(encode(text.as_py() or "") + bytes(4), sequence)
                 at += [i] * len(found)
-                rows += [(k, *x) for k, x in enumerate(found)]
+                rows += [(n, *x) for n, x in enumerate(found)]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -184,7 +194,7 @@ def _placed(slots: np.ndarray):
     return place
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, rank_parts: int = RANK_PARTS) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text), with its place.
 
     Other columns are ignored. A null text is empty and has the closing id 0 alone;
@@ -192,7 +202,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None
     interchangeable. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     cut = staged(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or public_tokenizers.path(TOKENIZER), sequence), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(rank_parts)))
+    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-cut.count() // part_rows) or 1)))
     counts = staged(parted.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     slots = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, sequence)
     # Ranks: those of the parts before, and the place within the part.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import staged
+from lodestone.plans.staging import staged, unstaged
 
 #: The base kinds and their patterns. Runs are possessive, and an address
 #: starts where its run does or the last match ended, so that reading takes linear time.
@@ -162,7 +162,6 @@ def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALIS
 
 def decided(told: DataFrame, remove: float = REMOVE) -> DataFrame:
     """term and whether it is removed, of ``disclosures``; the others are generalised."""
-    told = staged(told, "told")
     classes = told.where(F.col("term").endswith("*")).select(F.col("term").alias("stem"))
     return told.where(~F.col("term").endswith("*")).withColumn("stem", stem(F.col("term"))).join(classes.withColumn("bad", F.lit(True)), "stem", "left").select("term", ((F.col("share") >= remove - ROOM) | F.coalesce("bad", F.lit(False))).alias("whole"))
 
@@ -188,7 +187,9 @@ def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = G
     """
     docs = docs.select("doc_id", "text")
     found = staged(found_entities(docs), "personal")
-    words = staged(decided(disclosures(found, docs, generalise), remove), "decided")
+    told = staged(disclosures(found, docs, generalise), "told")
+    words = staged(decided(told, remove), "decided")
+    unstaged(told)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
     sets = lambda c, w: _dealt(F.collect_set(F.when(F.col("whole") == w, F.col("term")))).alias(f"{c}_terms")

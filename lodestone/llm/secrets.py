@@ -262,9 +262,16 @@ def written(spans: list[tuple[int, int, int, float]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
 
+def _short(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker holds few texts at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _scanned(model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _short(batches):
             found = all_spans([t or "" for t in b.column("text").to_pylist()], model)
             base = [[x for x in f if x[1] < 3] for f in found]
             counts = [pa.array([sum(x[1] == k for x in f) for f in base], pa.int64()) for k in range(3)]
@@ -297,7 +304,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     model = trained()
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _short(batches):
             texts = b.column("text").to_pylist()
             found = all_spans([t or "" for t in texts], model)
             new = pa.array([t and redacted(t, f) for t, f in zip(texts, found, strict=True)], pa.string())

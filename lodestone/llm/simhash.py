@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import staged
+from lodestone.plans.staging import staged, unstaged
 
 SEED = 42
 RADIUS = 4
@@ -29,6 +29,8 @@ SHINGLE = 4
 TILE_ROWS = 16384
 #: Probe and block pairs that are compared at once.
 SLAB = 65536
+#: Rows that a worker reads at once.
+ROWS = 512
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,7 +56,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
         texts = b.column("text").cast(pa.binary())
         found = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
@@ -207,7 +209,9 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
 def components(edges: DataFrame) -> DataFrame:
     """The smallest member (v) that each vertex (u) of ``edges`` (u, v) reaches; roots themselves have no row.
 
-    Each round stars every vertex's larger neighbours, then its smaller ones, around
+    A star's middle is joined once for each of its neighbours, which are different
+    fingerprints of one component and never copies; a middle with too many for a task is
+    split as a skewed join. Each round stars every vertex's larger neighbours, then its smaller ones, around
     the smallest; rounds are staged and end when one changes nothing.
     """
     stars = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
@@ -218,7 +222,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, stars = stars, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        unstaged(before)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return stars

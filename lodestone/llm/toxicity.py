@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.staging import staged
+from lodestone.plans.staging import staged, unstaged
 
 SAMPLE = 6000
 #: Letters of the longest n-gram that is counted, and below how many of them classes do not differ.
@@ -334,7 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     try:
         columns = [f"{c} long" for c in COLUMNS]
         every = chosen.where("part <> 0").select("text", "toxic").mapInArrow(_count_grams, ", ".join(columns)).groupBy(*COLUMNS[:4]).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        model = Model(_collected(staged(every, "grams")))
+        grams_of = staged(every, "grams")
+        model = Model(_collected(grams_of))
+        unstaged(grams_of)
         shared = docs.sparkSession.sparkContext.broadcast(model)
         # Rows: those of the sample, a few numbers each.
         held = chosen.where("part = 0").select("text", "toxic").mapInArrow(_told(shared), "toxic int, told double").toPandas().sort_values(["toxic", "told"])

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: The verdict where no rule fits.
 DEFAULT = "allow"
+#: Pages for which there is a part that is swept by itself.
+PART_ROWS = 100_000
+LEAST_PARTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,13 +60,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, parts: int
     each get a row. Of the rules that fit the longest by host and path wins, then
     that of the longer host, then the smaller host; of equal ones block beats allow.
     Rules with a null part fit nothing.
-    Pages are dealt over parts by a hash of their url's row, not by host, so a hot
-    host is in all of them; each part sweeps with every place of the rules.
+    Pages are dealt over as many parts as their number asks for, by their place in the
+    input and not by what they hold, so a hot host and repeated rows are in all of
+    them; each part sweeps with every place of the rules.
     """
     host, path = host_and_path(F.col("url"))
-    spark = pages.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("part", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(parts)).cast("int"))
+    parts = parts or max(LEAST_PARTS, -(-pages.count() // PART_ROWS))
+    # The place only spreads rows; whatever part one falls in, its verdict is the same.
+    keyed = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"))
     swept = keyed.select("part", host_key(F.col("host")).alias("key"), F.lit(1).alias("turn"), "page_id", "host", "path")
     known = places(rules.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     opened = known.select("part", "key", F.lit(0).alias("turn"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
@@ -77,7 +81,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, parts: int
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page."""
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES) + " AS rules(verdict, host, path)")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
 
 
