@@ -37,7 +37,7 @@ MARGIN = 1.0
 POWER = 0.75
 THRESHOLD = 0.3
 #: Letters of the words whose evidence a worker keeps (a full cache is dropped), and of the longest word that is kept.
-CACHE, LONG = 1_000_000, 100
+CACHE, LONG = 2_500_000, 100
 WORDS = re.compile(r"\w+")
 #: Texts whose unseen words are read together, and distinct words that are counted together.
 TEXTS, KINDS = 64, 50_000
