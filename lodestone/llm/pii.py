@@ -32,6 +32,8 @@ TERM = r"\p{L}{3,}+"
 #: Shares of an entity's information that a term may disclose before it is removed or generalised, and letters of the broader class.
 REMOVE, GENERALISE = 0.97, 0.94
 STEM = 3
+#: Bits of the bitmap that keeps rows without a chance from being shuffled; more keys than that only make it let more through.
+SIEVE = 1 << 26
 #: Shares are compared with so much room for rounding.
 ROOM = 1e-9
 #: Matches whose places are summed one by one; longer lists in blocks.
@@ -107,8 +109,11 @@ def _term_pattern(text: Column, read) -> Column:
 
 def terms(text: Column) -> Column:
     """A text's different terms in lower case, and the classes of their first letters, marked by a star."""
-    found = _term_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    words = F.array_distinct(F.transform(F.filter(found, lambda v: ~v.contains("@")), F.lower))
+    # Only the capital I with a dot changes its length, so a text without it may be lowered before it is read.
+    low = F.lower(text)
+    plain = F.filter(F.array_distinct(F.split(low, r"\P{L}+")), lambda v: F.length(v) >= 3)
+    odd = F.transform(F.filter(_term_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))), lambda v: ~v.contains("@")), F.lower)
+    words = F.when(text.contains("@") | text.contains("\u0130"), F.array_distinct(odd)).otherwise(plain)
     return F.concat(words, F.array_distinct(F.transform(words, stem)))
 
 
@@ -134,6 +139,23 @@ def _alike(digest: Column, weight: Column) -> list[Column]:
     return [F.sum(weight).alias("n"), half(0).alias("low"), half(32).alias("high")]
 
 
+def sieve(hashes: DataFrame) -> DataFrame:
+    """A bitmap of the values of ``hashes`` (h), in rows of 32,768 bits: bucket and bits. Its size is bounded by ``SIEVE`` bits."""
+    return hashes.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+
+
+def sieve_hash(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SIEVE)) + 1
+
+
+def sieved(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """The rows whose key is in a sieve; others may slip through, but none that is in it is lost."""
+    place = F.bitmap_bit_position("__h")
+    byte = F.conv(F.hex(F.substr(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # At most SIEVE / 8 bytes go to every executor.
+    return rows.withColumn("__h", key).join(F.broadcast(bits), F.bitmap_bucket_number("__h") == F.col("bucket")).where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).drop("__h", "bucket", "bits")
+
+
 def disclosures(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """term and share: the terms and classes that disclose at least ``generalise`` of an entity's information, with the largest share.
 
@@ -193,11 +215,13 @@ def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = G
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
     sets = lambda c, w: _dealt(F.collect_set(F.when(F.col("whole") == w, F.col("term")))).alias(f"{c}_terms")
-    lists = keyed.select("doc_id", "digest", F.explode(terms(F.col("text"))).alias("term")).join(words, "term").groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(sets("removed", True), sets("generalised", False))
+    likely = sieved(keyed.select("doc_id", "digest", F.explode(terms(F.col("text"))).alias("term")), sieve_hash("term"), sieve(words.select(sieve_hash("term").alias("h"))))
+    lists = staged(likely.join(words, "term").groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(sets("removed", True), sets("generalised", False)), "lists")
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest"))
     spans = F.filter(_term_pattern(F.col("text"), lambda p: match_spans(F.col("text"), p)), lambda s: ~s["value"].contains("@"))
     among = lambda c: F.filter(spans, lambda s: _has(F.col(f"{c}_terms"), F.lower(s["value"])))
-    placed = keyed.join(lists, same).select("at_id", "at_digest", *(among(c).alias(c) for c in ("removed", "generalised"))).dropDuplicates(["at_id", "at_digest"])
+    likely = sieved(keyed, sieve_hash("digest"), sieve(lists.select(sieve_hash("at_digest").alias("h"))))
+    placed = likely.join(lists, same).select("at_id", "at_digest", *(among(c).alias(c) for c in ("removed", "generalised"))).dropDuplicates(["at_id", "at_digest"])
     out = found.drop("entities", "terms").join(placed, same, "left")
     return out.select("doc_id", "digest", *KINDS, *(F.coalesce(F.col(c), F.array().cast(SPAN)).alias(c) for c in ("removed", "generalised")))
 
