@@ -36,37 +36,33 @@ STEM = 3
 SIEVE = 1 << 26
 #: Shares are compared with so much room for rounding.
 ROOM = 1e-9
-#: Matches whose places are summed one by one; longer lists in blocks.
+#: Spans of a list that are appended one by one.
 BLOCK = 256
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _running(pairs: Column, at: Column) -> Column:
-    """Spans of (gap, match) pairs from a place on, as a struct of the place reached and the spans."""
-    empty = F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
+def match_spans(text: Column, pattern: str, wanted=lambda v: F.lit(True)) -> Column:
+    """The wanted matches' start, end (code points, end exclusive) and value, from what stands between all matches.
+
+    One fold over the matches; spans are held in lists of ``BLOCK``, so that a long
+    list is not copied for each of them.
+    """
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # After the last match there is one more gap.
+    pairs = F.zip_with(values, F.transform(F.split(text, pattern, -1), F.length), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
+    none = F.array().cast(SPAN)
 
     def add(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         end = start + F.length(p["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))).alias("out"))
+        full = F.size(acc["out"]) >= BLOCK
+        span = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
+        longer = F.struct(end.alias("at"), F.when(full, F.array(span)).otherwise(F.array_append(acc["out"], span)).alias("out"), F.when(full, F.array_append(acc["done"], acc["out"])).otherwise(acc["done"]).alias("done"))
+        moved = F.struct(end.alias("at"), acc["out"].alias("out"), acc["done"].alias("done"))
+        return F.when(p["value"].isNull(), acc).when(wanted(p["value"]), longer).otherwise(moved)
 
-    return F.aggregate(pairs, empty, add)
-
-
-def match_spans(text: Column, pattern: str) -> Column:
-    """All matches' start, end (code points, end exclusive) and value, from what stands between them."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
-    length = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + F.length(p["value"]))
-    placed = F.aggregate(
-        blocks,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
-    )["starts"]
-    spans = F.flatten(F.zip_with(blocks, placed, lambda b, at: _running(b, at)["out"]))
-    return F.when(F.size(values) > 0, spans).otherwise(F.array().cast(SPAN))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.array().cast(f"array<{SPAN}>").alias("done"))
+    return F.aggregate(pairs, start, add, lambda acc: F.flatten(F.array_append(acc["done"], acc["out"])))
 
 
 def _luhn(digits: Column) -> Column:
@@ -214,14 +210,14 @@ def find_personal(docs: DataFrame, remove: float = REMOVE, generalise: float = G
     unstaged(told)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
-    sets = lambda c, w: _dealt(F.collect_set(F.when(F.col("whole") == w, F.col("term")))).alias(f"{c}_terms")
     likely = sieved(keyed.select("doc_id", "digest", F.explode(terms(F.col("text"))).alias("term")), sieve_hash("term"), sieve(words.select(sieve_hash("term").alias("h"))))
-    lists = staged(likely.join(words, "term").groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(sets("removed", True), sets("generalised", False)), "lists")
+    lists = staged(likely.join(words, "term").groupBy(F.col("doc_id").alias("at_id"), F.col("digest").alias("at_digest")).agg(_dealt(F.collect_set("term")).alias("marked"), _dealt(F.collect_set(F.when(F.col("whole"), F.col("term")))).alias("whole")), "lists")
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("digest") == F.col("at_digest"))
-    spans = F.filter(_term_pattern(F.col("text"), lambda p: match_spans(F.col("text"), p)), lambda s: ~s["value"].contains("@"))
-    among = lambda c: F.filter(spans, lambda s: _has(F.col(f"{c}_terms"), F.lower(s["value"])))
+    spans = _term_pattern(F.col("text"), lambda p: match_spans(F.col("text"), p, lambda v: _has(F.col("marked"), F.lower(v))))
     likely = sieved(keyed, sieve_hash("digest"), sieve(lists.select(sieve_hash("at_digest").alias("h"))))
-    placed = likely.join(lists, same).select("at_id", "at_digest", *(among(c).alias(c) for c in ("removed", "generalised"))).dropDuplicates(["at_id", "at_digest"])
+    marked = likely.join(lists, same).select("at_id", "at_digest", "whole", spans.alias("all"))
+    among = lambda kept: F.filter("all", lambda s: _has(F.col("whole"), F.lower(s["value"])) == kept)
+    placed = marked.select("at_id", "at_digest", among(True).alias("removed"), among(False).alias("generalised")).dropDuplicates(["at_id", "at_digest"])
     out = found.drop("entities", "terms").join(placed, same, "left")
     return out.select("doc_id", "digest", *KINDS, *(F.coalesce(F.col(c), F.array().cast(SPAN)).alias(c) for c in ("removed", "generalised")))
 
