@@ -16,9 +16,12 @@ STRING_CLASSES = (
 )
 #: Directories too common to link two binaries.
 GENERIC_PATHS = ("/tmp", "/var", "/proc", "/sys", "/dev", "/etc", "/usr", "/lib", "/bin", "/sbin", "/usr/lib", "/usr/bin")
+#: String classes that may link two binaries.
 SHARED_CLASSES = ("ipc_sock", "path", "crypto_hint")
-#: What a template's conversion may stand for.
-CONVERSIONS = (("[diou]", "[0-9]+"), ("[xX]", "[0-9a-fA-F]+"), ("[sp]", ".+"), ("c", "."))
+#: A template's conversion, what it may stand for, and the mark of a key that was built.
+CONVERSION = r"%[-+ 0#]*\d*(?:\.\d+)?[hljztL]*"
+CONVERSIONS = (("[diou]", "[0-9]+"), ("[xX]", "[0-9a-fA-F]+"), ("[sp]", ".+"), ("c", "."), ("%", "%"))
+BUILT = "<built:"
 
 
 def string_class(value: Column) -> Column:
@@ -41,10 +44,21 @@ def hex_address(number: Column) -> Column:
     return F.when(F.length(digits) >= 8, digits).otherwise(F.lpad(digits, 8, "0"))
 
 
+def address_candidates(text: Column) -> Column:
+    """The numbers that an address may spell: hex with 0x, ``FUN_`` or neither, and bare digits in decimal too. Unsigned, of up to 64 bits."""
+    token = F.trim(text)
+    named = F.upper(F.substring(token, 1, 4)) == "FUN_"
+    rest = F.when(named, F.substring(token, 5, 1 << 20)).otherwise(token)
+    marked = F.lower(F.substring(rest, 1, 2)) == "0x"
+    bare = F.regexp_replace(F.lower(F.when(marked, F.substring(rest, 3, 1 << 20)).otherwise(rest)), "^0+(?=.)", "")
+    number = lambda base, fits: F.when(fits, F.conv(bare, base, 10).cast("decimal(20,0)"))
+    decimal = bare.rlike("^[0-9]{1,20}$") & ~named & ~marked & (F.lpad(bare, 20, "0") <= "18446744073709551615")
+    return F.array_distinct(F.array_compact(F.array(number(16, bare.rlike("^[0-9a-f]{1,16}$")), number(10, decimal))))
+
+
 def parse_address(text: Column) -> Column:
-    """The number that an address spells in hex, with or without 0x; null where it spells none."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), "^0x", "")
-    return F.when(bare.rlike("^[0-9a-f]{1,15}$"), F.conv(bare, 16, 10).cast("long"))
+    """The number that an address spells in hex; null where it spells none."""
+    return F.get(address_candidates(text), F.lit(0))
 
 
 def skeleton(body: Column) -> Column:
@@ -64,16 +78,23 @@ def large_literals(body: Column) -> Column:
 
 
 def template_pattern(template: Column) -> Column:
-    """A regular expression that a key built by a printf template matches whole."""
-    out = F.regexp_replace(template, r"([.^$*+?()\[\]{}|\\])", r"\\$1")
-    for letters, stands in CONVERSIONS:
-        out = F.regexp_replace(out, rf"%[-#0 +]*[0-9]*(?:h|l)*{letters}", stands)
-    return F.concat(F.lit("^"), out, F.lit("$"))
+    """A regular expression that a key built by a printf template matches whole; null where a conversion is unknown or the key was built otherwise."""
+    known = F.regexp_replace(template, CONVERSION + "[diouxXscp%]", "")
+    # A conversion becomes a mark first, so that neither its letters nor what it stands for are taken for the template's own; %% counts where a reading from the left meets it.
+    out = F.regexp_replace(template, "%%", "\x01")
+    for i, (letters, _) in enumerate(CONVERSIONS):
+        out = F.regexp_replace(out, CONVERSION + letters, chr(2 + i))
+    out = F.regexp_replace(out, r"([.^$*+?()\[\]{}|\\])", r"\\$1")
+    for i, (_, stands) in enumerate(CONVERSIONS):
+        out = F.replace(out, F.lit(chr(2 + i)), F.lit(stands))
+    whole = F.concat(F.lit("^"), F.replace(out, F.lit("\x01"), F.lit("%")), F.lit("$"))
+    return F.when(~template.contains(BUILT) & ~known.contains("%"), whole)
 
 
 def template_anchored(template: Column) -> Column:
-    """Whether a template has two characters of its own."""
-    return F.length(F.regexp_replace(template, r"%[-#0 +]*[0-9]*(?:h|l)*[a-zA-Z]", "")) >= 2
+    """Whether a template has two characters of its own besides conversions and white space."""
+    own = F.regexp_replace(F.regexp_replace(template, CONVERSION + "[diouxXscp%]", ""), r"\s", "")
+    return ~template.contains(BUILT) & (F.length(own) >= 2)
 
 
 def conversions(template: Column) -> Column:

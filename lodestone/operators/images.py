@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def words(blocks: DataFrame, size: int = 4, big: bool = False) -> DataFrame:
-    """Aligned words of blocks (binary, address, data): binary, address, value. Bytes of a block's torn edges are left out."""
+    """Aligned words of blocks (binary, address, data): binary, address, value. Bytes of a block's torn edges are left out; words of 8 bytes are unsigned decimals."""
     start = F.pmod(-F.col("address"), F.lit(size))
     count = F.floor((F.octet_length("data") - start) / size)
     at = blocks.where(count > 0).select("binary", "address", "data", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("i"), start.alias("s"))
     raw = F.substring(F.col("data"), (F.col("s") + F.col("i") * size + 1).cast("int"), F.lit(size))
     digits = F.hex(raw)
     turned = digits if big else F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))))
-    return at.select("binary", (F.col("address") + F.col("s") + F.col("i") * size).alias("address"), F.conv(turned, 16, 10).cast("decimal(20,0)").cast("long").alias("value"))
+    return at.select("binary", (F.col("address") + F.col("s") + F.col("i") * size).alias("address"), F.conv(turned, 16, 10).cast("decimal(20,0)" if size > 7 else "long").alias("value"))
 
 
 def records(found: DataFrame, address: int, stride: int, size: int = 4, field: int = 0) -> DataFrame:

@@ -2,10 +2,10 @@
 
 FACTS = {
     "binaries": "run_id string, sha256 string, name string, path string, arch string, size long, last_seen_at timestamp, needed array<string>",
-    "functions": "run_id string, sha256 string, name string, address long, size int, is_exported boolean, callees array<string>, body string",
+    "functions": "run_id string, sha256 string, name string, address decimal(20,0), size int, is_exported boolean, callees array<string>, body string",
     "imports": "run_id string, sha256 string, name string, library string",
-    "exports": "run_id string, sha256 string, name string, address long",
-    "strings": "run_id string, sha256 string, value string, address long, category string",
+    "exports": "run_id string, sha256 string, name string, address decimal(20,0)",
+    "strings": "run_id string, sha256 string, value string, address decimal(20,0), category string",
     "extraction": "run_id string, sha256 string, status string, functions int, strings_total int, strings_truncated boolean",
 }
 CROSS = {

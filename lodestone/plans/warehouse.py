@@ -76,7 +76,7 @@ class Warehouse:
 def _fields(schema: str) -> list[str]:
     depth, out, at = 0, [], 0
     for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
+        depth += (c in "<(") - (c in ">)")
         if c == "," and not depth:
             out.append(schema[at:i].strip())
             at = i + 1

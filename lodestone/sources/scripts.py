@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Shells that a command may be wrapped in.
-SHELLS = r"(?:[^\s]*/)?(?:sh|bash|ash|dash|ksh)"
+SHELLS = r"(?:[^\s]*/)?(?:sh|bash|ash|dash|ksh|zsh)"
 KEYWORDS = ("if", "then", "else", "elif", "fi", "for", "while", "until", "do", "done", "case", "esac", "function", "in", "return", "exit", "export", "local", "set", "unset", "shift", "cd", "echo", "test", "[", "[[", "{", "}", ":", ".", "source", "read", "eval", "true", "false")
 
 

@@ -42,6 +42,7 @@ def config_entries(files: DataFrame) -> DataFrame:
     named = lines.withColumn("head", F.when(header, F.regexp_extract("raw", r"^\[([^\]]+)\]", 1)))
     carried = F.last("head", ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     kinds = named.withColumn("section", carried).where("head IS NULL")
+    # The two forms of an entry.
     equals = r"^([^=\s][^=]*?)\s*=\s*(.*)"
     spaced = r"^(\S+)\s+(\S.*)"
     part = lambda g: F.when(F.col("raw").rlike(equals), F.regexp_extract("raw", equals, g)).when(F.col("raw").rlike(spaced), F.regexp_extract("raw", spaced, g))
@@ -65,20 +66,39 @@ def web_endpoints(files: DataFrame) -> DataFrame:
     return read.withColumn("__n", first).where("__n = 1").select("path", "endpoint", "method", "source")
 
 
+#: Inputs whose name carries nothing that a user enters, and scripts' ways of setting a field.
+NOT_ENTERED = ("hidden", "button", "reset")
+NAME_ATTRIBUTE = r"""(?i)\bname\s*=\s*['"]?([A-Za-z0-9_]+)"""
+TYPE_ATTRIBUTE = r"""(?i)\btype\s*=\s*['"]?([A-Za-z]+)"""
+SCRIPT_RULES = (("js_form_assign", r"""(?i)\bdocument\.form\.([A-Za-z0-9_]+)\.value\s*="""), ("nvram_char_to_ascii", r"""(?i)nvram_char_to_ascii\(\s*['"][^'"]*['"]\s*,\s*['"]([A-Za-z0-9_]+)['"]"""))
+
+
 def form_fields(files: DataFrame) -> DataFrame:
-    """Names of fields that a user can edit: inputs but hidden, button, submit, reset and image ones, text areas and selects."""
-    tags = F.regexp_extract_all("text", F.lit(r"(?i)<(?:input|textarea|select)\b[^>]*>"), F.lit(0))
-    rows = files.select("path", F.explode(tags).alias("tag"))
-    attribute = lambda a: F.regexp_extract("tag", rf"""(?i)\b{a}\s*=\s*['"]?([^'"\s>]+)""", 1)
-    kind = F.lower(F.regexp_extract("tag", r"^<([A-Za-z]+)", 1))
-    fields = rows.select("path", attribute("name").alias("field"), kind.alias("rule"), F.lower(attribute("type")).alias("type"))
-    return fields.where("field <> '' AND NOT (rule = 'input' AND type IN ('hidden', 'button', 'submit', 'reset', 'image'))").select("path", "field", "rule").distinct()
+    """Names of fields that a user can set, once for each rule: inputs but hidden, button and reset ones, text areas, selects, and fields that a script assigns or fills."""
+    tags = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)<(?:input|textarea|select)\b[^>]*>"), F.lit(0)), lambda t: F.struct(F.lower(F.regexp_extract(t, r"^<([A-Za-z]+)", 1)).alias("rule"), F.regexp_extract(t, NAME_ATTRIBUTE, 1).alias("field"), F.lower(F.regexp_extract(t, TYPE_ATTRIBUTE, 1)).alias("type")))
+    named = lambda rule: lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("field"), F.lit("").alias("type"))
+    scripts = [F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), named(rule)) for rule, pattern in SCRIPT_RULES]
+    rows = files.select("path", F.explode(F.concat(tags, *scripts)).alias("f")).select("path", "f.*")
+    return rows.where((F.col("field") != "") & ~((F.col("rule") == "input") & F.col("type").isin(*NOT_ENTERED))).select("path", "field", "rule").distinct()
+
+
+def _pages(text: str | None, size: int) -> list[tuple[int, int, int, str]]:
+    out, held, used, first = [], [], 0, 0
+    for i, line in enumerate((text or "").splitlines(keepends=True)):
+        if held and used + len(line) > size:
+            out.append((len(out), first, len(held), "".join(held)))
+            held, used, first = [], 0, i
+        held.append(line)
+        used += len(line)
+    return [*out, (len(out), first, len(held), "".join(held))] if held else out
 
 
 def line_pages(files: DataFrame, size: int) -> DataFrame:
-    """Texts in pages of whole lines, of at most ``size`` characters where a line allows it: page, first line, lines, text."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    w = Window.partitionBy("path").orderBy("line")
-    chars = F.sum(F.length("raw") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    paged = lines.withColumn("page", F.floor((chars - F.length("raw") - 1) / size).cast("int"))
-    return paged.groupBy("path", "page").agg(F.min("line").alias("first_line"), F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n").alias("text"))
+    """Texts (path, text) in pages of whole lines: page, first line, lines, text.
+
+    A page takes lines while they fit ``size`` characters, and always one; joined,
+    pages give the text back. Filling goes on from line to line, so it is a function of
+    a whole text.
+    """
+    cut = F.pandas_udf(lambda texts: texts.map(lambda t: _pages(t, size)), "array<struct<page int, first_line int, lines int, text string>>")
+    return files.select("path", F.explode(cut(F.col("text"))).alias("p")).select("path", "p.*")

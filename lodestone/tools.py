@@ -39,7 +39,7 @@ class Tools:
         """Functions of a name or at an address in any spelling."""
         rows = self.store.read("functions")
         rows = rows.where(F.col("sha256") == self.binary(binary)) if binary else rows
-        return rows.where((F.col("name") == function) | (F.col("address") == text.parse_address(F.lit(function))))
+        return rows.where((F.col("name") == function) | (F.array_contains(text.address_candidates(F.lit(function)), F.col("address").cast("decimal(20,0)"))))
 
     def get_pseudocode(self, function: str, binary: str | None = None, page: int = 0, size: int = 12_000) -> DataFrame:
         """A function's text by pages of whole lines."""
