@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
-from lodestone.operators import align, calls, edges, graph, ledgers, rank, select
+from lodestone.functions import refs, text
+from lodestone.operators import align, calls, diffs, edges, graph, ledgers, lens, rank, select
 from lodestone.sources import textfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,23 +85,24 @@ def current_generation(spark, sf_dir):
 
 
 def _calls(spark, sf_dir):
-    """Line items as calls and exports: a supplier imports parts at some lines and exports them at others."""
-    lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey").alias("name"), "l_linenumber", "l_orderkey")
+    """Line items as calls and exports: a supplier imports parts at the lines of some orders and exports them at those of others; undiscounted lines have one of three common names."""
+    name = F.when(F.col("l_discount") == 0, F.concat(F.lit("common-"), "l_returnflag")).otherwise(F.col("l_partkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), name.alias("name"), "l_orderkey")
     return lines.where("l_orderkey % 2 = 0").select("binary", "name"), lines.where("l_orderkey % 2 = 1").select("binary", "name")
 
 
-CALLS = """calls AS (SELECT l_suppkey AS binary_, l_partkey AS name FROM lineitem WHERE l_orderkey % 2 = 0), exports AS (SELECT l_suppkey AS binary_, l_partkey AS name FROM lineitem WHERE l_orderkey % 2 = 1),
-plan AS (SELECT name, exporters, callers, exporters >= 16 AND callers * exporters > 250 AS folded FROM (SELECT name, count(*) AS exporters FROM exports GROUP BY 1) JOIN (SELECT name, count(*) AS callers FROM calls GROUP BY 1) USING (name))"""
+CALLS = """named AS (SELECT l_suppkey AS binary_, l_orderkey, CASE WHEN l_discount = 0 THEN 'common-' || l_returnflag ELSE CAST(l_partkey AS VARCHAR) END AS name FROM lineitem), calls AS (SELECT binary_, name FROM named WHERE l_orderkey % 2 = 0), exports AS (SELECT binary_, name FROM named WHERE l_orderkey % 2 = 1),
+plan AS (SELECT name, exporters, callers, exporters >= 16 AND callers * exporters > 25000 AS folded FROM (SELECT name, count(*) AS exporters FROM exports GROUP BY 1) JOIN (SELECT name, count(*) AS callers FROM calls GROUP BY 1) USING (name))"""
 
 
 @query(f"WITH {CALLS} SELECT DISTINCT c.binary_ AS caller, e.binary_ AS callee, name FROM calls c JOIN exports e USING (name) JOIN plan USING (name) WHERE NOT folded AND c.binary_ <> e.binary_")
 def call_edges_folded(spark, sf_dir):
-    return edges.call_edges(*_calls(spark, sf_dir), edges=250)[0]
+    return edges.call_edges(*_calls(spark, sf_dir))[0]
 
 
 @query(f"WITH {CALLS} SELECT name, exporters, callers, CAST(sum(exporters - CASE WHEN (SELECT count(*) FROM exports e WHERE e.name = c.name AND e.binary_ = c.binary_) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS edges FROM calls c JOIN plan USING (name) WHERE folded GROUP BY 1, 2, 3")
 def fold_ledger(spark, sf_dir):
-    return edges.call_edges(*_calls(spark, sf_dir), edges=250)[1]
+    return edges.call_edges(*_calls(spark, sf_dir))[1]
 
 
 def _names(spark, sf_dir):
@@ -131,11 +132,19 @@ def ambiguous_names(spark, sf_dir):
     return edges.resolve_names(*_names(spark, sf_dir))[1].withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
 
 
-@query("""WITH v AS (SELECT DISTINCT l_suppkey AS b, '/var/run/part-' || l_partkey || '.sock' AS value FROM lineitem WHERE l_partkey % 50 = 0)
-SELECT x.b AS a, y.b AS b, count(*) AS shared FROM v x JOIN v y ON x.value = y.value AND x.b < y.b GROUP BY 1, 2""")
+@query("""WITH v AS (SELECT DISTINCT l_suppkey AS b, '/var/run/part-' || l_partkey || '.sock' AS value FROM lineitem), few AS (SELECT value FROM v GROUP BY 1 HAVING count(*) <= 50)
+SELECT x.b AS a, y.b AS b, count(*) AS shared FROM v x JOIN v y ON x.value = y.value AND x.b < y.b WHERE x.value IN (SELECT value FROM few) GROUP BY 1, 2""")
 def shared_value_pairs(spark, sf_dir):
-    strings = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey")).where("l_partkey % 50 = 0").select("binary", F.concat(F.lit("/var/run/part-"), F.col("l_partkey").cast("string"), F.lit(".sock")).alias("value"))
-    return edges.shared_string_pairs(strings)
+    return edges.shared_string_pairs(_sockets(spark, sf_dir))
+
+
+def _sockets(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.concat(F.lit("/var/run/part-"), F.col("l_partkey").cast("string"), F.lit(".sock")).alias("value"))
+
+
+@query("""SELECT value, count(*) AS holders, array_to_string(list_sort(list(b)), ',') AS binaries FROM (SELECT DISTINCT l_suppkey AS b, '/var/run/part-' || l_partkey || '.sock' AS value FROM lineitem) GROUP BY 1""")
+def shared_value_groups(spark, sf_dir):
+    return edges.shared_string_groups(_sockets(spark, sf_dir)).select("value", F.size("binaries").cast("long").alias("holders"), F.array_join(F.col("binaries").cast("array<string>"), ",").alias("binaries"))
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)\b(AES|RSA|SHA[-_]?\d*|MD5|3DES|DES|HMAC|ECDSA|ECDH|EVP_|SSL_|TLS_|openssl|mbedtls|wolfssl|libcrypto)') THEN 'crypto_hint'
@@ -187,11 +196,12 @@ def file_pairing(spark, sf_dir):
     return align.pair_files(a, b)
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 20 < 2), b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 20 > 17)
-SELECT l_partkey, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT l_partkey, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+@query("""WITH a AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus <> 'O')
+SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def one_sided(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey")
-    return align.one_sided(lines.where("l_orderkey % 20 < 2"), lines.where("l_orderkey % 20 > 17"), ["l_partkey"])
+    """Open and filled lines as two runs."""
+    lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linestatus")
+    return align.one_sided(lines.where("l_linestatus = 'O'"), lines.where("l_linestatus <> 'O'"), ["l_partkey", "l_suppkey"])
 
 
 @query("""WITH r AS (SELECT user_id, ts, max(event_id) AS anchor FROM events WHERE event_id % 7 = 0 GROUP BY 1, 2)
@@ -250,20 +260,33 @@ def skeleton_groups(spark, sf_dir):
     return table(spark, sf_dir, "pages", text.skeleton_key(F.col("html")).alias("key")).groupBy("key").agg(F.count("*").alias("bodies"))
 
 
-CHAINS = "SELECT DISTINCT conv_id % 60 AS src, (conv_id * 7 + turn) % 60 AS dst FROM conversations WHERE conv_id % 3 = 0 AND turn < 2"
+CHAINS = "SELECT DISTINCT a.conv_id * 1000 + a.turn AS src, b.conv_id * 1000 + b.turn AS dst FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 
-@query(f"WITH RECURSIVE e AS ({CHAINS}), r AS (SELECT src AS seed, dst AS node FROM e WHERE src < 10 UNION SELECT r.seed, e.dst FROM r JOIN e ON r.node = e.src) SELECT seed, node FROM r")
+def _turns(spark, sf_dir):
+    """Edges from each turn of a conversation to the next."""
+    at = table(spark, sf_dir, "conversations", "conv_id", "turn").distinct()
+    node = F.col("conv_id") * 1000 + F.col("turn")
+    return at.select(node.alias("src"), (node + 1).alias("dst")).join(at.select(node.alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+@query(f"WITH RECURSIVE e AS ({CHAINS}), r AS (SELECT src AS seed, dst AS node FROM e WHERE src % 1000 = 0 UNION SELECT r.seed, e.dst FROM r JOIN e ON r.node = e.src) SELECT seed, node FROM r")
 def closure(spark, sf_dir):
-    chains = table(spark, sf_dir, "conversations", "conv_id", "turn").where("conv_id % 3 = 0 AND turn < 2").select((F.col("conv_id") % 60).alias("src"), ((F.col("conv_id") * 7 + F.col("turn")) % 60).alias("dst")).distinct()
-    return graph.closure(chains, chains.where("src < 10").select(F.col("src").alias("node")))
+    """What follows each first turn."""
+    turns = _turns(spark, sf_dir)
+    return graph.closure(turns, turns.where("src % 1000 = 0").select(F.col("src").alias("node")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 900 AS src, l_partkey % 900 AS dst FROM lineitem WHERE l_orderkey % 61 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.reach = b.src)
-SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+@query(f"WITH RECURSIVE e AS ({CHAINS}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r AS (SELECT src AS node, src AS reach FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.reach = b.src) SELECT node, min(reach) AS component FROM r GROUP BY 1")
 def linked_components(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").where("l_orderkey % 61 = 0").select((F.col("l_orderkey") % 900).alias("src"), (F.col("l_partkey") % 900).alias("dst"))
-    return graph.components(pairs)
+    """Turns by their conversation's first one."""
+    return graph.components(_turns(spark, sf_dir))
+
+
+@query()
+def linked_orders(spark, sf_dir):
+    """Orders and parts, as negative numbers, that line items link; without SQL, whose recursion holds all pairs of a component."""
+    return graph.components(table(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
 
 
 @query("SELECT user_id, count(*) AS calls, count(DISTINCT event_type) AS tools, CASE WHEN count(*) = count(value) THEN round(sum(value), 2) END AS bytes FROM events GROUP BY 1")
@@ -304,7 +327,7 @@ def folded_occurrences(spark, sf_dir):
     return edges.fold_occurrences(table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_partkey").alias("name")), ["binary", "name"])
 
 
-@query("""SELECT l_suppkey AS binary, l_partkey AS name, EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 2 = 1 AND x.l_suppkey = c.l_suppkey AND x.l_partkey = c.l_partkey) AS resolved FROM lineitem c WHERE l_orderkey % 2 = 0""")
+@query(f"WITH {CALLS} SELECT binary_ AS binary, name, EXISTS (SELECT 1 FROM exports x WHERE x.binary_ = c.binary_ AND x.name = c.name) AS resolved FROM calls c")
 def callees_resolved(spark, sf_dir):
     return edges.callees_resolved(*_calls(spark, sf_dir))
 
@@ -331,3 +354,99 @@ def wrapper_calls(spark, sf_dir):
     functions = lines.groupBy("binary", "name").agg(F.array_sort(F.collect_list("l_partkey")).alias("callees"))
     wrappers = lines.where("l_partkey % 10 = 0").select("binary", F.col("l_partkey").alias("name"), F.lit("cmd").alias("sink")).distinct()
     return calls.wrapper_calls(functions, wrappers).groupBy("binary", "caller", "callee").agg(F.count("*").alias("calls"))
+
+
+CONTROL = "CASE o_custkey % 6 WHEN 0 THEN 'controllable' WHEN 1 THEN 'free' WHEN 2 THEN 'constrained' WHEN 3 THEN 'constant' WHEN 4 THEN 'unknown' END"
+REACH = "CASE o_custkey % 4 WHEN 0 THEN 'entry:web' WHEN 1 THEN 'entry:web+script' ELSE 'unknown' END"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, {SINKS} AS sink_class, {CONTROL} AS control, {REACH} AS reach, o_orderstatus = 'P' AS safe, o_totalprice < 100000 AS param FROM orders),
+a AS (SELECT *, CASE sink_class WHEN 'cmd' THEN 3 WHEN 'fmt_string' THEN 3 WHEN 'copy' THEN 2 WHEN 'format' THEN 1 ELSE 0 END AS tier, CASE control WHEN 'controllable' THEN CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 5 END WHEN 'free' THEN 3 WHEN 'constrained' THEN 2 WHEN 'constant' THEN 0 ELSE 1 END AS level, starts_with(reach, 'entry:') AS entry FROM c)
+SELECT o_orderkey, CASE WHEN safe THEN 2 WHEN entry THEN 0 ELSE 1 END AS band FROM a
+ORDER BY band, CAST(safe AS INT), tier DESC, level DESC, CAST(param AS INT) DESC, CAST(entry AS INT) DESC, CAST(o_orderkey AS VARCHAR) LIMIT 200""")
+def lens_full_order(spark, sf_dir):
+    """The first page of the map under the view of what is reachable, by the full order."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", F.expr(SINKS).alias("sink_class"), F.expr(CONTROL).alias("controllability"), F.when(F.col("o_orderkey") % 2 == 0, "likely").otherwise("proven").alias("controllability_state"), F.expr(REACH).alias("reachability"), (F.col("o_orderstatus") == "P").alias("proven_safe"), F.when(F.col("o_totalprice") < 100000, "param").alias("source"), F.lit("free_string").alias("source_kind"), F.lit("unknown").alias("writer"), F.lit("unknown").alias("completeness"), F.lit(None).cast("string").alias("function"), F.col("o_orderkey").cast("string").alias("evidence_ref"))
+    found, order = lens.viewed(rows, "reachable-first")
+    return rank.page(found, order, 0, 200).select("o_orderkey", "band")
+
+
+@query("""SELECT p_brand AS diff_id, count(*) FILTER (WHERE l_linestatus = 'O') AS aligned, count(*) FILTER (WHERE l_linestatus = 'O' AND (l_discount IS NULL OR 1 - l_discount < 1)) AS aligned_similarity_below_1, count(*) FILTER (WHERE l_linestatus <> 'O') AS alignment_undetermined
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+def diff_browse(spark, sf_dir):
+    """Brands as differences, their line items as pairs."""
+    parts = table(spark, sf_dir, "part", F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("diff_id"))
+    pairs = table(spark, sf_dir, "lineitem", "l_partkey", (1 - F.col("l_discount")).alias("similarity"), F.when(F.col("l_linestatus") == "O", "aligned").otherwise("alignment_undetermined").alias("alignment_state")).join(parts, "l_partkey")
+    listed = parts.select("diff_id").distinct().withColumn("diff_ok", F.lit(True))
+    alone = parts.select("diff_id").limit(0).withColumns({"side": F.lit("a"), "presence_state": F.lit("")})
+    return diffs.browse(listed, pairs, alone).select("diff_id", "aligned", "aligned_similarity_below_1", "alignment_undetermined")
+
+
+@query("""SELECT s_suppkey AS addr, CASE WHEN s_acctbal >= 0 THEN 'unmatched_analysis_complete' ELSE 'unmatched_analysis_incomplete' END AS presence_state FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.09)""")
+def unmatched_functions(spark, sf_dir):
+    """Suppliers that no large, discounted line matches, as functions of one side; those with debts have a gap."""
+    baseline = table(spark, sf_dir, "supplier", F.lit("d").alias("diff_id"), F.col("s_suppkey").alias("addr"), "s_name", F.lit(1).alias("size"), (F.col("s_acctbal") >= 0).alias("decompiled"), F.lit(None).cast("string").alias("export_gap"))
+    matched = table(spark, sf_dir, "lineitem", F.lit("d").alias("diff_id"), F.col("l_suppkey").alias("addr"), "l_quantity", "l_discount").where("l_quantity > 49.5 AND l_discount > 0.09")
+    return diffs.side_presence(baseline, matched)[0].select("addr", "presence_state")
+
+
+@query("""SELECT c_mktsegment || '-' || c_nationkey AS diff_id, 'absent' AS delta_kind, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1 UNION ALL SELECT c_mktsegment || '-' || c_nationkey, 'stored', count(*) FROM customer GROUP BY 1""")
+def full_deltas(spark, sf_dir):
+    """Customers as stored deltas, and those with debts as dimensions that could not be looked at."""
+    rows = table(spark, sf_dir, "customer", F.concat("c_mktsegment", F.lit("-"), F.col("c_nationkey").cast("string")).alias("diff_id"), F.col("c_name").alias("dimension"), "c_acctbal")
+    none = lambda *c: {x: F.lit(None).cast("string") for x in c}
+    stored = rows.withColumns({"subject_kind": F.lit("edge"), "subject_key": F.col("dimension"), "delta_kind": F.lit("layer_changed"), **none("undetermined_scope", "undetermined_reason", "capability_ref")})
+    capability = rows.select("diff_id", "dimension", F.lit("present").alias("state_a"), F.lit("present").alias("state_b"), (F.col("c_acctbal") >= 0).alias("delta_supported"))
+    return diffs.full_deltas(stored, capability).groupBy("diff_id", F.when(F.col("undetermined_scope").isNull(), "stored").otherwise("absent").alias("delta_kind")).agg(F.count("*").alias("n"))
+
+
+OVERLAY = "SELECT o_orderstatus AS presence, CASE WHEN o_custkey % 3 > 0 THEN 'r' || o_custkey % 3 END AS reason, CASE WHEN o_custkey % 5 < 4 THEN 'a' || o_orderkey END AS a_ref, CASE WHEN o_custkey % 5 > 0 THEN 'b' || o_orderkey END AS b_ref, o_orderpriority AS sink_class, CASE WHEN o_custkey % 7 > 0 THEN CAST(o_custkey % 7 AS VARCHAR) END AS binary_ FROM orders"
+
+
+def _overlay(spark, sf_dir):
+    custkey, key = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    return table(spark, sf_dir, "orders", F.col("o_orderstatus").alias("presence"), F.when(custkey % 3 > 0, F.concat(F.lit("r"), (custkey % 3).cast("string"))).alias("presence_reason"), F.when(custkey % 5 < 4, F.concat(F.lit("a"), key)).alias("a_ref"), F.when(custkey % 5 > 0, F.concat(F.lit("b"), key)).alias("b_ref"), F.col("o_orderpriority").alias("sink_class"), F.when(custkey % 7 > 0, (custkey % 7).cast("string")).alias("binary"), F.lit("callsite").alias("key_granularity"))
+
+
+@query(f"""WITH o AS (SELECT *, coalesce(reason, '-') AS why, CASE WHEN a_ref IS NOT NULL AND b_ref IS NOT NULL THEN 'both' WHEN a_ref IS NOT NULL THEN 'a_only' WHEN b_ref IS NOT NULL THEN 'b_only' ELSE 'neither' END AS side FROM ({OVERLAY}))
+SELECT 'presence' AS grouping, presence AS key, count(*) AS n FROM o GROUP BY ALL UNION ALL SELECT 'presence_reason', presence || '|' || why, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'presence_reason_side', presence || '|' || why || '|' || side, count(*) FROM o GROUP BY ALL
+UNION ALL SELECT 'key_granularity', 'callsite', count(*) FROM o GROUP BY ALL UNION ALL SELECT 'sink_class', sink_class, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'binary', coalesce(binary_, '(none)'), count(*) FROM o GROUP BY ALL""")
+def overlay_summary(spark, sf_dir):
+    return diffs.overlay_summary(_overlay(spark, sf_dir))
+
+
+@query(f"SELECT 'a' AS side, 'a' || o_orderkey AS ref, 0 AS times FROM orders WHERE o_custkey % 5 = 4 UNION ALL SELECT 'b', 'b' || o_orderkey, 0 FROM orders WHERE o_custkey % 5 = 0")
+def overlay_invariant(spark, sf_dir):
+    """Orders that an overlay of orders does not represent on a side."""
+    keys = table(spark, sf_dir, "orders", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("side"), "o_orderkey")
+    return diffs.not_represented(keys.select("side", F.concat("side", F.col("o_orderkey").cast("string")).alias("ref")), _overlay(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, CAST(c_custkey // 4 AS VARCHAR) || c_mktsegment AS sha256, c_mktsegment || c_nationkey AS name, c_acctbal FROM customer), d AS (SELECT sha256, name FROM b WHERE c_acctbal > 9000)
+SELECT side, sha256, name, CASE WHEN EXISTS (SELECT 1 FROM b o WHERE o.side <> b.side AND o.sha256 = b.sha256) THEN 'identical_on_other_side' WHEN name IN (SELECT name FROM d) THEN 'shadowed_by_name_collision' ELSE 'binary_not_diffed' END AS reason FROM b WHERE sha256 NOT IN (SELECT sha256 FROM d)""")
+def not_diffed_reasons(spark, sf_dir):
+    """Customers as binaries of two sides; those with much on their account were compared."""
+    rows = table(spark, sf_dir, "customer", F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("side"), F.concat(F.floor(F.col("c_custkey") / 4).cast("string"), "c_mktsegment").alias("sha256"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"), "c_acctbal")
+    return diffs.not_diffed(rows.drop("c_acctbal"), rows.where("c_acctbal > 9000"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey * 256 + CASE WHEN l_linenumber % 2 = 0 THEN -l_partkey ELSE l_partkey END AS address FROM lineitem WHERE l_returnflag <> 'R' AND l_linestatus = 'O'""")
+def call_addresses(spark, sf_dir):
+    """Line items as references of calls: entry and signed offset in hex; returned ones by ordinal, filled ones through a wrapper."""
+    offset = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise(""), F.lit("0x"), F.lower(F.hex("l_partkey")))
+    kind = F.when(F.col("l_linestatus") == "O", "cmd").otherwise("cmd_via_wrapper")
+    returned = F.col("l_returnflag") == "R"
+    tail = refs.suffix(kind, F.when(~returned, offset), F.when(returned, F.col("l_linenumber")))
+    made = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", refs.build_ref(F.lit("run"), F.lit("bin"), F.lower(F.hex(F.col("l_suppkey") * 256)), tail).alias("ref"))
+    return made.withColumn("address", refs.call_address(F.col("ref"))).where("address IS NOT NULL").drop("ref")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey AS entry, l_partkey + 100000 AS call, l_returnflag = 'A' AS anchored FROM lineitem), k AS (SELECT call, bool_or(anchored) AS taken, min(CASE WHEN NOT anchored THEN entry END) AS first FROM c GROUP BY 1)
+SELECT l_orderkey, l_linenumber, NOT anchored AND NOT taken AND entry = first AS minted FROM c JOIN k USING (call)""")
+def minted_anchors(spark, sf_dir):
+    """Line items as claims of a supplier to a part's call; accepted ones are anchored already."""
+    anchored, call = F.col("l_returnflag") == "A", F.col("l_partkey") + 100000
+    head = F.concat(F.lit("run#bin:"), F.lower(F.hex("l_suppkey")), F.lit("@cmd"))
+    ref = F.when(anchored, F.concat(head, F.lit("@"), refs.offset_text(call - F.col("l_suppkey")))).otherwise(head)
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", ref.alias("evidence_ref"), call.alias("callsite"), F.lit(True).alias("out_of_body"))
+    return refs.minted(rows).select("l_orderkey", "l_linenumber", (F.col("formal_ref") != F.col("evidence_ref")).alias("minted"))

@@ -50,21 +50,24 @@ def resolve_names(wanted: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
     return best.where(F.size("candidates") == 1).select("binary", "soname", F.col("candidates")[0].alias("target"), "tier"), best.where(F.size("candidates") > 1).select("binary", "soname", "candidates", "tier")
 
 
-def shared_string_pairs(strings: DataFrame, most_holders: int | None = None) -> DataFrame:
+#: Holders of one string above which their pairs are not made.
+FOLD_HOLDERS = 50
+
+
+def shared_string_pairs(strings: DataFrame, most_holders: int = FOLD_HOLDERS) -> DataFrame:
     """Undirected pairs (a < b) of binaries (binary, value) that share a useful string, with how many.
 
-    A value that n binaries hold makes n * (n - 1) / 2 pairs: with ``most_holders``
-    values that more hold are left to ``shared_string_groups``.
+    A value that n binaries hold makes n * (n - 1) / 2 pairs, so one that more than
+    ``most_holders`` hold is folded: ``shared_string_groups`` has it with all its holders.
     """
     held = strings.where(text.useful_shared_string(F.col("value")) & text.string_class(F.col("value")).isin(*text.SHARED_CLASSES)).select("binary", "value").distinct()
-    if most_holders:
-        held = held.join(held.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") <= most_holders).select("value"), "value", "left_semi")
+    held = held.join(held.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") <= most_holders).select("value"), "value", "left_semi")
     return held.alias("x").join(held.alias("y"), "value").where("x.binary < y.binary").groupBy(F.col("x.binary").alias("a"), F.col("y.binary").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def shared_string_groups(strings: DataFrame) -> DataFrame:
-    """The binaries that hold each useful string, for values whose pairs are too many."""
-    return strings.where(text.useful_shared_string(F.col("value"))).groupBy("value").agg(F.array_sort(F.collect_set("binary")).alias("binaries"))
+    """The binaries that hold each useful string, which is all that its pairs say."""
+    return strings.where(text.useful_shared_string(F.col("value")) & text.string_class(F.col("value")).isin(*text.SHARED_CLASSES)).groupBy("value").agg(F.array_sort(F.collect_set("binary")).alias("binaries"))
 
 
 def callees_resolved(callees: DataFrame, functions: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ CROSS = {
     "key_default": "run_id string, key string, default_value string",
     "annotation": "anchor_kind string, anchor_ref string, verdict string, rationale string, basis string, attributed_to string, at timestamp, seq long, cleared boolean",
 }
+#: Tables of stored differences, by diff_id.
+DIFFS = {
+    "diff": "diff_id string, run_a string, run_b string, binary string, diff_ok boolean, diff_status string, version_skew boolean",
+    "function_alignment": "diff_id string, addr_a decimal(20,0), addr_b decimal(20,0), name_a string, name_b string, confidence double, similarity double, alignment_state string",
+    "function_presence": "diff_id string, side string, addr decimal(20,0), name string, presence_state string, decompiled boolean, export_gap string",
+    "dimension_delta": "diff_id string, dimension string, subject_kind string, subject_key string, binary string, state_a string, state_b string, delta_kind string, undetermined_scope string, undetermined_reason string, capability_ref string",
+    "capability": "diff_id string, dimension string, state_a string, state_b string, delta_supported boolean",
+    "string_presence": "diff_id string, side string, value string",
+    "sink_overlay": "diff_id string, binary string, presence string, presence_reason string, key_granularity string, sink_class string, a_ref string, b_ref string",
+}
 #: The extractor's document of one binary.
 DOCUMENT = """sha256 string, functions array<struct<name:string,address:string,size:int,is_exported:boolean,callees:array<string>,pseudocode:string>>,
 imports array<struct<func_name:string,lib_name:string>>, exports array<struct<func_name:string,address:string>>, strings array<struct<value:string,address:string>>,

@@ -19,7 +19,7 @@ class Warehouse:
         self.spark, self.root = spark, root.rstrip("/")
 
     def schema(self, name: str) -> str:
-        return schemas.FACTS.get(name) or schemas.CROSS[name]
+        return next(t[name] for t in (schemas.FACTS, schemas.CROSS, schemas.DIFFS) if name in t)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,6 +40,23 @@ class Warehouse:
         wanted = rows.select(*columns)
         wanted.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.path(name))
 
+    def replace_diffs(self, name: str, rows: DataFrame, diffs: list[str]) -> None:
+        """Replace what a table holds of the named differences; one without rows is emptied."""
+        columns = [c.split()[0] for c in _fields(self.schema(name))]
+        self._drop(name, "diff_id", diffs)
+        rows.where(F.col("diff_id").isin(*diffs)).select(*columns).repartition("diff_id").write.mode("append").partitionBy("diff_id").parquet(self.path(name))
+
+    def delete_diff(self, diff_id: str) -> list[str]:
+        """Remove a difference from every table; returns those that held it."""
+        return [name for name in schemas.DIFFS if self._drop(name, "diff_id", [diff_id])]
+
+    def _drop(self, name: str, column: str, values: list[str]) -> bool:
+        gone = False
+        for value in values:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{column}={value}")
+            gone |= path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return gone
+
     def append(self, name: str, rows: DataFrame) -> None:
         rows.select(*(c.split()[0] for c in _fields(self.schema(name)))).write.mode("append").parquet(self.path(name))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import edges, ledgers, overlay, rank, select
+from lodestone.operators import diffs, edges, ledgers, lens, overlay, rank, select
 from lodestone.plans.warehouse import Warehouse
 from lodestone.sources import textfiles
 
@@ -53,10 +53,27 @@ class Tools:
         called = self.functions(function, binary).select(F.col("sha256").alias("binary"), F.explode("callees").alias("name"))
         return edges.callees_resolved(called, self.store.read("functions").select(F.col("sha256").alias("binary"), "name"))
 
-    def get_xrefs(self, name: str, offset: int = 0, limit: int = 50) -> DataFrame:
-        """Functions that call a name, in its own and in other binaries."""
-        callers = self.store.read("functions").where(F.array_contains("callees", name)).select("sha256", F.col("name").alias("caller"), "address").distinct()
-        return self._page(callers, ["sha256", "address", "caller"], offset, limit)
+    def get_xrefs(self, name: str, binary: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """A function's callers in its own binary, callers in binaries that import it from one that exports it, and its callees: direction, binary, function, address, basis.
+
+        A call of a bare name in a binary that has no such function and imports none is
+        no reference to it. A name that no binary defines is what binaries import.
+        """
+        functions = self.store.read("functions")
+        own = functions.where(F.col("name") == name)
+        own = own.where(F.col("sha256") == self.binary(binary)) if binary else own
+        homes = own.select("sha256").distinct()
+        callers = functions.where(F.array_contains("callees", name))
+        row = lambda df, direction, function, at, basis: df.select(F.lit(direction).alias("direction"), F.col("sha256").alias("binary"), function.alias("function"), at.alias("address"), F.lit(basis).alias("basis"))
+        same = row(callers.join(homes, "sha256", "left_semi"), "caller", F.col("name"), F.col("address"), "same_binary")
+        defined = homes.limit(1).count() > 0
+        exported = self.store.read("exports").where(F.col("name") == name).join(homes, "sha256", "left_semi").limit(1).count() > 0
+        importers = self.store.read("imports").where((F.col("name") == name) & F.lit(exported or not defined)).select("sha256").distinct().join(homes, "sha256", "left_anti")
+        cross = row(callers.join(importers, "sha256", "left_semi"), "caller", F.col("name"), F.col("address"), "imports_the_export" if defined else "imported_name")
+        called = own.select("sha256", F.explode("callees").alias("callee")).distinct()
+        known = functions.select("sha256", F.col("name").alias("callee"), F.col("address").alias("at")).distinct()
+        down = row(called.join(known, ["sha256", "callee"], "left"), "callee", F.col("callee"), F.col("at"), "called_by_name")
+        return self._page(same.unionByName(cross).unionByName(down).distinct(), ["direction", "binary", "address", "function", "basis"], offset, limit)
 
     def get_strings(self, binary: str | None = None, value: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
         rows = self.store.read("strings")
@@ -86,6 +103,67 @@ class Tools:
         rows = rows.withColumns({"impact": rank.impact(F.col("sink_class"), rank.parse_impact_order(impact) if impact else None), "annotation_band": rank.annotation_band(F.col("verdict"), F.col("basis"))})
         return rank.page(rows, [F.col("annotation_band"), F.col("band"), F.desc("impact"), F.col("evidence_ref")], offset, limit)
 
+    def lens_candidates(self, candidates: DataFrame, view: str | None = None, sort_by: str | None = None, fragments: tuple[str, ...] = (), sink: str | None = None, status: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """A page of graded candidates under a view: filters of sink and status remove, those of dimensions float."""
+        why = lens.refusal(status, sort_by, view, fragments)
+        if why:
+            raise Refusal(why)
+        rows, order = lens.viewed(lens.filtered(candidates, sink, status), view, sort_by, fragments)
+        return rank.page(rows, order, offset, limit).select(*candidates.columns, "band")
+
+    def explain_candidate(self, evidence_ref: str) -> DataFrame:
+        """All that is known of one candidate."""
+        found = self.candidates().where(F.col("evidence_ref") == evidence_ref)
+        if not found.limit(1).count():
+            raise Refusal(f"no candidate {evidence_ref!r}")
+        return found
+
+    def list_runs(self) -> DataFrame:
+        return self.store.runs()
+
+    def get_nvram_key_flow(self, key: str, run_id: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """Operations on a key, by its own name and by templates that it may be built from."""
+        flow = self.store.read("key_flow")
+        flow = flow.where(F.col("run_id") == run_id) if run_id else flow
+        shape = F.when((F.col("key_kind") == "template") & text.template_anchored(F.col("key")), text.template_pattern(F.col("key")))
+        hit = F.when((F.col("key_kind") != "template") & (F.col("key") == key), "exact").when(F.coalesce(F.lit(key).rlike(shape), F.lit(False)), "template")
+        return self._page(flow.withColumn("match", hit).where("match IS NOT NULL"), ["run_id", "match", "binary", "func", "op", "api", "key"], offset, limit)
+
+    def list_diffs(self, run_a: str | None = None, run_b: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """Stored differences with their counts."""
+        rows = self.store.read("diff")
+        for column, value in (("run_a", run_a), ("run_b", run_b)):
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        found = diffs.browse(rows, self.store.read("function_alignment"), self.store.read("function_presence"))
+        return self._page(found, ["run_a", "run_b", "binary", "diff_id"], offset, limit)
+
+    def get_diff_meta(self, diff_id: str) -> DataFrame:
+        """One difference with its counts; an unknown one is refused, not empty."""
+        rows = self.store.read("diff").where(F.col("diff_id") == diff_id)
+        if not rows.limit(1).count():
+            raise Refusal(f"no difference {diff_id!r}")
+        own = lambda name: self.store.read(name).where(F.col("diff_id") == diff_id)
+        return diffs.browse(rows, own("function_alignment"), own("function_presence"))
+
+    def get_diff_deltas(self, diff_id: str, binary: str | None = None, dimension: str | None = None, delta_kind: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+        """A difference's deltas. None of them is no proof that nothing changed: see ``get_diff_meta``."""
+        found = diffs.deltas(self.store.read("dimension_delta"), diff_id, binary, dimension, delta_kind)
+        return self._page(found, ["dimension", "subject_kind", "subject_key", "binary", "delta_kind"], offset, limit)
+
+    def get_diff_string_delta(self, diff_id: str, offset: int = 0, limit: int = 100) -> DataFrame:
+        """Strings that one side of a difference has alone."""
+        rows = self.store.read("string_presence").where(F.col("diff_id") == diff_id).select("side", "value").distinct()
+        sides = rows.groupBy("value").agg(F.count("*").alias("n"), F.min("side").alias("side")).where("n = 1").select("side", "value")
+        return self._page(sides, ["side", "value"], offset, limit)
+
+    def get_function_alignment(self, diff_id: str, function: str, side: str, offset: int = 0, limit: int = 50) -> DataFrame:
+        """The pairs of a function; several functions of one name are all listed."""
+        return self._page(diffs.counterparts(self.store.read("function_alignment"), diff_id, function, side), [f"addr_{side}", "addr_a", "addr_b"], offset, limit)
+
+    def get_sink_overlay(self, diff_id: str, reason: str | None = None, side: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+        rows = diffs.overlay_rows(self.store.read("sink_overlay").where(F.col("diff_id") == diff_id), reason, side)
+        return rank.page(rows, diffs.overlay_order(), offset, limit)
+
     def coverage(self, run_id: str | None = None) -> DataFrame:
         state = ledgers.coverage_state(F.col("verdict"), F.col("basis"), overlay.VERDICTS)
         return self.candidates(run_id).groupBy(state.alias("state")).agg(F.count("*").alias("candidates"))

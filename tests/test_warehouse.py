@@ -67,7 +67,9 @@ def test_questions(store):
     with pytest.raises(Refusal):
         t.get_pseudocode("main")
     assert {(r.name, r.resolved) for r in t.get_callees("main", "web").collect()} == {("system", False), ("helper", True)}
-    assert [r.caller for r in t.get_xrefs("system").collect()] == ["main"]
+    assert [(r.direction, r.function, r.basis) for r in t.get_xrefs("system").collect()] == [("caller", "main", "imported_name")]
+    assert {(r.direction, r.function, r.basis) for r in t.get_xrefs("helper").collect()} >= {("caller", "main", "same_binary")}
+    assert {r.function for r in t.get_xrefs("main").where("direction = 'callee'").collect()} == {"system", "helper"}
     assert t.get_strings(value="sock").count() == 1 and t.get_functions_referencing_string("system(").count() == 1
     assert {(r.table, r.name) for r in t.get_imports_exports("web").collect()} == {("imports", "system"), ("exports", "helper")}
     top = t.cross_run_patterns().first()
