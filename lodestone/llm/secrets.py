@@ -35,6 +35,9 @@ BEFORE, AFTER = 24, 8
 FINDINGS = 6000
 RECALL = 0.97
 SEED = 11
+#: Names of hosts, and second-level names that are reserved for examples.
+HOSTS = ("mail", "www", "server", "host", "smtp", "node", "db", "web", "files", "build")
+RESERVED = ("example", "test", "invalid", "localhost")
 #: Width of the convolution, filters, and positions read at once.
 WIDTH, FILTERS, LETTER, ROLE, SEGMENT = 5, 24, 8, 4, 128
 HALO = WIDTH // 2
@@ -195,8 +198,9 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: word(5, 8).capitalize(),
             lambda: f"{word(1, 3)}{num(0, 30)}.{word(2, 5)}.{rng.choice(['com', 'org', 'net', 'de'])}",
             lambda: rng.choice(list("_=/+a")) * int(rng.integers(16, 60)),
+            lambda: f"{rng.choice(HOSTS)}{num(0, 40)}.{rng.choice(RESERVED)}.{rng.choice(['com', 'org', 'net'])}",
             lambda: num(10**8, 10**9) + num(10**8, 10**9) + num(10, 9999),
-        ][rng.integers(0, 19)]()
+        ][rng.integers(0, 20)]()
 
     out = []
     while len(out) < n:
