@@ -29,6 +29,7 @@ TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
 #: Pieces for which there is a part in which the ranks of a length are counted, so that a hot length is shared by as many tasks as it needs.
 PART_ROWS = 20_000
+LEAST_PARTS = 256
 #: Characters of the cuts whose ids a worker keeps (a full cache is dropped), and of the longest that is kept.
 CACHE, LONG = 2_000_000, 64
 #: Rows that a worker reads at once.
@@ -194,7 +195,7 @@ def _placed(slots: np.ndarray):
     return place
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None, part_rows: int = PART_ROWS, least_parts: int = LEAST_PARTS) -> DataFrame:
     """One row for each piece of each row of docs (doc_id, text), with its place.
 
     Other columns are ignored. A null text is empty and has the closing id 0 alone;
@@ -202,7 +203,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str | None = None
     interchangeable. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     cut = staged(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or public_tokenizers.path(TOKENIZER), sequence), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
-    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(-(-cut.count() // part_rows) or 1)))
+    parted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(least_parts, -(-cut.count() // part_rows)))))
     counts = staged(parted.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     slots = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, sequence)
     # Ranks: those of the parts before, and the place within the part.
