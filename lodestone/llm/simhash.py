@@ -29,6 +29,8 @@ SHINGLE = 4
 TILE_ROWS = 16384
 #: Probe and block pairs that are compared at once.
 SLAB = 65536
+#: Neighbours of a vertex from which on it is sent to all tasks instead of its neighbours to one.
+STAR_ROWS = 4096
 #: Rows that a worker reads at once.
 ROWS = 512
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -206,22 +208,28 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
     return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_links(radius), "u long, v long").distinct()
 
 
+def _spread(edges: DataFrame, least: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges (u, v) with m of ``least`` (u, m, n): n edges of one u meet in a task only where they are few."""
+    many = F.col("n") > (STAR_ROWS if most is None else most)
+    hot = F.broadcast(least.where(many).select("u", "m"))
+    return edges.join(hot, "u").unionByName(edges.join(hot.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest member (v) that each vertex (u) of ``edges`` (u, v) reaches; roots themselves have no row.
 
-    A star's middle is joined once for each of its neighbours, which are different
-    fingerprints of one component and never copies; a middle with too many for a task is
-    split as a skewed join. Each round stars every vertex's larger neighbours, then its smaller ones, around
+    A middle of very many neighbours would bring them all to one task; such middles,
+    of which there are at most one for ``STAR_ROWS`` edges, are broadcast. Each round stars every vertex's larger neighbours, then its smaller ones, around
     the smallest; rounds are staged and end when one changes nothing.
     """
     stars = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     seen = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _spread(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, stars = stars, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         unstaged(before)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -85,3 +85,16 @@ def test_components_without_ids_stay_apart(spark):
     rows = [(None, "alone here it is"), (None, "something else stands over there"), (None, "something else stands over there"), (3, "one two")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in kept) == ["alone here it is", "one two", "something else stands over there"]
+
+
+def test_hot_middles_are_broadcast(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = [(1, k) for k in range(2, 400)] + [(400 + i, 401 + i) for i in range(60)] + [(399, 400), (1000, 1001), (-5, 1001)] + [(rng.randint(1000, 1060), rng.randint(1000, 1060)) for _ in range(80)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    for most in (20, 10**6):
+        monkeypatch.setattr(simhash, "STAR_ROWS", most)
+        assert {r.u: r.v for r in simhash.components(df).collect()} == {k: v for k, v in label.items() if k != v}
