@@ -29,9 +29,9 @@ TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
 #: Pieces for which there is a part in which the ranks of a length are counted, so that a hot length is shared by as many tasks as it needs.
 PART_ROWS = 20_000
-LEAST_PARTS = 256
+LEAST_PARTS = 8
 #: Characters of the cuts whose ids a worker keeps (a full cache is dropped), and of the longest that is kept.
-CACHE, LONG = 2_000_000, 64
+CACHE, LONG = 1_500_000, 64
 #: Rows that a worker reads at once.
 ROWS = 512
 
