@@ -102,6 +102,33 @@ def conversions(template: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(template, "%%", ""), F.lit(r"%[-#0 +]*(?:[0-9]+|\*)?(?:\.(?:[0-9]+|\*))?(?:hh|h|ll|l|z|j|t|L)?([diouxXeEfgGcspn])"), F.lit(1))
 
 
+def fill_constants(template: Column, values: Column) -> Column:
+    """A format with its plain %s replaced by the arguments (array, null where not a constant text) that are constants.
+
+    What a run decides stays a conversion. One with a width or precision given as * is
+    left, and takes its arguments.
+    """
+    any_ = r"%(?:%|[-#0 +]*(?:[0-9]+|\*)?(?:\.(?:[0-9]+|\*))?(?:hh|h|ll|l|z|j|t|L)?[diouxXeEfgGcspn])"
+    found, between = F.regexp_extract_all(template, F.lit(any_), F.lit(0)), F.split(template, any_)
+    # The text so far and the arguments taken: one step for each conversion and what follows it.
+    step = lambda s, x: F.struct(F.concat(s["text"], F.when(x["c"].rlike(r"^%[^*]*s$"), F.coalesce(F.get(values, s["taken"]), x["c"])).otherwise(x["c"]), x["after"]).alias("text"), (s["taken"] + F.when(x["c"] == "%%", 0).otherwise(1 + F.regexp_count(x["c"], F.lit(r"\*")))).alias("taken"))
+    pieces = F.arrays_zip(found.alias("c"), F.slice(between, 2, 1 << 30).alias("after"))
+    start = F.struct(F.get(between, F.lit(0)).alias("text"), F.lit(0).alias("taken"))
+    return F.aggregate(pieces, start, step, lambda s: s["text"])
+
+
+#: A private key's header and a whole crypt hash.
+PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"
+CRYPT_HASH = r"(?<![\w$])\$(1|2[aby]?|5|6)\$(?:rounds=\d+\$)?[./A-Za-z0-9]{1,22}\$[./A-Za-z0-9]{8,}"
+
+
+def shape_only(difference: Column) -> Column:
+    """Why a file difference (array of its lines) may be told by its shape alone: a line other than a head holds a private key or a password's hash; null if none does."""
+    lines = F.filter(difference, lambda x: ~x.startswith("@@"))
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"^[+\- ]", ""))
+    return F.when(F.exists(bare, lambda x: x.rlike(PRIVATE_KEY) | x.rlike(CRYPT_HASH)), "embedded_secret")
+
+
 def arity(template: Column) -> Column:
     """Arguments that a format takes, widths and precisions given as * included."""
     text = F.regexp_replace(template, "%%", "")

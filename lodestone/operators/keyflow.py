@@ -51,3 +51,51 @@ def launch_edges(launches: DataFrame, binaries: DataFrame, links: DataFrame, scr
     state = F.when(F.col("name") == F.col("caller"), "self").when(~F.coalesce("clean", F.lit(False)), "unresolved").when(F.col("binary_paths") > 1, "ambiguous_direct").when(F.col("binary_paths") == 1, "direct").when(F.col("link_paths") > 1, "ambiguous_symlink").when(F.col("link_paths") == 1, "symlink").when(F.col("script").isNotNull(), "script").otherwise("unmatched")
     target = F.when(state == "direct", F.col("binary")).when(state == "symlink", F.col("link")).when(state == "script", F.col("script"))
     return found.select("caller", "token", state.alias("state"), target.alias("target"))
+
+
+def wrapper_edges(functions: DataFrame, wrappers: DataFrame, arguments: DataFrame) -> DataFrame:
+    """Keys that functions read or write through a thin wrapper of their own binary, one hop away.
+
+    functions: (run_id, function_id, binary, path, name); wrappers: (run_id, function_id, op,
+    api); arguments: (run_id, function_id, callee, key, key_kind) of calls with a constant.
+    A binary is its path, or its name where it has none. Wrappers of one name that
+    disagree resolve to nothing; so does a key that is unresolved, empty, or a template
+    without an anchor.
+    """
+    scope = F.coalesce("path", F.concat(F.lit("name:"), "binary"))
+    known = functions.select("run_id", "function_id", "binary", "path", F.col("name").alias("func"), scope.alias("scope"))
+    meant = wrappers.where(F.col("op").isin("read", "write")).join(known, ["run_id", "function_id"]).where("func <> ''")
+    told = F.struct("op", "api")
+    sure = meant.groupBy("run_id", "scope", F.col("func").alias("callee")).agg(F.min(told).alias("w"), F.max(told).alias("x")).where("w <=> x").select("run_id", "scope", "callee", "w.op", "w.api")
+    anchored = (F.col("key_kind") == "constant") | ((F.col("key_kind") == "parametric") & text.template_anchored(F.col("key")))
+    passed = arguments.where((F.col("key") != "") & anchored).join(known, ["run_id", "function_id"])
+    return passed.join(sure, ["run_id", "scope", "callee"]).select("run_id", "key", "key_kind", "binary", "path", "func", "op", "api", F.col("callee").alias("via_wrapper"))
+
+
+def launched_by(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges (edge_id, target_binary) that launch each target (target), in any spelling that a reader has: as stored, from the root, by its last name.
+
+    Every comparison is an equality: spellings are keys of one join, and a name never
+    meets a longer one. An edge whose token resolved to nothing belongs to no target.
+    """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    whole = lambda c: F.struct(F.lit("whole").alias("by"), c.alias("spelling"))
+    base = lambda c: F.struct(F.lit("last").alias("by"), c.alias("spelling"))
+    t, stored = F.col("target"), F.col("target_binary")
+    asked = targets.select("target", F.explode(F.array_distinct(F.array(whole(t), whole(F.regexp_replace(t, "^/+", "")), whole(last(t)), base(t)))).alias("s")).select("target", "s.*").distinct()
+    held = edges.where("target_binary IS NOT NULL").select("*", F.explode(F.array(whole(stored), base(last(stored)))).alias("s")).select(*edges.columns, "s.*")
+    return held.join(asked, ["by", "spelling"]).drop("by", "spelling").dropDuplicates(["target", "edge_id"])
+
+
+def edges_reaching(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """String-keyed edges (binary, path, callee, ...) whose callee is a wanted function (binary, path, function), and by what they were met.
+
+    path where both have one and it is the same; binary_name for an edge without a path,
+    or a wanted function without one, by the binary's name; function_name where the
+    wanted function has no binary. None is no proof that nothing reaches it.
+    """
+    asked = wanted.select(F.col("binary").alias("w_binary"), F.col("path").alias("w_path"), F.col("function").alias("callee")).where("callee <> ''").distinct()
+    met = edges.join(asked, "callee")
+    by_path = (F.col("w_path") != "") & (F.col("w_binary") != "")
+    by = F.when(F.coalesce(by_path, F.lit(False)), F.when(F.col("path") == F.col("w_path"), "path").when(F.col("path").isNull() & (F.col("binary") == F.col("w_binary")), "binary_name")).when(F.coalesce(F.col("w_binary") != "", F.lit(False)), F.when(F.col("binary") == F.col("w_binary"), "binary_name")).otherwise("function_name")
+    return met.withColumn("matched_by", by).where("matched_by IS NOT NULL")

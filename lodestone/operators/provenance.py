@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANK = {"controllable": 5, "likely": 4, "free": 3, "constrained": 2, "unknown": 1, "const": 0}
@@ -34,3 +34,18 @@ def rank_of(verdict: Column) -> Column:
     for name, rank in RANK.items():
         out = F.when(verdict == name, rank).otherwise(out)
     return out
+
+
+def sink_summary(records: DataFrame, by: list[str], site: str | None = None) -> DataFrame:
+    """One short row for each sink record (sink, sink_addr, kind, writers, nearest): what was resolved, and how many writers dominate.
+
+    writers: an array of (writer, dominates, fmt), null where none were looked for, whose
+    count is then null too. ``nearest_fmt`` is the format of the nearest dominating
+    writer. With ``site``, a column of the candidate's own (sink, address), ``own`` says
+    which record is its own.
+    """
+    near = F.filter("writers", lambda w: (w["writer"] == F.col("nearest")) & w["fmt"].isNotNull())
+    kind = F.coalesce("kind", F.lit("unknown"))
+    dominating = F.when(F.col("writers").isNotNull(), F.size(F.filter("writers", lambda w: F.coalesce(w["dominates"], F.lit(False)))))
+    own = [] if site is None else [F.coalesce((F.col("sink") == F.col(f"{site}.sink")) & (F.col("sink_addr") == F.col(f"{site}.address")), F.lit(False)).alias("own")]
+    return records.select(*by, "sink", "sink_addr", kind.alias("kind"), (~kind.isin("indirect_unresolved", "unresolved")).alias("resolved"), F.when(F.col("writers").isNotNull(), F.size("writers")).alias("writers"), dominating.alias("dominating_writers"), "nearest", F.get(near, F.lit(0))["fmt"].alias("nearest_fmt"), *own)

@@ -81,16 +81,21 @@ def attention(bucket: Column, constant_delta: Column, callee_swap: Column, count
     )
 
 
+def same_literals(la: Column, lb: Column, image_a: Column, image_b: Column) -> Column:
+    """same, different or unknown by two bodies' large literals, each in its own side's image (see ``same_body``)."""
+    within = lambda v, image: F.exists(image, lambda s: (s["lo"] <= v) & (v < s["hi"]))
+    moved = F.forall(F.zip_with(la, lb, lambda x, y: (x == y) | (within(x, image_a) & within(y, image_b))), lambda ok: ok)
+    return F.when(F.size(la) != F.size(lb), "different").when(la == lb, "same").when(image_a.isNull() | image_b.isNull(), "unknown").when(moved, "same").otherwise("different")
+
+
 def same_body(a: Column, b: Column, image_a: Column, image_b: Column) -> Column:
     """same, different or unknown by skeletons and large literals.
 
     Literals at one place may differ only when both values lie in their own side's
     image (arrays of lo, hi, half open; null unknown).
     """
-    la, lb = text.large_literals(a), text.large_literals(b)
-    within = lambda v, image: F.exists(image, lambda s: (s["lo"] <= v) & (v < s["hi"]))
-    moved = F.forall(F.zip_with(la, lb, lambda x, y: (x == y) | (within(x, image_a) & within(y, image_b))), lambda ok: ok)
-    return F.when(a.isNull() | b.isNull(), "unknown").when(text.skeleton(a) != text.skeleton(b), "different").when(F.size(la) != F.size(lb), "different").when(la == lb, "same").when(image_a.isNull() | image_b.isNull(), "unknown").when(moved, "same").otherwise("different")
+    literals = same_literals(text.large_literals(a), text.large_literals(b), image_a, image_b)
+    return F.when(a.isNull() | b.isNull(), "unknown").when(text.skeleton(a) != text.skeleton(b), "different").otherwise(literals)
 
 
 def standing_claims(claims: DataFrame) -> DataFrame:
