@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import refs, text
-from lodestone.operators import align, calls, diffs, edges, graph, ledgers, lens, rank, select
+from lodestone.operators import align, calls, diffs, edges, graph, judgements, keyflow, ledgers, lens, presence, rank, scans, select, upstream
 from lodestone.sources import textfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -450,3 +450,107 @@ def minted_anchors(spark, sf_dir):
     ref = F.when(anchored, F.concat(head, F.lit("@"), refs.offset_text(call - F.col("l_suppkey")))).otherwise(head)
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", ref.alias("evidence_ref"), call.alias("callsite"), F.lit(True).alias("out_of_body"))
     return refs.minted(rows).select("l_orderkey", "l_linenumber", (F.col("formal_ref") != F.col("evidence_ref")).alias("minted"))
+
+
+@query("""SELECT l_returnflag AS run_id, 's' || l_suppkey AS binary, '/' || l_suppkey AS path, NOT bool_or(l_linenumber = 7 AND l_discount < 0.01) AS scanned, CAST(sum(CASE WHEN l_quantity > 49 THEN 1 ELSE 0 END) AS BIGINT) AS found FROM lineitem GROUP BY 1, 2, 3""")
+def launch_status(spark, sf_dir):
+    """Line items as functions of their supplier; the seventh of an order calls a command, one without discount is not read, a large one is a launch."""
+    lines = table(spark, sf_dir, "lineitem", F.col("l_returnflag").alias("run_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("binary"), F.concat(F.lit("/"), F.col("l_suppkey").cast("string")).alias("path"), F.array(F.when(F.col("l_linenumber") == 7, "system").otherwise("puts")).alias("callees"), (F.col("l_discount") >= 0.01).alias("has_text"), F.lit(True).alias("has_provenance"), "l_quantity")
+    return scans.launch_status(lines, lines.where("l_quantity > 49"), ("system", "popen"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS run_id, o_orderstatus <> 'P' AS extracted, CASE WHEN o_totalprice > 20000 THEN o_orderkey % 7 END AS created, o_orderkey % 3 AS residual, CASE WHEN o_totalprice > 10000 THEN o_orderkey % 2 END AS unowned, CASE WHEN o_orderstatus = 'F' THEN 1 END AS recovered FROM orders)
+SELECT run_id, count(*) AS binaries, count(*) FILTER (WHERE created IS NULL OR unowned IS NULL) AS unrecorded, CAST(coalesce(sum(created), 0) AS BIGINT) AS created, CAST(coalesce(sum(CASE WHEN created IS NOT NULL THEN residual END), 0) AS BIGINT) AS residual, CAST(coalesce(sum(CASE WHEN created IS NOT NULL THEN recovered END), 0) AS BIGINT) AS recovered, CAST(0 AS BIGINT) AS guard_binaries,
+CASE WHEN count(*) = count(unowned) THEN count(*) FILTER (WHERE residual > 0) END AS residual_binaries, CASE WHEN count(*) = count(unowned) THEN count(*) FILTER (WHERE unowned > 0) END AS unowned_binaries FROM b WHERE extracted GROUP BY 1""")
+def promotion_sums(spark, sf_dir):
+    """Orders as binaries of their customer's run; cheap ones have no record."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders", F.col("o_custkey").alias("run_id"), (F.col("o_orderstatus") != "P").alias("extracted"), F.when(price > 20000, key % 7).alias("created"), (key % 3).alias("residual"), F.when(price > 10000, key % 2).alias("unowned"), F.when(F.col("o_orderstatus") == "F", 1).alias("recovered"), F.lit(0).alias("lost_bytes"), F.lit(None).cast("int").alias("noreturn_flips"))
+    return scans.promotion_sums(rows, ["run_id"])
+
+
+@query("SELECT l_orderkey AS run_id, CASE WHEN count(DISTINCT v) = 1 THEN min(v) WHEN count(DISTINCT v) > 1 THEN 'mixed:' || count(DISTINCT v) END AS build_hash FROM (SELECT l_orderkey, CASE WHEN l_returnflag <> 'R' THEN l_returnflag || l_linestatus END AS v FROM lineitem) GROUP BY 1")
+def build_hashes(spark, sf_dir):
+    """Orders as runs, their lines' flags as versions; returned lines state none."""
+    return scans.build_hash(table(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") != "R", F.concat("l_returnflag", "l_linestatus")).alias("v")), ["run_id"], "v")
+
+
+@query("""WITH c AS (SELECT *, c_acctbal < 8000 AS judged, c_acctbal > 0 AS there, c_mktsegment <> 'FURNITURE' AS listed FROM customer)
+SELECT c_name AS anchor_ref, CASE WHEN NOT judged THEN 'unseen' WHEN c_nationkey = 24 THEN 'diff_withheld' WHEN NOT there THEN 'anchor_unresolved' WHEN c_nationkey <> 23 AND NOT listed THEN 'subject_unlisted' WHEN c_nationkey < 5 THEN 'changed' ELSE 'unchanged' END AS state,
+CASE WHEN judged AND c_nationkey < 5 AND there THEN 1 ELSE 0 END AS moved FROM c WHERE judged OR (there AND listed)""")
+def judgement_states(spark, sf_dir):
+    """Customers as subjects: the richest are not judged, those with debts are gone, those of a few nations have moved."""
+    rows = table(spark, sf_dir, "customer", F.lit("d").alias("diff_id"), F.col("c_name").alias("anchor_ref"), "c_acctbal", "c_nationkey", "c_mktsegment")
+    fact = lambda value: F.create_map(F.lit("segment"), value)
+    nation = F.col("c_nationkey")
+    judgements_ = rows.where("c_acctbal < 8000").select("diff_id", "anchor_ref", F.lit("safe").alias("verdict"), fact(F.col("c_mktsegment")).alias("facts"), (nation == 24).alias("withheld"), F.when(nation != 23, False).alias("source_stale"))
+    subjects = rows.where("c_acctbal > 0").select("diff_id", "anchor_ref", fact(F.when(nation < 5, "other").otherwise(F.col("c_mktsegment"))).alias("facts"), (F.col("c_mktsegment") != "FURNITURE").alias("listed"))
+    return judgements.judged(judgements_, subjects).select("anchor_ref", "state", F.size("moved").alias("moved"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS diff_id, o_orderpriority AS bucket, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS unseen FROM orders GROUP BY 1, 2), t AS (SELECT diff_id, bucket, total, unseen FROM s UNION ALL SELECT diff_id, NULL, CAST(sum(total) AS BIGINT), CAST(sum(unseen) AS BIGINT) FROM s GROUP BY 1)
+SELECT diff_id, bucket, bucket IS NULL AS whole, total, total - unseen AS looked_at, unseen AS not_looked_at, (total + 4) // 5 AS pages, (unseen + 4) // 5 AS pages_remaining FROM t""")
+def review_progress(spark, sf_dir):
+    """Orders as entries of their customer's difference; open ones nobody looked at."""
+    items = table(spark, sf_dir, "orders", F.col("o_custkey").alias("diff_id"), F.col("o_orderpriority").alias("bucket"), F.when(F.col("o_orderstatus") == "O", "unseen").otherwise("concluded").alias("state"))
+    return judgements.progress(items, "diff_id", 5)
+
+
+@query("""WITH p AS (SELECT p_partkey AS diff_id, p_name AS name, p_brand AS library, p_type || '>' || p_size AS v FROM part), u AS (SELECT l_partkey AS diff_id, count(*) AS units, count(*) FILTER (WHERE l_returnflag = 'R') AS must, count(*) FILTER (WHERE l_linestatus = 'O') AS open FROM lineitem GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY name, diff_id) AS place FROM p LEFT JOIN u USING (diff_id))
+SELECT library, count(*) AS diffs, CAST(coalesce(sum(units), 0) AS BIGINT) AS units, CAST(coalesce(sum(must), 0) AS BIGINT) AS must_read_units, CAST(coalesce(sum(open), 0) AS BIGINT) AS open_units, string_agg(CASE WHEN place <= 4 THEN CAST(diff_id AS VARCHAR) END, ',' ORDER BY place) AS first_diffs, CAST(count(DISTINCT v) AS BIGINT) AS versions FROM r GROUP BY 1""")
+def upstream_groups(spark, sf_dir):
+    """Parts as differences of their brand, line items as units."""
+    labelled = table(spark, sf_dir, "part", F.col("p_partkey").alias("diff_id"), F.col("p_name").alias("binary"), F.col("p_brand").alias("library"), F.col("p_type").alias("version_a"), F.col("p_size").cast("string").alias("version_b"))
+    units = table(spark, sf_dir, "lineitem", F.col("l_partkey").alias("diff_id"), (F.col("l_returnflag") == "R").alias("must_read"), (F.col("l_linestatus") != "O").alias("disposed"))
+    return upstream.groups(labelled, units).withColumns({"first_diffs": F.array_join(F.transform("first_diffs", lambda x: x.cast("string")), ","), "versions": F.size("versions").cast("long")})
+
+
+@query("""WITH b AS (SELECT CASE WHEN c_acctbal > 5000 THEN 'a' ELSE 'b' END AS side, c_mktsegment || c_custkey // 2 AS name, '/' || c_custkey AS path, 'h' || c_custkey // 3 AS sha256, c_acctbal FROM customer), d AS (SELECT side, name, sha256 FROM b WHERE c_acctbal > 9000),
+h AS (SELECT '/' || o_custkey AS path, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1)
+SELECT side, name, path, sha256, coalesce(n, 0) AS candidates FROM b LEFT JOIN h USING (path) WHERE (CASE side WHEN 'a' THEN 'b' ELSE 'a' END, name) NOT IN (SELECT side, name FROM b) AND (CASE side WHEN 'a' THEN 'b' ELSE 'a' END, sha256) NOT IN (SELECT side, sha256 FROM b) AND (n IS NOT NULL OR ((side, name) NOT IN (SELECT side, name FROM d) AND (side, sha256) NOT IN (SELECT side, sha256 FROM d)))""")
+def binaries_held_alone(spark, sf_dir):
+    """Customers as binaries of two runs by what they have; neighbours share names and contents, dear orders are candidates."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer", F.when(F.col("c_acctbal") > 5000, "a").otherwise("b").alias("side"), F.concat("c_mktsegment", F.floor(key / 2).cast("string")).alias("name"), F.concat(F.lit("/"), key.cast("string")).alias("path"), F.concat(F.lit("h"), F.floor(key / 3).cast("string")).alias("sha256"), "c_acctbal")
+    held = table(spark, sf_dir, "orders", F.concat(F.lit("/"), F.col("o_custkey").cast("string")).alias("path"), "o_totalprice").where("o_totalprice > 100000").join(rows.select("side", "path"), "path")
+    return presence.held_alone(rows.drop("c_acctbal"), rows.select("side", "path").limit(0), rows.where("c_acctbal > 9000"), held)
+
+
+@query("""WITH s AS (SELECT l_returnflag AS diff_id, l_orderkey AS value, min(l_suppkey) FILTER (WHERE l_linestatus = 'O') AS a, max(l_suppkey) FILTER (WHERE l_linestatus = 'O') AS a2, min(l_suppkey) FILTER (WHERE l_linestatus <> 'O') AS b, max(l_suppkey) FILTER (WHERE l_linestatus <> 'O') AS b2 FROM lineitem GROUP BY 1, 2)
+SELECT diff_id, a, b, count(*) AS evidence FROM s WHERE a = a2 AND b = b2 AND a <> b GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def anchored_elsewhere(spark, sf_dir):
+    """Suppliers as functions, orders as strings; each is its own partner."""
+    anchors = table(spark, sf_dir, "lineitem", F.col("l_returnflag").alias("diff_id"), F.when(F.col("l_linestatus") == "O", "a").otherwise("b").alias("side"), F.col("l_orderkey").alias("value"), F.col("l_suppkey").alias("function"))
+    partner = anchors.select("diff_id", F.col("function").alias("a"), F.col("function").alias("b")).distinct()
+    return presence.anchored_elsewhere(anchors, partner, 2)
+
+
+TARGETS = "CASE o_orderpriority WHEN '1-URGENT' THEN 'usr/bin/c' || o_custkey WHEN '2-HIGH' THEN 'c' || o_custkey WHEN '3-MEDIUM' THEN 'xc' || o_custkey WHEN '4-NOT SPECIFIED' THEN 'rom/usr/bin/c' || o_custkey END"
+
+
+@query(f"SELECT '/usr/bin/c' || c_custkey AS target, o_orderkey AS edge_id FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderpriority IN ('1-URGENT', '2-HIGH') UNION ALL SELECT 'c' || c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderpriority IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED')")
+def launch_targets(spark, sf_dir):
+    """Customers as programs, asked for by path and by name; orders as launches that spell them in several ways."""
+    edges_ = table(spark, sf_dir, "orders", F.col("o_orderkey").alias("edge_id"), F.expr(TARGETS).alias("target_binary"))
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    targets = table(spark, sf_dir, "customer", F.explode(F.array(F.concat(F.lit("/usr/bin/"), name), name)).alias("target"))
+    return keyflow.launched_by(edges_, targets).select("target", "edge_id")
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, coalesce(CASE WHEN p_size >= 10 THEN '/' || p_brand END, 'name:' || p_brand) AS scope, p_name || p_size // 4 AS func, CASE WHEN p_type = 'ECONOMY' THEN 'read' ELSE 'write' END AS op FROM part), s AS (SELECT scope, func, min(op) AS op FROM f GROUP BY 1, 2 HAVING min(op) = max(op))
+SELECT f.func, s.op, count(*) AS n FROM lineitem JOIN f ON id = l_partkey JOIN s ON s.scope = f.scope AND s.func = f.func GROUP BY 1, 2""")
+def wrapper_keys(spark, sf_dir):
+    """Parts as functions and wrappers of their brand, line items as calls of their part with a key."""
+    parts = table(spark, sf_dir, "part", F.lit("r").alias("run_id"), F.col("p_partkey").alias("function_id"), F.col("p_brand").alias("binary"), F.when(F.col("p_size") >= 10, F.concat(F.lit("/"), "p_brand")).alias("path"), F.concat("p_name", F.floor(F.col("p_size") / 4).cast("string")).alias("name"), F.when(F.col("p_type") == "ECONOMY", "read").otherwise("write").alias("op"), F.lit("nv").alias("api"))
+    passed = table(spark, sf_dir, "lineitem", F.col("l_partkey").alias("function_id"), F.concat(F.lit("k"), F.col("l_suppkey").cast("string")).alias("key"), F.lit("constant").alias("key_kind")).join(parts.select("function_id", "run_id", F.col("name").alias("callee")), "function_id")
+    return keyflow.wrapper_edges(parts, parts, passed).groupBy("func", "op").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS s, l_linestatus = 'O' AS has_path, l_partkey AS p FROM lineitem), w AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p, l_linestatus = 'O' AS has_path FROM lineitem WHERE l_returnflag = 'R')
+SELECT 'f' || e.p AS callee, CASE WHEN e.has_path AND w.has_path THEN 'path' ELSE 'binary_name' END AS matched_by, count(*) AS n FROM e JOIN w ON e.s = w.s AND e.p = w.p GROUP BY 1, 2""")
+def edges_reaching(spark, sf_dir):
+    """Line items as edges from a supplier to a part, returned ones as what is asked for; filled ones have no path."""
+    text_ = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    rows = table(spark, sf_dir, "lineitem", text_("b", "l_suppkey").alias("binary"), F.when(F.col("l_linestatus") == "O", text_("/", "l_suppkey")).alias("path"), text_("f", "l_partkey").alias("callee"), "l_returnflag")
+    return keyflow.edges_reaching(rows.drop("l_returnflag"), rows.where("l_returnflag = 'R'").withColumnRenamed("callee", "function")).groupBy("callee", "matched_by").agg(F.count("*").alias("n"))
