@@ -554,3 +554,16 @@ def edges_reaching(spark, sf_dir):
     text_ = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
     rows = table(spark, sf_dir, "lineitem", text_("b", "l_suppkey").alias("binary"), F.when(F.col("l_linestatus") == "O", text_("/", "l_suppkey")).alias("path"), text_("f", "l_partkey").alias("callee"), "l_returnflag")
     return keyflow.edges_reaching(rows.drop("l_returnflag"), rows.where("l_returnflag = 'R'").withColumnRenamed("callee", "function")).groupBy("callee", "matched_by").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS b, l_partkey AS p, count(DISTINCT l_orderkey) AS n, min(l_orderkey) AS entry FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), s AS (SELECT DISTINCT l_suppkey AS b, l_partkey AS p FROM lineitem WHERE l_quantity > 40), u AS (SELECT DISTINCT l_suppkey AS b, l_partkey AS p FROM lineitem WHERE l_quantity < 10)
+SELECT DISTINCT l_suppkey AS binary, l_orderkey AS address, CASE WHEN l_returnflag <> 'R' AND s.p IS NOT NULL THEN 'import' || l_partkey WHEN l_returnflag = 'R' THEN 'f' || l_partkey ELSE 'FUN_' || l_partkey END AS name, CASE WHEN l_returnflag = 'R' THEN CASE WHEN n.n = 1 THEN entry END ELSE CAST('0x' || l_partkey AS BIGINT) END AS target,
+CASE WHEN l_returnflag = 'R' THEN CASE WHEN n.n = 1 THEN 'table_entry' WHEN n.n > 1 THEN 'name_ambiguous' ELSE 'name_only' END WHEN s.p IS NOT NULL THEN 'stub_resolved' WHEN u.p IS NOT NULL THEN 'stub_unresolved' ELSE 'fun_name_parsed' END AS kind
+FROM lineitem LEFT JOIN n ON n.b = l_suppkey AND n.p = l_partkey LEFT JOIN s ON s.b = l_suppkey AND s.p = l_partkey LEFT JOIN u ON u.b = l_suppkey AND u.p = l_partkey""")
+def call_identities(spark, sf_dir):
+    """Line items as call tokens of their supplier: returned ones name their part, the others its address; filled ones are functions, large ones stubs, small ones stubs that resolve to nothing."""
+    part = F.col("l_partkey").cast("string")
+    rows = table(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("binary"), F.col("l_orderkey").alias("address"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("f"), part)).otherwise(F.concat(F.lit("FUN_"), part)).alias("token"), F.concat(F.lit("f"), part).alias("name"), F.conv(part, 16, 10).cast("long").alias("spelt"), F.concat(F.lit("import"), part).alias("import"), "l_linestatus", "l_quantity")
+    at = lambda df, *c: df.select("binary", F.col("spelt").alias("address"), *c)
+    found = calls.call_identities(rows, rows.where("l_linestatus = 'F'"), at(rows.where("l_quantity > 40"), "import"), at(rows.where("l_quantity < 10")))
+    return found.withColumn("target", F.col("target").cast("long"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import edges
 
 #: How far an edge of each layer is trusted.
@@ -92,3 +93,23 @@ def dimension_universe(declared: DataFrame, found: DataFrame) -> DataFrame:
     """Every dimension that is declared or was found, and whether it is declared."""
     both = declared.select("dimension", F.lit(True).alias("declared")).unionByName(found.select("dimension", F.lit(False).alias("declared")))
     return both.groupBy("dimension").agg(F.max("declared").alias("declared"))
+
+
+def call_identities(tokens: DataFrame, functions: DataFrame, stubs: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """What each call token (binary, address, token) names, by the first rule that applies: name, target and kind; each identity of an address once.
+
+    functions: (binary, name, address); stubs: (binary, address, import) that a synthetic
+    name's address resolves to; unresolved: (binary, address) of stubs that resolve to
+    nothing, which come before the function table, as a stub may be in it too.
+    stub_resolved, stub_unresolved, table_entry, name_ambiguous (no target),
+    fun_name_parsed (the address that the name spells), name_only.
+    """
+    spelt = F.when(F.col("token").rlike(r"^FUN_[0-9a-fA-F]+\z"), text.parse_address(F.col("token")))
+    asked = tokens.where("token <> ''").select("binary", "address", "token", spelt.alias("spelt")).distinct()
+    at = lambda df, *c: df.select("binary", F.col("address").cast("decimal(20,0)").alias("spelt"), *c)
+    named = functions.groupBy("binary", F.col("name").alias("token")).agg(F.countDistinct("address").alias("n"), F.min(F.col("address").cast("decimal(20,0)")).alias("entry"))
+    met = asked.join(at(stubs, F.col("import")).groupBy("binary", "spelt").agg(F.min("import").alias("import")), ["binary", "spelt"], "left")
+    met = met.join(at(unresolved, F.lit(True).alias("open")).distinct(), ["binary", "spelt"], "left").join(named, ["binary", "token"], "left")
+    kind = F.when(F.col("import").isNotNull(), "stub_resolved").when(F.col("open"), "stub_unresolved").when(F.col("n") == 1, "table_entry").when(F.col("n") > 1, "name_ambiguous").when(F.col("spelt").isNotNull(), "fun_name_parsed").otherwise("name_only")
+    target = F.when(kind == "table_entry", F.col("entry")).when(kind.isin("stub_resolved", "stub_unresolved", "fun_name_parsed"), F.col("spelt"))
+    return met.select("binary", "address", F.coalesce("import", "token").alias("name"), target.alias("target"), kind.alias("kind")).distinct()

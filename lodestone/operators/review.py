@@ -131,3 +131,22 @@ def stale_by(stored: dict[str, Column], now: dict[str, Column]) -> Column:
         known = a.isNotNull() & b.isNotNull() & ~a.startswith("mixed:") & ~b.startswith("mixed:")
         out = F.when(F.coalesce(known & (a != b), F.lit(False)), axis).otherwise(out)
     return out
+
+
+def compare_stamps(stored: Column, now: Column) -> Column:
+    """Leaves (maps of path to value) on which a stored stamp differs from the present one, and those that cannot be compared: on one side only, or unknown on one; a stamp that is null is unknown as a whole."""
+    names = F.array_sort(F.array_union(F.map_keys(stored), F.map_keys(now)))
+    value = lambda m, k: F.try_element_at(m, k)
+    known = lambda m, k: F.coalesce(value(m, k) != "unknown", F.lit(False))
+    open_ = F.filter(names, lambda k: ~(known(stored, k) & known(now, k)))
+    moved = F.filter(names, lambda k: known(stored, k) & known(now, k) & (value(stored, k) != value(now, k)))
+    told = F.transform(moved, lambda k: F.struct(k.alias("leaf"), value(stored, k).alias("was"), value(now, k).alias("now")))
+    whole = stored.isNotNull() & now.isNotNull()
+    return F.struct(F.when(whole, told).otherwise(F.array()).alias("differing"), F.when(whole, open_).otherwise(F.array(F.lit("scan stamp"))).alias("unknown"))
+
+
+def content_stamp(files: DataFrame, by: list[str]) -> DataFrame:
+    """One hash of each program's files (path, content), whatever their order."""
+    # A program's own sources: few and small, and only their hashes meet.
+    each = files.select(*by, F.struct("path", F.sha2("content", 256).alias("digest")).alias("f"))
+    return each.groupBy(*by).agg(F.sha2(F.to_json(F.array_sort(F.collect_list("f"))), 256).alias("stamp"))

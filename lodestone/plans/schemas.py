@@ -6,6 +6,7 @@ FACTS = {
     "imports": "run_id string, sha256 string, name string, library string",
     "exports": "run_id string, sha256 string, name string, address decimal(20,0)",
     "strings": "run_id string, sha256 string, value string, address decimal(20,0), category string",
+    "string_refs": "run_id string, sha256 string, value string, string_addr decimal(20,0), ref_at decimal(20,0), ref_in_func string, ref_in_func_addr decimal(20,0), segment string, truncated boolean",
     "extraction": "run_id string, sha256 string, status string, functions int, strings_total int, strings_truncated boolean",
 }
 CROSS = {
@@ -15,6 +16,9 @@ CROSS = {
     "key_flow": "run_id string, key string, key_kind string, binary string, func string, op string, api string, via_wrapper boolean",
     "form_field": "run_id string, field string, asset string, rule string",
     "key_default": "run_id string, key string, default_value string",
+    "exec_edge": "run_id string, edge_id string, launcher_binary string, launcher_function string, sink_addr decimal(20,0), target_token string, target_binary string, target_layer string",
+    "string_edge": "run_id string, edge_id string, binary string, path string, from_function string, key string, callee string, callee_addr decimal(20,0), mechanism string, completeness string, pairing string",
+    "detector_status": "run_id string, sha256 string, binary string, path string, detector string, scanned boolean, scope string, note string, cap_hit boolean, found int, handler_unverified int, pairing_undetermined int",
     "annotation": "anchor_kind string, anchor_ref string, verdict string, rationale string, basis string, attributed_to string, at timestamp, seq long, cleared boolean",
 }
 #: Tables of stored differences, by diff_id.

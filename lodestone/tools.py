@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import diffs, edges, ledgers, lens, overlay, rank, select
+from lodestone.operators import diffs, edges, keyflow, ledgers, lens, overlay, rank, scans, select
 from lodestone.plans.warehouse import Warehouse
 from lodestone.sources import textfiles
 
@@ -129,6 +129,46 @@ class Tools:
         hit = F.when((F.col("key_kind") != "template") & (F.col("key") == key), "exact").when(F.coalesce(F.lit(key).rlike(shape), F.lit(False)), "template")
         return self._page(flow.withColumn("match", hit).where("match IS NOT NULL"), ["run_id", "match", "binary", "func", "op", "api", "key"], offset, limit)
 
+    def _narrowed(self, name: str, **asked: str | None) -> DataFrame:
+        """A table's rows that have each value asked for."""
+        rows = self.store.read(name)
+        for column, value in asked.items():
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        return rows
+
+    def launched_by(self, target: str, run_id: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """What launches a target, in any spelling of it. None is no proof that nothing does: see ``pass_status``."""
+        one = self.store.spark.createDataFrame([(target,)], "target string")
+        found = keyflow.launched_by(self._narrowed("exec_edge", run_id=run_id), one).drop("target")
+        return self._page(found, ["launcher_binary", "launcher_function", "sink_addr", "run_id", "edge_id"], offset, limit)
+
+    def get_string_keyed_edges(self, run_id: str | None = None, binary: str | None = None, key: str | None = None, callee: str | None = None, from_function: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """Edges from a string key to a callee by any of their anchors."""
+        found = self._narrowed("string_edge", run_id=run_id, binary=binary, key=key, callee=callee, from_function=from_function)
+        return self._page(found, ["from_function", "key", "callee", "run_id", "edge_id"], offset, limit)
+
+    def pass_status(self, detector: str, run_id: str | None = None, binary: str | None = None) -> DataFrame:
+        """One row on what a pass has read in a scope, so that none found can be told from not looked for."""
+        return scans.scope_status(self._narrowed("detector_status", detector=detector, run_id=run_id, binary=binary))
+
+    def pass_statuses(self, detector: str, run_id: str | None = None, binary: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """A pass's statuses, binary by binary."""
+        return self._page(self._narrowed("detector_status", detector=detector, run_id=run_id, binary=binary), ["run_id", "binary", "path", "sha256"], offset, limit)
+
+    def get_string_reference_anchors(self, value: str, binary: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+        """Where a string, given exactly, is referenced by references that were resolved to it. For none see ``string_reference_state``."""
+        rows = self._narrowed("string_refs", value=value, sha256=self.binary(binary) if binary else None)
+        return self._page(rows, ["sha256", "string_addr", "ref_at", "run_id"], offset, limit)
+
+    def string_reference_state(self, value: str, binary: str | None = None) -> DataFrame:
+        """Whether a string's references were found, none was resolved, or nobody looked."""
+        sha, scope = self.binary(binary) if binary else None, F.lit(binary or "all").alias("scope")
+        every = self._narrowed("string_refs", sha256=sha)
+        looked = self._narrowed("detector_status", detector="string_refs", sha256=sha).select(scope, F.col("scanned").alias("exported"))
+        some = every.limit(1).select(scope, F.lit(True).alias("exported"))
+        nobody = self.store.spark.range(1).select(scope, F.lit(False).alias("exported"))
+        return scans.reference_state(every.where(F.col("value") == value).select(scope, "truncated"), looked.unionByName(some).unionByName(nobody))
+
     def list_diffs(self, run_a: str | None = None, run_b: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
         """Stored differences with their counts."""
         rows = self.store.read("diff")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import judgements, keyflow, presence, provenance, scans, upstream
+from lodestone.operators import calls, judgements, keyflow, presence, provenance, review, scans, upstream
+from lodestone.plans.warehouse import Warehouse
+from lodestone.tools import Tools
 
 
 def rows(df):
@@ -148,3 +150,37 @@ def test_sink_summary(spark):
     records = spark.createDataFrame([("e", "system", 16, "stack_buf", [("w1", True, None), ("w1", True, "%s"), ("w2", None, "x")], "w1"), ("e", "system", 32, None, None, None), ("e", "popen", 16, "unresolved", [], None)], f"ref string, sink string, sink_addr long, kind string, writers {writer}, nearest string")
     got = [tuple(r)[1:] for r in provenance.sink_summary(records.withColumn("c", F.struct(F.lit("system").alias("sink"), F.lit(16).alias("address"))), ["ref"], "c").collect()]
     assert got == [("system", 16, "stack_buf", True, 3, 2, "w1", "%s", True), ("system", 32, "unknown", True, None, None, None, None, False), ("popen", 16, "unresolved", False, 0, 0, None, None, False)]
+
+
+def test_call_identities(spark):
+    at = "binary string, address long"
+    tokens = spark.createDataFrame([("b", i, t) for i, t in enumerate(["FUN_00001000", "FUN_00002000", "main", "two", "FUN_00003000", "puts", "FUN_00004000", "FUN_x", ""])] + [("b", 2, "main"), ("c", 0, "FUN_00001000")], f"{at}, token string")
+    functions = spark.createDataFrame([("b", "main", 16), ("b", "main", 16), ("b", "two", 32), ("b", "two", 48), ("b", "FUN_00004000", 0x4000), ("b", "FUN_00002000", 0x2000)], "binary string, name string, address long")
+    stubs = spark.createDataFrame([("b", 0x1000, "system")], f"{at}, import string")
+    got = {(r.binary, r.address): (r.name, r.target and int(r.target), r.kind) for r in calls.call_identities(tokens, functions, stubs, spark.createDataFrame([("b", 0x2000)], at)).collect()}
+    assert got == {("b", 0): ("system", 0x1000, "stub_resolved"), ("b", 1): ("FUN_00002000", 0x2000, "stub_unresolved"), ("b", 2): ("main", 16, "table_entry"), ("b", 3): ("two", None, "name_ambiguous"), ("b", 4): ("FUN_00003000", 0x3000, "fun_name_parsed"), ("b", 5): ("puts", None, "name_only"), ("b", 6): ("FUN_00004000", 0x4000, "table_entry"), ("b", 7): ("FUN_x", None, "name_only"), ("c", 0): ("FUN_00001000", 0x1000, "fun_name_parsed")}
+
+
+def test_stamps(spark):
+    df = spark.createDataFrame([({"a": "1", "b.c": "2", "d": "unknown", "e": "1"}, {"a": "1", "b.c": "3", "d": "1", "f": "1"}), (None, {"a": "1"})], "s map<string,string>, n map<string,string>")
+    got = [r[0] for r in df.select(review.compare_stamps(F.col("s"), F.col("n"))).collect()]
+    assert [tuple(x) for x in got[0].differing] == [("b.c", "2", "3")] and got[0].unknown == ["d", "e", "f"] and (got[1].differing, got[1].unknown) == ([], ["scan stamp"])
+    files = [("p", "a", b"1"), ("p", "b", b"2"), ("q", "b", b"2"), ("q", "a", b"1"), ("r", "a", b"2")]
+    stamps = {r.p: r.stamp for r in review.content_stamp(spark.createDataFrame([(p, n, bytearray(c)) for p, n, c in files], "p string, path string, content binary"), ["p"]).collect()}
+    assert stamps["p"] == stamps["q"] != stamps["r"]
+
+
+def test_tools_say_what_was_not_read(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "wh"))
+    t = Tools(w)
+    assert t.string_reference_state("x").first().state == "string_refs_not_exported" and t.pass_status("exec_argv").first().reading == "unknown" and t.launched_by("web").count() == 0
+    fill = lambda name, **c: w.replace_runs(name, spark.range(1).select(*(F.lit(c.get(f.name)).cast(f.dataType).alias(f.name) for f in w.read(name).schema)))
+    fill("detector_status", run_id="r", binary="web", detector="string_refs", scanned=True)
+    assert t.string_reference_state("x").first().state == "no_resolved_dataref" and t.pass_status("string_refs", "r").first().reading == "none" and t.pass_statuses("string_refs").count() == 1
+    fill("string_refs", run_id="r", sha256="a", value="x", ref_at=16, truncated=True)
+    assert tuple(t.string_reference_state("x").first())[1:] == ("found", 1, True) and t.get_string_reference_anchors("x").first().ref_at == 16 and t.get_string_reference_anchors("xx").count() == 0
+    fill("exec_edge", run_id="r", edge_id="1", launcher_binary="init", target_binary="usr/sbin/web")
+    assert t.launched_by("/usr/sbin/web").first().launcher_binary == "init" and t.launched_by("web", "r").count() == 1 and t.launched_by("web", "s").count() == 0
+    fill("string_edge", run_id="r", edge_id="1", binary="web", key="go", callee="f")
+    assert t.get_string_keyed_edges(key="go").count() == 1 and t.get_string_keyed_edges(key="go", callee="g").count() == 0
+    assert set(w.delete_run("r")) == {"detector_status", "string_refs", "exec_edge", "string_edge"}
