@@ -6,6 +6,7 @@ import difflib
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +18,11 @@ CALL = re.compile(r"^\s*(?:[A-Za-z_]\w*\s*=\s*)?([A-Za-z_]\w*)\s*\((.*)\)\s*;?\s
 WORD = re.compile(r"[A-Za-z_]\w*")
 #: Calls whose first argument is what they write.
 BUILDERS = ("strcpy", "strncpy", "strcat", "strncat", "sprintf", "snprintf", "memcpy", "memmove")
+#: The path argument of each file sink, and the further ones of two.
+PATH_ARGUMENT = {"fopen": 0, "fopen64": 0, "freopen": 0, "freopen64": 0, "open": 0, "open64": 0, "openat": 1, "openat64": 1, "creat": 0, "unlink": 0, "unlinkat": 1, "remove": 0, "rename": 0, "renameat": 1, "mkdir": 0, "rmdir": 0, "opendir": 0, "truncate64": 0}
+PATH_ARGUMENTS_TOO = {"rename": (1,), "renameat": (3,)}
+LITERAL = re.compile(r'L?"(?:[^"\\]|\\.)*"')
+BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|[()]')
 DELTA = T.StructType([T.StructField("state", T.StringType()), T.StructField("removed", T.IntegerType()), T.StructField("added", T.IntegerType()), T.StructField("ratio", T.DoubleType()), T.StructField("hunks", T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])))])
 
 
@@ -94,3 +100,44 @@ def arguments(text: str) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def body_sources(body: pd.Series, variable: pd.Series) -> pd.Series:
     return pd.Series([flows_into(x, y) for x, y in zip(body, variable, strict=True)])
+
+
+def call_arguments(body: str, name: str) -> list[list[str] | None]:
+    """Arguments of each call of a name in a body, in order; null for a call whose brackets do not close. A name in quotes is no call."""
+    out: list[list[str] | None] = []
+    for m in re.finditer(rf'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|\b{re.escape(name)}\s*\(', body):
+        if m[0][0] in "\"'":
+            continue
+        depth, end = 1, None
+        for inner in BRACKET.finditer(body, m.end()):
+            depth += (inner[0] == "(") - (inner[0] == ")")
+            if not depth:
+                end = inner.start()
+                break
+        out.append(None if end is None else arguments(body[m.end() : end]))
+    return out
+
+
+def literal_arguments(body: str | None, name: str | None, positions: list[int] | None) -> list[bool] | None:
+    """Of each call of a name, whether the arguments at all positions are string literals; one that cannot be read is not."""
+    if body is None or not name or positions is None:
+        return None
+    return [called is not None and all(p < len(called) and LITERAL.fullmatch(called[p]) is not None for p in positions) for called in call_arguments(body, name)]
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def literal_calls(body: pd.Series, name: pd.Series, positions: pd.Series) -> pd.Series:
+    return pd.Series([literal_arguments(x, y, None if z is None else list(z)) for x, y, z in zip(body, name, positions, strict=True)])
+
+
+def all_literal(calls: Column) -> Column:
+    """Whether a sink is exempt: its calls (see ``literal_calls``) were found, and every one is literal."""
+    return F.coalesce((F.size(calls) > 0) & F.forall(calls, lambda c: c), F.lit(False))
+
+
+def path_positions(name: Column) -> Column:
+    """The places of a file sink's paths; null for what is none."""
+    out = F.lit(None).cast("array<int>")
+    for sink, first in PATH_ARGUMENT.items():
+        out = F.when(name == sink, F.array(*map(F.lit, (first, *PATH_ARGUMENTS_TOO.get(sink, ()))))).otherwise(out)
+    return out

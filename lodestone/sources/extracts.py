@@ -40,6 +40,40 @@ def fact_tables(documents: DataFrame, run_id: str) -> dict[str, DataFrame]:
     }
 
 
+#: Kinds of table accesses.
+TABLE_ACCESS = ("read", "pointer", "arg", "store")
+
+
+def table_accesses(entries: DataFrame, functions: DataFrame) -> DataFrame:
+    """Table accesses of each function in the order exported: sha256, address, seq, kind, obs.
+
+    entries: (sha256, f, rows array of kind and obs, total, truncated). A function that the
+    binary does not have (functions: sha256, address) and a kind that is not known make no
+    rows; one that the export cut has a last row of kind truncated, so that a prefix is
+    not taken for the whole.
+    """
+    known = entries.where("rows IS NOT NULL").withColumn("address", text.parse_address(F.col("f"))).join(functions.select("sha256", "address").distinct(), ["sha256", "address"], "left_semi")
+    kept = F.filter("rows", lambda r: r["kind"].isin(*TABLE_ACCESS))
+    cut = F.struct(F.lit("truncated").alias("kind"), F.to_json(F.struct("total", F.size("rows").alias("kept"))).alias("obs"))
+    plain = F.transform(kept, lambda r: F.struct(r["kind"].alias("kind"), r["obs"].alias("obs")))
+    every = F.when(F.coalesce("truncated", F.lit(False)), F.concat(plain, F.array(cut))).otherwise(plain)
+    return known.select("sha256", "address", F.posexplode(every).alias("seq", "r")).select("sha256", "address", "seq", "r.kind", "r.obs")
+
+
+def listing_state(functions: DataFrame, listings: DataFrame, passes: DataFrame) -> DataFrame:
+    """Whether each function's listing can be read, and if not why: sha256, address, state, units.
+
+    functions: (sha256, address, errors array); listings: (sha256, address, units array, null
+    where empty); passes: (sha256) of binaries whose export had listings. available;
+    empty (a function without instructions); export_error; not_stored; not_exported.
+    """
+    key = ["sha256", "address"]
+    met = functions.join(listings.select(*key, "units", F.lit(True).alias("held")), key, "left").join(passes.select("sha256").distinct().withColumn("ran", F.lit(True)), "sha256", "left")
+    failed = F.coalesce(F.array_contains("errors", "listing"), F.lit(False))
+    state = F.when(F.col("units").isNotNull(), "available").when(failed, "export_error").when(F.col("ran") & F.col("held"), "empty").when(F.col("ran"), "not_stored").otherwise("not_exported")
+    return met.select(*key, state.alias("state"), "units")
+
+
 LOG = "ts double, session string, pid int, tool string, params map<string,string>, response_bytes long, truncated boolean, error string, reading string, page_rows array<long>"
 
 

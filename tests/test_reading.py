@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import bodies, text
 from lodestone.operators import calls, judgements, keyflow, presence, provenance, review, scans, upstream
 from lodestone.plans.warehouse import Warehouse
+from lodestone.sources import extracts
 from lodestone.tools import Tools
 
 
@@ -184,3 +185,24 @@ def test_tools_say_what_was_not_read(spark, tmp_path):
     fill("string_edge", run_id="r", edge_id="1", binary="web", key="go", callee="f")
     assert t.get_string_keyed_edges(key="go").count() == 1 and t.get_string_keyed_edges(key="go", callee="g").count() == 0
     assert set(w.delete_run("r")) == {"detector_status", "string_refs", "exec_edge", "string_edge"}
+
+
+def test_literal_arguments(spark):
+    body = 'printf("a(%d,)", f(x, 1)); printf(buf); puts("printf(x)"); c = \'"\'; xprintf(y); printf("a" , "b"); open(p, 0'
+    assert bodies.call_arguments(body, "printf") == [['"a(%d,)"', "f(x, 1)"], ["buf"], ['"a"', '"b"']] and bodies.call_arguments(body, "open") == [None] and bodies.call_arguments("f(f(1))", "f") == [["f(1)"], ["1"]]
+    rows = [(body, "printf", [0], [True, False, True], False), ('rename("a", b)', "rename", [0, 1], [False], False), ('rename("a", L"b\\"c")', "rename", [0, 1], [True], True), ("x", "open", [0], [], False), (None, "open", [0], None, False), (body, "open", [0], [False], False), ("open()", "open", [0], [False], False), ("x", None, [0], None, False), ("x", "x", None, None, False)]
+    df = spark.createDataFrame(rows, "body string, name string, at array<int>, want array<boolean>, exempt boolean").withColumn("got", bodies.literal_calls("body", "name", "at"))
+    got = df.withColumn("all", bodies.all_literal(F.col("got"))).collect()
+    assert all(r.got == r.want and r["all"] == r.exempt for r in got)
+    assert {r.n: r.p for r in spark.createDataFrame([("rename",), ("openat",), ("puts",)], "n string").select("n", bodies.path_positions(F.col("n")).alias("p")).collect()} == {"rename": [0, 1], "openat": [1], "puts": None}
+
+
+def test_table_accesses_and_listings(spark):
+    entries = spark.createDataFrame([("a", "00001000", [("read", "1"), ("odd", "2"), ("store", "3")], 9, True), ("a", "00002000", [("arg", "4")], 1, None), ("a", "00003000", [("arg", "5")], 1, None), ("a", "00001000", None, 1, True)], "sha256 string, f string, rows array<struct<kind:string,obs:string>>, total int, truncated boolean")
+    functions = spark.createDataFrame([("a", 0x1000), ("a", 0x2000)], "sha256 string, address long").select("sha256", F.col("address").cast("decimal(20,0)").alias("address"))
+    got = sorted((int(r.address), r.seq, r.kind, r.obs) for r in extracts.table_accesses(entries, functions).collect())
+    assert got == [(0x1000, 0, "read", "1"), (0x1000, 1, "store", "3"), (0x1000, 2, "truncated", '{"total":9,"kept":3}'), (0x2000, 0, "arg", "4")]
+    known = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("a", 3, ["listing"]), ("a", 4, ["other"]), ("b", 1, None)], "sha256 string, address long, errors array<string>")
+    listings = spark.createDataFrame([("a", 1, ["mov"]), ("a", 2, None)], "sha256 string, address long, units array<string>")
+    found = extracts.listing_state(known, listings, spark.createDataFrame([("a",)], "sha256 string"))
+    assert {(r.sha256, r.address): r.state for r in found.collect()} == {("a", 1): "available", ("a", 2): "empty", ("a", 3): "export_error", ("a", 4): "not_stored", ("b", 1): "not_exported"}
