@@ -220,18 +220,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     A middle of very many neighbours would bring them all to one task; such middles,
     of which there are at most one for ``STAR_ROWS`` edges, are broadcast. Each round stars every vertex's larger neighbours, then its smaller ones, around
-    the smallest; rounds are staged and end when one changes nothing.
+    the smallest; both halves of a round are staged, as a half names its edges several
+    times and the plan of two in one would be their product. Rounds end when one changes
+    nothing.
     """
     stars = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     seen = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(_spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = _spread(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, stars = stars, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        unstaged(before)
+        unstaged(before, large)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return stars

@@ -98,3 +98,17 @@ def test_hot_middles_are_broadcast(spark, monkeypatch):
     for most in (20, 10**6):
         monkeypatch.setattr(simhash, "STAR_ROWS", most)
         assert {r.u: r.v for r in simhash.components(df).collect()} == {k: v for k, v in label.items() if k != v}
+
+
+def test_rounds_have_small_plans(spark, monkeypatch):
+    read, kept = [], simhash.staged
+
+    def staged(df, name):
+        read.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "u long, v long")
+    assert {r.u: r.v for r in simhash.components(chain).collect()} == {i: 0 for i in range(1, 21)} | {51: 50}
+    # A half of a round reads its edges for their least neighbours, the hot ones and the others: the driver plans and keeps as much as this.
+    assert len(read) > 3 and max(read) <= 12
