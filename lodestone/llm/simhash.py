@@ -31,6 +31,8 @@ TILE_ROWS = 16384
 SLAB = 65536
 #: Neighbours of a vertex from which on it is sent to all tasks instead of its neighbours to one.
 STAR_ROWS = 4096
+#: Edges, 16 bytes each, that the driver takes to finish a graph instead of rounds over the cluster.
+GATHERED = 1 << 16
 #: Rows that a worker reads at once.
 ROWS = 512
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -196,55 +198,75 @@ def band_keys(fp, radius: int) -> list:
 def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (u, v) that connect all of ``fps`` (fp long, distinct) within ``radius``.
 
-    Rows: at most one for each fingerprint and bucket. Buckets over ``tile_rows``
-    are dealt into tiles, and each two tiles meet in a task of their own.
+    Rows: at most one for each fingerprint and tile of a bucket; a link may come from
+    several. Buckets over ``tile_rows``, of which there are at most as many as bands'
+    pairs for ``tile_rows`` fingerprints, are broadcast and dealt into tiles, and each
+    two tiles meet in a task of their own.
     """
     keyed = fps.select("fp", F.explode(F.array(*band_keys(F.col("fp"), radius))).alias("key"))
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).select("key", F.ceil(F.col("n") / tile_rows).alias("tiles"))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
     # Tiles i <= j meet under the number i * tiles + j; a row of tile a is sent to each meeting of a.
     meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.least(x, own) * F.col("tiles") + F.greatest(x, own))
-    tiled = keyed.join(large, "key", "left").select("key", "fp", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("tile"))
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_links(radius), "u long, v long").distinct()
+    tiled = keyed.join(F.broadcast(large), "key", "left").select("key", "fp", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("tile"))
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInArrow(_links(radius), "u long, v long")
 
 
-def _spread(edges: DataFrame, least: DataFrame, most: int | None = None) -> DataFrame:
-    """Edges (u, v) with m of ``least`` (u, m, n): n edges of one u meet in a task only where they are few."""
-    many = F.col("n") > (STAR_ROWS if most is None else most)
+def _spread(edges: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v) with m of ``least`` (u, m, n): n edges, ``most`` at the most, of one u meet in a task only where they are few."""
+    if most <= STAR_ROWS:
+        return edges.join(least.select("u", "m"), "u")
+    many = F.col("n") > STAR_ROWS
     hot = F.broadcast(least.where(many).select("u", "m"))
     return edges.join(hot, "u").unionByName(edges.join(hot.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _gathered(edges: DataFrame) -> DataFrame:
+    """components() of few edges, found by the driver."""
+    u, v = (c.to_numpy() for c in edges.select("u", "v").toArrow().columns)
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    forest = Forest(len(ids))
+    forest.union(at[: len(u)], at[len(u) :])
+    tied = np.flatnonzero(forest.label != np.arange(len(ids)))
+    return staged(edges.sparkSession.createDataFrame(pa.table({"u": ids[tied], "v": ids[forest.label[tied]]}), edges.schema), "roots")
+
+
+def components(edges: DataFrame, gathered: int = 0) -> DataFrame:
     """The smallest member (v) that each vertex (u) of ``edges`` (u, v) reaches; roots themselves have no row.
 
     A middle of very many neighbours would bring them all to one task; such middles,
     of which there are at most one for ``STAR_ROWS`` edges, are broadcast. Each round stars every vertex's larger neighbours, then its smaller ones, around
-    the smallest; both halves of a round are staged, as a half names its edges several
-    times and the plan of two in one would be their product. Rounds end when one changes
-    nothing.
+    the smallest; both halves of a round and their least neighbours are staged, as an edge
+    names them several times and the plan of two in one would be their product. Rounds
+    end when every vertex with a smaller neighbour has no other one, or when no more
+    than ``gathered`` edges are left, which the driver joins by itself.
     """
     stars = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    seen = None
     while True:
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = staged(_spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _spread(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, stars = stars, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        unstaged(before, large)
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if gathered and stars.count() <= gathered:
+            roots = _gathered(stars)
+            unstaged(stars)
+            return roots
+        both = stars.select("u", "v", F.lit(0).alias("larger")).unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(1).alias("larger")))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.sum("larger").alias("n"), F.count("*").alias("all")).select("u", F.least("u", "m").alias("m"), "n", (F.col("all") > 1).alias("more")), "least")
+        at = least.agg(F.max((F.col("m") < F.col("u")) & F.col("more")).alias("open"), F.max("n").alias("n")).first()
+        if not at.open:
+            unstaged(least)
             return stars
-        seen = now
+        # One row for each edge, so nothing grows before rows are told apart again.
+        large = staged(_spread(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), least, at.n).select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        lower = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), (F.max("v") > F.min("v")).alias("more")), "least")
+        most = lower.where("more").agg(F.max("n")).first()[0] or 0
+        small = _spread(large, lower.where("more"), most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, stars = stars, staged(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        unstaged(before, least, large, lower)
 
 
 def _rooted(docs: DataFrame, radius: int) -> DataFrame:
     """simhash_groups with each component's root fingerprint, which no other component has."""
     marked = staged(docs.select(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, digest string, fp long"), "fingerprints")
     fps = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(fps, radius))
+    roots = components(links(fps, radius), GATHERED)
     homed = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("v", "fp").alias("root"))
     named = homed.join(homed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id", "root")
     return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "root")

@@ -112,3 +112,41 @@ def test_rounds_have_small_plans(spark, monkeypatch):
     assert {r.u: r.v for r in simhash.components(chain).collect()} == {i: 0 for i in range(1, 21)} | {51: 50}
     # A half of a round reads its edges for their least neighbours, the hot ones and the others: the driver plans and keeps as much as this.
     assert len(read) > 3 and max(read) <= 12
+
+
+def test_no_round_is_made_to_see_that_none_is_needed(spark, monkeypatch):
+    made, kept = [], simhash.staged
+
+    def staged(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "staged", staged)
+    done = spark.createDataFrame([(k, k % 5) for k in range(5, 60)], "u long, v long")
+    assert {r.u: r.v for r in simhash.components(done).collect()} == {k: k % 5 for k in range(5, 60)}
+    assert [name for name, _ in made] == ["stars", "least"]
+    made.clear()
+    chain = spark.createDataFrame([(k, k + 1) for k in range(3)], "u long, v long")
+    assert {r.u: r.v for r in simhash.components(chain).collect()} == {k: 0 for k in range(1, 4)}
+    # What is dealt out by a key: a join's two sides and what is told apart, each once.
+    assert len(made) > 2 and max(n for _, n in made) <= 3
+
+
+def test_few_large_buckets_do_not_deal_all_rows_twice(spark):
+    plan = simhash.links(spark.range(50).selectExpr("id fp"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+
+
+def test_few_edges_are_finished_by_the_driver(spark, monkeypatch):
+    made, kept = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name: made.append(name) or kept(df, name))
+    rng = random.Random(12)
+    edges = [(rng.randint(-40, 40) << 40, rng.randint(-40, 40) << 40) for _ in range(280)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {r.u: r.v for r in simhash.components(df).collect()}
+    for gathered, rounds in ((300, 0), (100, 1)):
+        made.clear()
+        found = simhash.components(df, gathered)
+        assert {r.u: r.v for r in found.collect()} == want and found.columns == ["u", "v"]
+        assert made[-1] == "roots" and (made.count("large") > 0) == (rounds > 0)
+    assert simhash.components(df.limit(0), 300).count() == 0
