@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -72,3 +73,32 @@ def test_pack_whole_documents(spark):
         assert [o for o, _ in p] == np.cumsum([0] + [n for _, n in p])[:-1].tolist() and sum(n for _, n in p) <= 2048
     assert len(places) == best_fit([w[3] for w in want], 2048)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_very_long_white_space_equals_the_library():
+    lib = Tokenizer.from_file(PATH)
+    enc = packing.Encoder(PATH)
+    n = 1_000_000
+    for t in (" " * n, "a" + " " * n + "word  x", "\n" * n + "\tx", "don't " + "\u3000" * n + "1" + " \n" * 20_000, " \t" * n + " <|endoftext|> b"):
+        assert np.array_equal(np.frombuffer(enc(t), "<u4"), lib.encode(t, add_special_tokens=False).ids)
+
+
+def test_cuts_equal_the_library_in_all_scripts():
+    lib = Tokenizer.from_file(PATH)
+    enc = packing.Encoder(PATH)
+    for at in range(0x80, 0x32000, 64):
+        t = "".join(f"{c}{c}a{c}1{c} {c}!{c}  {c}\t" for c in map(chr, range(at, at + 64)) if not 0xD800 <= ord(c) < 0xE000)
+        assert np.frombuffer(enc(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, hex(at)
+
+
+def test_new_words_cost_little_more_than_their_merges():
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60_000))
+
+    def seconds(encode):
+        began = time.process_time()
+        encode(text)
+        return time.process_time() - began
+
+    plain = packing.Encoder(PATH).quick.encode_ordinary
+    assert min(seconds(packing.Encoder(PATH)) for _ in range(3)) < 1.7 * min(seconds(plain) for _ in range(3))
