@@ -4,6 +4,13 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lodestone import catalog
+from lodestone.operators import edges
+
+
+def above(df, *what):
+    """The operators of a plan from its top down to the first of a kind, that included."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return "\n".join(lines[: next(i for i, x in enumerate(lines) if any(w in x for w in what)) + 1])
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -24,3 +31,12 @@ def test_days_are_of_the_nearest_second(spark, tmp_path):
     at = ("1969-12-31 23:59:58.2", "2024-01-01 23:59:59.5", "2024-01-03 23:59:59.499999", "2024-01-05 00:00:00", "1970-01-01 23:59:59.7", "1969-12-29 10:00:00")
     events = " UNION ALL ".join(f"SELECT {i % 2}::BIGINT AS user_id, TIMESTAMP '{t}' AS ts" for i, t in enumerate(at))
     assert len(same_as_sql(spark, tmp_path, "gaps_islands", events=events)) == 5
+
+
+def test_wishes_meet_counts_and_not_hits(spark):
+    known = spark.createDataFrame([(i, "liba.so.1") for i in range(5)] + [(7, "libb.so"), (8, "libc.so.2"), (9, "libc.so.2"), (None, "libd.so"), (6, "libd.so.4"), (10, None)], "binary int, name string")
+    wanted = spark.createDataFrame([(3, "liba.so.1"), (3, "liba.so.1"), (20, "liba.so.9"), (7, "libb.so"), (20, "libb.so.3"), (9, "libc.so.2"), (20, "libc.so"), (20, "libd.so"), (None, "libb.so"), (20, None)], "binary int, soname string")
+    one, many = edges.resolve_names(wanted, known)
+    assert sorted(map(tuple, one.collect())) == [(9, "libc.so.2", 8, 0), (20, "libb.so.3", 7, 1)]
+    assert sorted(map(tuple, many.collect())) == [(3, "liba.so.1", [0, 1, 2, 4], 0), (20, "liba.so.9", [0, 1, 2, 3, 4], 1), (20, "libc.so", [8, 9], 1)]
+    assert "collect_" not in one._jdf.queryExecution().executedPlan().toString()
