@@ -40,3 +40,9 @@ def test_wishes_meet_counts_and_not_hits(spark):
     assert sorted(map(tuple, one.collect())) == [(9, "libc.so.2", 8, 0), (20, "libb.so.3", 7, 1)]
     assert sorted(map(tuple, many.collect())) == [(3, "liba.so.1", [0, 1, 2, 4], 0), (20, "liba.so.9", [0, 1, 2, 3, 4], 1), (20, "libc.so", [8, 9], 1)]
     assert "collect_" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_not_shuffled_once_met(spark):
+    many = edges.resolve_names(*(spark.createDataFrame([(i, "liba.so.1")], f"binary int, {c} string") for i, c in ((1, "soname"), (2, "name"))))[1]
+    top = above(many, "Join")
+    assert "Exchange" not in top and "Aggregate" not in top
