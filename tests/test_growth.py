@@ -46,3 +46,11 @@ def test_candidates_are_not_shuffled_once_met(spark):
     many = edges.resolve_names(*(spark.createDataFrame([(i, "liba.so.1")], f"binary int, {c} string") for i, c in ((1, "soname"), (2, "name"))))[1]
     top = above(many, "Join")
     assert "Exchange" not in top and "Aggregate" not in top
+
+
+def test_made_edges_are_distinct_without_an_aggregate(spark):
+    calls = spark.createDataFrame([(1, "f"), (1, "f"), (2, "f"), (None, "f"), (3, None)], "binary int, name string")
+    exports = spark.createDataFrame([(2, "f"), (2, "f"), (5, "f"), (None, "f"), (6, None)], "binary int, name string")
+    made = edges.call_edges(calls, exports)[0]
+    assert sorted(map(tuple, made.collect())) == [(1, 2, "f"), (1, 5, "f"), (2, 5, "f")]
+    assert "Aggregate" not in above(made, "Join")
