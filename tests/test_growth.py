@@ -54,3 +54,11 @@ def test_made_edges_are_distinct_without_an_aggregate(spark):
     made = edges.call_edges(calls, exports)[0]
     assert sorted(map(tuple, made.collect())) == [(1, 2, "f"), (1, 5, "f"), (2, 5, "f")]
     assert "Aggregate" not in above(made, "Join")
+
+
+def test_pairs_are_counted_where_they_are_made(spark):
+    held = [(b, v) for v, bs in (("/var/run/a", (1, 2, 3)), ("/var/run/b", (3, 1)), ("/var/run/c", range(60)), ("/var/run/d", (4,))) for b in bs]
+    df = edges.shared_string_pairs(spark.createDataFrame([*held, (1, "/var/run/a"), (None, "/var/run/b")], "binary int, value string"))
+    assert sorted(map(tuple, df.collect())) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
+    top = above(df, "Generate")
+    assert "explode" in top and "Exchange" not in top
