@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ CONFIG_RULES = (
     ("debug_enabled", r"(?i)(?<![a-zA-Z0-9])(debug|verbose|test_mode)(?:[_-]\w*)?\s*[=:]\s*(1|yes|on|true|enabled)\b"),
     ("weak_crypto_setting", r"(?i)\b(ssl|tls|cipher|crypto|hash)\b.*\b(off|none|md5|rc4|des|sslv2|sslv3|tls1\.0)\b"),
 )
+#: Words, in lower case, of which a text that any of these rules matches has one.
+CONFIG_WORDS = ("pass", "secret", "key", "token", "auth", "login_required", "debug", "verbose", "test_mode", "ssl", "tls", "cipher", "crypto", "hash")
+#: What ends a line.
+SPLIT = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
 #: Endpoint rules in the order in which they are tried: name, pattern, groups of method and path.
 ENDPOINT_RULES = (
     ("fetch", r"""(?i)fetch\(\s*['"]([^'"]+)['"]""", 0, 1),
@@ -37,17 +43,24 @@ def config_entries(files: DataFrame) -> DataFrame:
     ``key=value`` is tried before ``key value``; a section header holds for the lines
     after it; blank lines and those from # or ; on are no entries.
     """
-    lines = files.select("path", F.posexplode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]")).alias("line", "raw")).withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''").where(~F.col("raw").rlike("^[#;]"))
+    lowered = lambda c: F.lower(F.col(c))
+    named = lambda c: reduce(Column.__or__, (lowered(c).contains(w) for w in CONFIG_WORDS))
+    split = files.where(named("text")).select("path", F.posexplode(F.split("text", SPLIT)).alias("line", "raw"))
+    # A file or line that no rule's word is in has no entry; headers stay for the lines after them.
+    lines = split.where(named("raw") | F.col("raw").contains("[")).withColumn("raw", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("raw <> ''").where(~F.col("raw").rlike("^[#;]"))
     header = F.col("raw").rlike(r"^\[[^\]]+\]")
-    named = lines.withColumn("head", F.when(header, F.regexp_extract("raw", r"^\[([^\]]+)\]", 1)))
+    headed = lines.withColumn("head", F.when(header, F.regexp_extract("raw", r"^\[([^\]]+)\]", 1)))
     carried = F.last("head", ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    kinds = named.withColumn("section", carried).where("head IS NULL")
+    kinds = headed.withColumn("section", carried).where("head IS NULL")
     # The two forms of an entry.
     equals = r"^([^=\s][^=]*?)\s*=\s*(.*)"
     spaced = r"^(\S+)\s+(\S.*)"
     part = lambda g: F.when(F.col("raw").rlike(equals), F.regexp_extract("raw", equals, g)).when(F.col("raw").rlike(spaced), F.regexp_extract("raw", spaced, g))
-    entries = kinds.select("path", "line", "section", F.trim(part(1)).alias("key"), F.trim(part(2)).alias("value")).where("key IS NOT NULL")
-    return entries.withColumn("rule", _first(F.concat_ws("=", "key", "value"), CONFIG_RULES)).where("rule IS NOT NULL").withColumn("sensitive", F.col("rule") == "hardcoded_credential")
+    # Arrays of one keep a condition on what a line is read as from reading the line again.
+    pair = F.inline(F.array(F.struct(F.trim(part(1)).alias("key"), F.trim(part(2)).alias("value"))))
+    entries = kinds.where(named("raw")).select("path", "line", "section", pair).where("key IS NOT NULL")
+    ruled = entries.select("*", F.explode(F.array(_first(F.concat_ws("=", "key", "value"), CONFIG_RULES))).alias("rule"))
+    return ruled.where("rule IS NOT NULL").withColumn("sensitive", F.col("rule") == "hardcoded_credential")
 
 
 def web_endpoints(files: DataFrame) -> DataFrame:

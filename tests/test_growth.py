@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.operators import edges
+from lodestone.sources import textfiles
 
 
 def above(df, *what):
@@ -13,6 +14,10 @@ def above(df, *what):
     return "\n".join(lines[: next(i for i, x in enumerate(lines) if any(w in x for w in what)) + 1])
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def same_as_sql(spark, folder, name, **tables):
     """A query's rows on made tables (DuckDB SQL), which must be its SQL's."""
     con = duckdb.connect()
@@ -62,3 +67,11 @@ def test_pairs_are_counted_where_they_are_made(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
     top = above(df, "Generate")
     assert "explode" in top and "Exchange" not in top
+
+
+def test_only_lines_with_a_rules_word_are_read(spark):
+    body = "[A]\nToKen: x\nplain = words\nAPIKEY=1\n  [ b ]  \nbypass secret\nprivate_key k=v\nTLS on off\nsha hash = MD5\n"
+    df = textfiles.config_entries(spark.createDataFrame([("a", body), ("b", "x = y\n[c]")], "path string, text string"))
+    got = [(r.line, r.section, r.key, r.value, r.rule) for r in df.orderBy("line").collect()]
+    assert got == [(1, "A", "ToKen:", "x", "hardcoded_credential"), (3, "A", "APIKEY", "1", "hardcoded_credential"), (7, " b ", "TLS", "on off", "weak_crypto_setting"), (8, " b ", "sha hash", "MD5", "weak_crypto_setting")]
+    assert plan(df).count("regexp_extract(") <= 8
