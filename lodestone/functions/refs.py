@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The end of a reference (``:<entry>@<class>``, then an offset or an ordinal), and of the class of a call through a wrapper.
-SUFFIX = r":([0-9a-f]+)@([a-z_]+)(?:@(-?)0x([0-9a-f]+)|#(\d+))?$"
+#: The end of a reference is ``:<entry>@<class>``, then an offset or an ordinal; here after its colon, which is a reference's last one. What may follow a ``$``, and the end of the class of a call through a wrapper.
+TAIL = r"^[0-9a-f]+@[a-z_]+(?:@-?0x[0-9a-f]+|#\d+)?$"
+TERMINATORS = "\n\r\x85\u2028\u2029"
 WRAPPED = "_via_wrapper"
 
 
 def _number(hexed: Column) -> Column:
-    return F.conv(hexed, 16, 10).cast("decimal(20,0)").cast("long")
+    text = F.conv(hexed, 16, 10)
+    return F.when(F.length(hexed) < 16, text.cast("long")).otherwise(text.cast("decimal(20,0)").cast("long"))
+
+
+def _parts(ref: Column) -> dict[str, Column]:
+    """head, entry, class, offset (signed) and ordinal of a reference, and whether it has such an end: one match of the short end, which is then cut at its marks."""
+    end = F.substring_index(ref, ":", -1)
+    tail = F.rtrim(end, F.lit(TERMINATORS))
+    body = F.substring_index(tail, "@", -1)
+    placed = F.length(tail) - F.length(F.replace(tail, F.lit("@"), F.lit(""))) == 2
+    kind = F.when(placed, F.substring_index(F.substring_index(tail, "@", 2), "@", -1)).otherwise(F.substring_index(body, "#", 1))
+    number = _number(F.substring_index(body, "0x", -1))
+    met = ref.contains(":") & end.rlike(TAIL)
+    found = {"entry": _number(F.substring_index(tail, "@", 1)), "class": kind, "offset": F.when(placed, F.when(body.startswith("-"), -number).otherwise(number)), "ordinal": F.when(body.contains("#"), F.substring_index(body, "#", -1).cast("long"))}
+    cut = F.concat(F.substring(ref, F.lit(1), F.length(ref) - F.length(end) - 1), F.substring(end, F.length(tail) + 1, F.length(end)))
+    return {k: F.when(met, v) for k, v in found.items()} | {"head": F.when(met, cut).otherwise(ref), "met": met}
 
 
 def ref_parts(ref: Column) -> Column:
     """entry, class, offset (signed) and ordinal of a reference; null without such an end."""
-    part = lambda g: F.nullif(F.regexp_extract(ref, SUFFIX, g), F.lit(""))
-    sign = F.when(F.regexp_extract(ref, SUFFIX, 3) == "-", -1).otherwise(1)
-    return F.when(ref.rlike(SUFFIX), F.struct(_number(part(1)).alias("entry"), part(2).alias("class"), (sign * _number(part(4))).alias("offset"), part(5).cast("long").alias("ordinal")))
+    p = _parts(ref)
+    return F.when(p["met"], F.struct(*(p[c].alias(c) for c in ("entry", "class", "offset", "ordinal"))))
 
 
 def is_wrapper(kind: Column) -> Column:
@@ -27,7 +42,7 @@ def is_wrapper(kind: Column) -> Column:
 
 def call_address(ref: Column, wrapped: bool = False) -> Column:
     """The address of the call that a reference names: of the sink itself, or with ``wrapped`` of the call to its wrapper. Null for every other shape."""
-    p = ref_parts(ref)
+    p = _parts(ref)
     kind = is_wrapper(p["class"])
     return F.when(p["offset"].isNotNull() & (kind if wrapped else ~kind), p["entry"] + p["offset"])
 
@@ -73,9 +88,13 @@ def minted(candidates: DataFrame) -> DataFrame:
     call's offset, unless a reference is anchored there already; the others stay as
     they are. No row is dropped. Claims are joined by their call, so no group is held.
     """
-    p, head = ref_parts(F.col("evidence_ref")), F.regexp_replace("evidence_ref", SUFFIX, "")
-    bare = p["offset"].isNull() & p["ordinal"].isNull() & F.col("out_of_body") & F.col("callsite").isNotNull()
-    rows = candidates.withColumns({"__head": head, "__class": p["class"], "__entry": p["entry"], "__call": F.when(p["offset"].isNotNull(), p["entry"] + p["offset"]).when(bare, F.col("callsite")), "__bare": F.coalesce(bare, F.lit(False))})
+    p = _parts(F.col("evidence_ref"))
+    bare = F.col("__offset").isNull() & F.col("__ordinal").isNull() & F.col("out_of_body") & F.col("callsite").isNotNull()
+    read = candidates.withColumns({f"__{c}": p[c] for c in ("head", "class", "entry", "offset", "ordinal")})
+    call = F.when(F.col("__offset").isNotNull(), F.col("__entry") + F.col("__offset")).when(bare, F.col("callsite"))
+    # The array of one keeps conditions on what was read from being moved below the reading, which would be done for each.
+    marks = F.inline(F.array(F.struct(F.col("__head"), F.col("__class"), F.col("__entry"), call.alias("__call"), F.coalesce(bare, F.lit(False)).alias("__bare"))))
+    rows = read.select(*candidates.columns, marks)
     key = ["__head", "__class", "__call"]
     calls = rows.where("__call IS NOT NULL").groupBy(*key).agg(F.bool_or(~F.col("__bare")).alias("__taken"), F.min(F.when(F.col("__bare"), F.col("__entry"))).alias("__first"))
     found = rows.join(calls, key, "left")

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lodestone import catalog
+from lodestone.functions import refs
 from lodestone.operators import edges
 from lodestone.sources import textfiles
 
@@ -75,3 +76,10 @@ def test_only_lines_with_a_rules_word_are_read(spark):
     got = [(r.line, r.section, r.key, r.value, r.rule) for r in df.orderBy("line").collect()]
     assert got == [(1, "A", "ToKen:", "x", "hardcoded_credential"), (3, "A", "APIKEY", "1", "hardcoded_credential"), (7, " b ", "TLS", "on off", "weak_crypto_setting"), (8, " b ", "sha hash", "MD5", "weak_crypto_setting")]
     assert plan(df).count("regexp_extract(") <= 8
+
+
+def test_claims_are_read_once(spark):
+    rows = spark.createDataFrame([("r#b:10@cmd", 32, True), ("r#b:8@cmd", 32, True), ("r#b:10@cmd@0x20", 48, True), ("r#b:20@cmd", 48, True), ("none", 1, True), (None, None, None)], "evidence_ref string, callsite long, out_of_body boolean")
+    df = refs.minted(rows)
+    assert {r.evidence_ref: r.formal_ref for r in df.collect()} == {"r#b:10@cmd": "r#b:10@cmd", "r#b:8@cmd": "r#b:8@cmd@0x000018", "r#b:10@cmd@0x20": "r#b:10@cmd@0x20", "r#b:20@cmd": "r#b:20@cmd", "none": "none", None: None}
+    assert "regexp" not in plan(df)
