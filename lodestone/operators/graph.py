@@ -28,17 +28,31 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of undirected edges (src, dst) is linked to.
 
-    Labels spread along edges and then jump to their own label, so rounds grow with
-    the logarithm of a component's width, mostly.
+    Round by round each node points to its smallest neighbour, pointers are followed to
+    their ends, and the ends become the nodes of the next round, with the distinct edges
+    between them. What is left shrinks, so all rounds shuffle little more than the
+    first; the last round's pointers are then applied to those before it.
     """
-    both = staged(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")), "labels")
+    left = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    rounds = []
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(seen, "node").select("node", F.least("component", "near").alias("component"))
-        jump = nearer.join(nearer.select(F.col("node").alias("component"), F.col("component").alias("far")), "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"))
-        after = staged(jump, "labels")
-        changed = after.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was")
-        labels = after
-        if changed.isEmpty():
-            return labels
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        to = staged(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")), "pointers")
+        if to.isEmpty():
+            break
+        while True:
+            moved = to.where("component <> node").select(F.col("node").alias("component"), F.col("component").alias("far"))
+            if to.where("component <> node").join(moved, "component", "left_semi").isEmpty():
+                break
+            to = staged(to.join(moved, "component", "left").select("node", F.coalesce("far", "component").alias("component")), "pointers")
+        rounds.append(to)
+        ends = lambda df, c: df.join(to.select(F.col("node").alias(c), F.col("component").alias("end")), c).drop(c).withColumnRenamed("end", c)
+        ended = ends(ends(left, "src"), "dst").where("src <> dst")
+        left = staged(ended.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    if not rounds:
+        return to
+    labels = rounds.pop()
+    while rounds:
+        further = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        labels = staged(rounds.pop().join(further, "component", "left").select("node", F.coalesce("far", "component").alias("component")), "labels")
+    return labels

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import refs
-from lodestone.operators import edges
+from lodestone.operators import edges, graph
 from lodestone.sources import textfiles
 
 
@@ -83,3 +83,12 @@ def test_claims_are_read_once(spark):
     df = refs.minted(rows)
     assert {r.evidence_ref: r.formal_ref for r in df.collect()} == {"r#b:10@cmd": "r#b:10@cmd", "r#b:8@cmd": "r#b:8@cmd@0x000018", "r#b:10@cmd@0x20": "r#b:10@cmd@0x20", "r#b:20@cmd": "r#b:20@cmd", "none": "none", None: None}
     assert "regexp" not in plan(df)
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    made, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: made.append((name, staged(df, name))) or made[-1][1])
+    chain = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(7, 7), (40, 41), (50, 50), (None, 3), (60, None)], "src int, dst int")
+    assert {r.node: r.component for r in graph.components(chain).collect()} == {**{i: 0 for i in range(21)}, 40: 40, 41: 40, 50: 50}
+    # No table of all edges in both directions is kept, and what is left of them after a round is between its ends.
+    assert [df.count() for name, df in made if name == "edges"] == [0]
