@@ -92,3 +92,10 @@ def test_chains_take_few_rounds(spark, monkeypatch):
     assert {r.node: r.component for r in graph.components(chain).collect()} == {**{i: 0 for i in range(21)}, 40: 40, 41: 40, 50: 50}
     # No table of all edges in both directions is kept, and what is left of them after a round is between its ends.
     assert [df.count() for name, df in made if name == "edges"] == [0]
+
+
+def test_references_are_cut_at_their_marks(spark):
+    texts = [":1f@cmd@-0x10", "r:q:1f@cmd_via_wrapper@0x8\n", "é:1@x#12", ":1@x\n\n", "1@x", ":1@@0x1", ":1@a@0x1#2", ":G@a"]
+    df = spark.createDataFrame([(t,) for t in texts], "ref string").select(refs.ref_parts(F.col("ref")).alias("p"), refs.call_address(F.col("ref")).alias("a"))
+    assert [(r.p and tuple(r.p), r.a) for r in df.collect()] == [((31, "cmd", -16, None), 15), ((31, "cmd_via_wrapper", 8, None), None), ((1, "x", None, 12), None), *[(None, None)] * 5]
+    assert "regexp_extract" not in plan(df)
