@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
 from lodestone.operators import edges
 
 #: How far an edge of each layer is trusted.
@@ -104,12 +103,14 @@ def call_identities(tokens: DataFrame, functions: DataFrame, stubs: DataFrame, u
     stub_resolved, stub_unresolved, table_entry, name_ambiguous (no target),
     fun_name_parsed (the address that the name spells), name_only.
     """
-    spelt = F.when(F.col("token").rlike(r"^FUN_[0-9a-fA-F]+\z"), text.parse_address(F.col("token")))
-    asked = tokens.where("token <> ''").select("binary", "address", "token", spelt.alias("spelt")).distinct()
+    digits = F.substring("token", 5, 1 << 20)
+    spelt = F.when(F.col("token").rlike(r"^FUN_[0-9a-fA-F]+\z") & (F.length(F.ltrim(digits, F.lit("0"))) <= 16), F.conv(digits, 16, 10).cast("decimal(20,0)"))
+    # Read once, in an array of one; an identity's tokens and repeated ones are made one by the last step alone.
+    asked = tokens.where("token <> ''").select("binary", "address", "token", F.explode(F.array(spelt)).alias("spelt"))
     at = lambda df, *c: df.select("binary", F.col("address").cast("decimal(20,0)").alias("spelt"), *c)
-    named = functions.groupBy("binary", F.col("name").alias("token")).agg(F.countDistinct("address").alias("n"), F.min(F.col("address").cast("decimal(20,0)")).alias("entry"))
-    met = asked.join(at(stubs, F.col("import")).groupBy("binary", "spelt").agg(F.min("import").alias("import")), ["binary", "spelt"], "left")
-    met = met.join(at(unresolved, F.lit(True).alias("open")).distinct(), ["binary", "spelt"], "left").join(named, ["binary", "token"], "left")
+    named = functions.groupBy("binary", F.col("name").alias("token")).agg(F.min("address").alias("entry"), F.max("address").alias("top")).select("binary", "token", F.col("entry").cast("decimal(20,0)").alias("entry"), F.when(F.col("entry") == F.col("top"), 1).when(F.col("entry").isNull(), 0).otherwise(2).alias("n"))
+    found = at(stubs, F.col("import"), F.lit(None).cast("boolean").alias("open")).unionByName(at(unresolved, F.lit(None).cast("string").alias("import"), F.lit(True).alias("open"))).groupBy("binary", "spelt").agg(F.min("import").alias("import"), F.max("open").alias("open"))
+    met = asked.join(found, ["binary", "spelt"], "left").join(named, ["binary", "token"], "left")
     kind = F.when(F.col("import").isNotNull(), "stub_resolved").when(F.col("open"), "stub_unresolved").when(F.col("n") == 1, "table_entry").when(F.col("n") > 1, "name_ambiguous").when(F.col("spelt").isNotNull(), "fun_name_parsed").otherwise("name_only")
     target = F.when(kind == "table_entry", F.col("entry")).when(kind.isin("stub_resolved", "stub_unresolved", "fun_name_parsed"), F.col("spelt"))
     return met.select("binary", "address", F.coalesce("import", "token").alias("name"), target.alias("target"), kind.alias("kind")).distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import refs
-from lodestone.operators import edges, graph
+from lodestone.operators import calls, edges, graph
 from lodestone.sources import textfiles
 
 
@@ -99,3 +99,12 @@ def test_references_are_cut_at_their_marks(spark):
     df = spark.createDataFrame([(t,) for t in texts], "ref string").select(refs.ref_parts(F.col("ref")).alias("p"), refs.call_address(F.col("ref")).alias("a"))
     assert [(r.p and tuple(r.p), r.a) for r in df.collect()] == [((31, "cmd", -16, None), 15), ((31, "cmd_via_wrapper", 8, None), None), ((1, "x", None, 12), None), *[(None, None)] * 5]
     assert "regexp_extract" not in plan(df)
+
+
+def test_identities_are_made_distinct_once(spark):
+    at = "binary string, address long"
+    tokens = spark.createDataFrame([("b", 1, "FUN_0010"), ("b", 1, "FUN_10"), ("b", 1, "FUN_10"), ("b", 2, "FUN_00000000000000000020"), ("b", 3, "FUN_11112222333344445"), ("b", 4, "FUN_30"), ("b", 5, "f"), ("b", 6, "")], at + ", token string")
+    functions = spark.createDataFrame([("b", "f", 7), ("b", "f", 7), ("b", "FUN_30", 48), ("b", "FUN_30", 49)], "binary string, name string, address long")
+    df = calls.call_identities(tokens, functions, spark.createDataFrame([("b", 16, "puts")], at + ", import string"), spark.createDataFrame([("b", 48), ("b", 48)], at))
+    assert sorted((r.address, r.name, r.target and int(r.target), r.kind) for r in df.collect()) == [(1, "puts", 16, "stub_resolved"), (2, "FUN_00000000000000000020", 32, "fun_name_parsed"), (3, "FUN_11112222333344445", None, "name_only"), (4, "FUN_30", 48, "stub_unresolved"), (5, "f", 7, "table_entry")]
+    assert "array_distinct" not in plan(df)
